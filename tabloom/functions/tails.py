@@ -6,7 +6,7 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def normal_quantile(p: float) -> float:
@@ -59,12 +59,12 @@ def student_two_sided(t: float, freedom: float) -> float:
     return incomplete_beta(freedom / 2.0, 0.5, freedom / (freedom + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail_column(statistic: pd.Series) -> pd.Series:
     return statistic.map(chi2_one_tail, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_tail_column(t: pd.Series, freedom: pd.Series) -> pd.Series:
     values = [
         student_two_sided(a, f) if pd.notna(a) and pd.notna(f) else None for a, f in zip(t, freedom)
