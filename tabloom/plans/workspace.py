@@ -155,6 +155,9 @@ class Workspace:
                 (run_id, project_id, feature_set_id, r.model_type, "completed", numbers,
                  r.metrics.get("confusion_matrix"), json.dumps(details, default=str), utc_now())
             )
+            importances, _ = r.model.importances()
+            if importances:
+                self.catalogue.add_feature_history(feature_set_id, importances)
             records.append({"run_id": run_id, "model_type": r.model_type, "metrics": record})
         self.catalogue.append("training_runs", rows)
         return records
@@ -215,8 +218,6 @@ class Workspace:
             response["residual_analysis"] = analysis.residual_analysis(scored, target, "prediction", keys, n)
         response["error_examples"] = analysis.error_examples(scored, target, "prediction", keys, features, n, model.task)
         response["feature_importance"] = analysis.importance_summary(importances, method)
-        if importances:
-            self.catalogue.add_feature_history(run["feature_set_id"], importances)
         return response
 
     # Experiments

@@ -79,7 +79,7 @@ DOMAIN = """domain AS (
             num_orders / nullif(customer_age_days, 0)::DOUBLE AS pf FROM domain)
         SELECT c_custkey, round(aov, 6) AS avg_order_value, round(1 / (1e0 + days_since_last_purchase), 6) AS recency_score,
                round(revenue / nullif(visits, 0), 6) AS revenue_per_visit, round(pf, 6) AS purchase_frequency,
-               round(aov * pf * avg_lifespan_days, 4) AS customer_lifetime_value FROM d""",
+               round(aov * pf * avg_lifespan_days, 5) AS customer_lifetime_value FROM d""",
 )
 def domain_features(spark, folder):
     end = F.lit("2003-01-01").cast("date")
@@ -97,7 +97,7 @@ def domain_features(spark, folder):
     )
     measured = joined.na.fill(0).withColumn("avg_lifespan_days", F.lit(365))
     built = features.domain_specific_features(measured)
-    built = rounded(built, 4, "customer_lifetime_value")
+    built = rounded(built, 5, "customer_lifetime_value")
     built = rounded(built, 6, "avg_order_value", "revenue_per_visit", "recency_score", "purchase_frequency")
     names = ["avg_order_value", "recency_score", "revenue_per_visit", "purchase_frequency", "customer_lifetime_value"]
     return built.select("c_custkey", *names)
