@@ -62,6 +62,9 @@ TASKS = ("classification", "regression")
 CLASS_LIMIT = 1_000
 DEEPEST_TREE = 30
 FOURIER_FEATURES = 256
+# Every iteration is a pass over the rows: stop when the loss stands still.
+TOLERANCE = 1e-5
+SVC_TOLERANCE = 1e-3
 
 
 def list_model_types() -> list[str]:
@@ -110,12 +113,12 @@ def build_model(
         mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": p.get("l1_ratio", 0.5)}.get(penalty, 0.0)
         strength = 0.0 if penalty in (None, "none") else 1.0 / (p["C"] * max(rows, 1))
         return LogisticRegression(
-            regParam=strength, elasticNetParam=mixing, standardization=False, maxIter=p["max_iter"]
+            regParam=strength, elasticNetParam=mixing, standardization=False, maxIter=p["max_iter"], tol=TOLERANCE
         )
     if model_type == "svm":
         if not classification:
-            return LinearRegression(loss="huber", regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=200)
-        svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=200)
+            return LinearRegression(loss="huber", regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=100, tol=TOLERANCE)
+        svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=100, tol=SVC_TOLERANCE)
         return svc if classes <= 2 else OneVsRest(classifier=svc, parallelism=4)
     if model_type == "random_forest":
         family = RandomForestClassifier if classification else RandomForestRegressor
@@ -142,7 +145,7 @@ def build_model(
     if not classification:
         raise ValueError("neural_network has no regressor in Spark ML; use xgboost for regression.")
     hidden = [int(h) for h in np.atleast_1d(p["hidden_layer_sizes"])]
-    return MultilayerPerceptronClassifier(layers=[features, *hidden, max(classes, 2)], maxIter=p["max_iter"], seed=seed)
+    return MultilayerPerceptronClassifier(layers=[features, *hidden, max(classes, 2)], maxIter=p["max_iter"], tol=TOLERANCE, seed=seed)
 
 
 @dataclass
@@ -378,6 +381,8 @@ def fit_model(
             predictionCol="_calibrated_class",
             probabilityCol="_calibrated",
             rawPredictionCol="_calibrated_raw",
+            maxIter=30,
+            tol=1e-4,
         )
         calibration = Pipeline(stages=[scaler]).fit(margins)
     return TrainedModel(

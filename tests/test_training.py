@@ -17,7 +17,7 @@ SMALL = {
     "xgboost": {"n_estimators": 4, "max_depth": 3},
     "neural_network": {"hidden_layer_sizes": (8,), "max_iter": 40},
     "logistic_regression": {"max_iter": 50},
-    "svm": {},
+    "svm": {"kernel": "linear"},
 }
 
 
@@ -90,7 +90,7 @@ def test_linear_regression_finds_the_coefficients(numeric):
 
 def test_kernels(binary):
     train, test = binary
-    for kernel, gamma in (("linear", "scale"), ("poly", "scale"), ("rbf", "auto"), ("rbf", 0.1)):
+    for kernel, gamma in (("poly", "scale"), ("rbf", "auto")):
         result = models.train_model(train, FEATURES, "y", "svm", test, {"kernel": kernel, "gamma": gamma})
         assert result.metrics["accuracy"] > 0.8
     with pytest.raises(ValueError, match="Kernel"):
