@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabloom.functions.buckets import add_slots, just_above
 from tabloom.functions.columns import as_list, col, number
 from tabloom.functions.ordering import running_totals
 
@@ -105,37 +107,37 @@ def _resolve(df: DataFrame, searches: list[_Search]) -> None:
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    spans: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        spans.setdefault((s.column, s.low, s.high), []).append(s)
+    """One sketch pass and one counting pass over all open searches."""
+    spans: dict[tuple, list[list[_Search]]] = {}
+    for s in sorted(searches, key=lambda s: s.rank):
+        runs = spans.setdefault((s.column, s.low, s.high), [])
+        # Neighbouring ranks (the two ends of an interpolation) share a bracket.
+        if runs and s.rank - runs[-1][-1].rank <= 1:
+            runs[-1].append(s)
+        else:
+            runs.append([s])
     sketches = []
-    for i, group in enumerate(spans.values()):
+    for i, runs in enumerate(spans.values()):
         marks = []
-        for s in group:
-            at = (s.rank - s.below + 0.5) / s.inside
-            marks += [max(at - 2.0 / ACCURACY, 0.0), min(at + 2.0 / ACCURACY, 1.0)]
+        for run in runs:
+            for s, margin in ((run[0], -2.0), (run[-1], 2.0)):
+                at = (s.rank - s.below + 0.5) / s.inside + margin / ACCURACY
+                marks.append(F.lit(min(max(at, 0.0), 1.0)))
         sketches.append(
-            F.percentile_approx(group[0].within(), F.array(*map(F.lit, marks)), F.lit(ACCURACY)).alias(f"a{i}")
+            F.percentile_approx(runs[0][0].within(), F.array(*marks), F.lit(ACCURACY)).alias(f"a{i}")
         )
     sketched = df.agg(*sketches).first()
-    ends: dict[tuple[str, float], None] = {}
     brackets = []
-    for i, group in enumerate(spans.values()):
-        for j, s in enumerate(group):
-            bracket = sketched[i][2 * j : 2 * j + 2]
-            brackets.append((s, bracket))
-            for end in bracket:
-                ends[s.column, end] = None
-    exprs = []
-    for i, (name, end) in enumerate(ends):
-        x = number(name)
-        exprs.append(F.count_if(x < F.lit(end)).alias(f"l{i}"))
-        exprs.append(F.count_if(x <= F.lit(end)).alias(f"e{i}"))
-    row = df.agg(*exprs).first()
-    rank_of = {key: (row[2 * i], row[2 * i + 1]) for i, key in enumerate(ends)}
-    for s, (a, b) in brackets:
-        under_a, upto_a = rank_of[s.column, a]
-        under_b, upto_b = rank_of[s.column, b]
+    ends: dict[str, set[float]] = {}
+    for i, runs in enumerate(spans.values()):
+        for j, run in enumerate(runs):
+            a, b = sketched[i][2 * j : 2 * j + 2]
+            brackets += [(s, a, b) for s in run]
+            ends.setdefault(runs[0][0].column, set()).update((a, b))
+    ranks = _ranks(df, {c: sorted(e) for c, e in ends.items()})
+    for s, a, b in brackets:
+        under_a, upto_a = ranks[s.column, a]
+        under_b, upto_b = ranks[s.column, b]
         if under_a <= s.rank < upto_a:
             s.value = a
         elif under_b <= s.rank < upto_b:
@@ -149,6 +151,34 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
             s.low, s.high, s.below, s.inside = a, b, upto_a, under_b - upto_a
 
 
+def _ranks(df: DataFrame, ends: dict[str, list[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """For every end the number of values below it and up to it.
+
+    Values are counted per slot between the ends, where every end has a slot of its own, so the cost
+    of a row grows with the logarithm of the number of ends.
+    """
+    splits = {c: sorted({s for e in es for s in (e, just_above(e))}) for c, es in ends.items()}
+    slotted = add_slots(
+        df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(ends)]),
+        {f"s{i}": (F.col(f"x{i}"), splits[c]) for i, c in enumerate(ends)},
+    )
+    counted = (
+        slotted.select(F.posexplode(F.array(*[f"s{i}" for i in range(len(ends))])).alias("c", "slot"))
+        .where("slot IS NOT NULL")
+        .groupBy("c", "slot")
+        .agg(F.count("*").alias("n"))
+    )
+    found = {(r["c"], r["slot"]): r["n"] for r in counted.collect()}
+    ranks = {}
+    for i, (name, es) in enumerate(ends.items()):
+        # upto[k] counts the values below the k-th split point.
+        upto = list(accumulate(found.get((i, k), 0) for k in range(len(splits[name]) + 1)))
+        at = {s: k for k, s in enumerate(splits[name])}
+        for e in es:
+            ranks[name, e] = (upto[at[e]], upto[at[just_above(e)]])
+    return ranks
+
+
 def group_quantiles(
     df: DataFrame,
     group_by: str | Sequence[str],

@@ -47,23 +47,6 @@ def sample_kurtosis(x: Column) -> Column:
     )
 
 
-def interval_label(value: Column, edges: Sequence[float]) -> Column:
-    """Index of the right-closed interval of sorted ``edges`` that holds ``value``.
-
-    The first interval also holds its left end. NULL values, values outside the edges and fewer
-    than two edges give NULL.
-    """
-    if len(edges) < 2:
-        return F.lit(None).cast("int")
-    x = value.cast("double")
-    inner = [float(e) for e in edges[1:-1]]
-    label = F.lit(0)
-    for edge in inner:
-        label = label + F.when(x > F.lit(edge), 1).otherwise(0)
-    inside = (x >= F.lit(float(edges[0]))) & (x <= F.lit(float(edges[-1])))
-    return F.when(inside, label).cast("int")
-
-
 def uniform_edges(low: float | None, high: float | None, bins: int) -> list[float]:
     """Equal-width edges; a constant range is widened by a thousandth on both sides."""
     if low is None or high is None:

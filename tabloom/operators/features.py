@@ -7,10 +7,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabloom.functions.buckets import add_interval_labels
 from tabloom.functions.columns import as_list, col, number, numeric_columns, require_columns, require_numeric
 from tabloom.functions.ordering import GROUP_ROWS, over_neighbours
 from tabloom.functions.quantiles import exact_quantiles, group_quantiles
-from tabloom.functions.stats import distinct_edges, interval_label, log1p_floor, ratio, uniform_edges
+from tabloom.functions.stats import distinct_edges, log1p_floor, ratio, uniform_edges
 
 AGGREGATES = ("mean", "std", "sum", "min", "max", "median", "count")
 
@@ -221,7 +222,7 @@ def binning_features(df: DataFrame, column: str, bins: int = 10, strategy: str =
     """Interval index of equal-width or equal-frequency bins (repeated quantiles are merged)."""
     require_columns(df, [column])
     (edges,) = bin_edges(df, [(column, strategy, bins)])
-    return df.withColumn(f"{column}_bin_{strategy}_{bins}", interval_label(number(column), edges))
+    return add_interval_labels(df, {f"{column}_bin_{strategy}_{bins}": (number(column), edges)})
 
 
 def join_group_statistics(

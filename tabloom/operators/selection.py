@@ -11,10 +11,11 @@ from pyspark.ml.base import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabloom.functions.buckets import add_counts_below, add_interval_labels
 from tabloom.functions.columns import as_list, col, number, numeric_columns, require_columns, rows_of
 from tabloom.functions.moments import gram_by_fold, means
 from tabloom.functions.ordering import running_totals
-from tabloom.functions.stats import interval_label, safe_corr, zero_to_null
+from tabloom.functions.stats import safe_corr, zero_to_null
 from tabloom.operators.features import bin_edges
 from tabloom.operators.prepare import assign_folds, fill_with, fit_means
 from tabloom.session import durable
@@ -93,28 +94,53 @@ def _long(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
 def spearman_scores(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Rows ``(feature, score)``: absolute correlation of average ranks.
 
-    Equal rows are counted first. Ranks come from running counts over the distinct values, range
-    sorted over all tasks, so neither a frequent value nor a long column lands in one task.
+    Ranks come from running counts over distinct values, range sorted over all tasks, so neither a
+    frequent value nor a long column lands in one task. Columns without missing values share the
+    ranks of the target; a column with missing values ranks the target over its own rows.
     """
-    counted = durable(_long(df, target, columns).groupBy("feature", "x", "y").agg(F.count("*").alias("n")))
-    totals = counted.groupBy("feature").agg(F.sum("n").alias("total"))
-
-    def ranks(value: str) -> DataFrame:
-        values = counted.groupBy("feature", value).agg(F.sum("n").alias("c"))
-        running = running_totals(values, value, {"upto": "c"}, "feature")
-        return running.select("feature", value, (F.col("upto") - (F.col("c") - 1) / 2.0).alias(f"r{value}"))
-
-    # One row per feature: the centre of the ranks is known, so the sums stay well conditioned.
-    joined = counted.join(ranks("x"), ["feature", "x"]).join(ranks("y"), ["feature", "y"]).join(totals, "feature")
-    dx = F.col("rx") - (F.col("total") + 1) / 2.0
-    dy = F.col("ry") - (F.col("total") + 1) / 2.0
-    sums = joined.groupBy("feature").agg(
-        F.sum(F.col("n") * dx * dy).alias("xy"),
-        F.sum(F.col("n") * dx * dx).alias("xx"),
-        F.sum(F.col("n") * dy * dy).alias("yy"),
-    )
+    table = df.select(number(target).alias("y"), *[number(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    table = table.where("y IS NOT NULL")
+    holes = table.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in range(len(columns))], F.count("*")).first()
+    total = holes[-1]
+    complete = [i for i in range(len(columns)) if not holes[i]]
+    parts = [_rank_sums(table, complete, total)] if complete else []
+    parts += [
+        _rank_sums(table.where(F.col(f"x{i}").isNotNull()), [i], total - holes[i])
+        for i in range(len(columns))
+        if holes[i]
+    ]
+    sums = parts[0]
+    for p in parts[1:]:
+        sums = sums.unionAll(p)
+    name = F.get(F.array(*map(F.lit, columns)), F.col("feature"))
     rho = F.abs(F.col("xy") / zero_to_null(F.sqrt("xx") * F.sqrt("yy")))
-    return _every_feature(sums.select("feature", F.coalesce(F.round(rho, 6), F.lit(0.0)).alias("score")), columns)
+    return _every_feature(sums.select(name.alias("feature"), F.coalesce(F.round(rho, 6), F.lit(0.0)).alias("score")), columns)
+
+
+def _centred_ranks(values: DataFrame, value: str, total: int, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of each distinct value (with its count ``n``) minus the mean rank of ``total`` rows."""
+    running = running_totals(values, value, {"upto": "n"}, by)
+    return running.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0 - (total + 1) / 2.0).drop("upto")
+
+
+def _rank_sums(table: DataFrame, features: list[int], total: int) -> DataFrame:
+    """Sums of products of centred ranks per feature, over rows where target and features are present.
+
+    The target's rank is summed per (feature, value) before the features are ranked, so the rows
+    meet the ranks of the target once, whatever the number of features.
+    """
+    target = _centred_ranks(table.groupBy("y").agg(F.count("*").alias("n")), "y", total)
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("x")) for i in features])
+    per_value = durable(
+        table.join(target.select("y", "rank"), "y")
+        .select("rank", F.explode(cells).alias("e"))
+        .groupBy("e.feature", "e.x")
+        .agg(F.count("*").alias("n"), F.sum("rank").alias("ry"), F.sum(F.col("rank") * F.col("rank")).alias("yy"))
+    )
+    rx = F.col("rank")
+    return _centred_ranks(per_value, "x", total, ["feature"]).groupBy("feature").agg(
+        F.sum(rx * F.col("ry")).alias("xy"), F.sum(F.col("n") * rx * rx).alias("xx"), F.sum("yy").alias("yy")
+    )
 
 
 def _every_feature(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,17 +156,14 @@ def mutual_info_scores(df: DataFrame, target: str, columns: Sequence[str], bins:
     as 0 of a 0/1 target) has its own bin.
     """
     names = [*columns, target]
-    edges = dict(zip(names, bin_edges(df, [(c, "quantile", bins) for c in names])))
-
-    def bin_of(name: str) -> Column:
-        label = F.lit(0)
-        for e in edges[name]:
-            label = label + F.when(number(name) > F.lit(e), 1).otherwise(0)
-        return F.when(number(name).isNotNull(), label)
-
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bx")) for c in columns])
+    edges = bin_edges(df, [(c, "quantile", bins) for c in names])
+    binned = add_counts_below(
+        df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)]),
+        {f"b{i}": (F.col(f"x{i}"), e) for i, e in enumerate(edges)},
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"b{i}").alias("bx")) for i, c in enumerate(columns)])
     counts = (
-        df.select(F.explode(cells).alias("e"), bin_of(target).alias("by"))
+        binned.select(F.explode(cells).alias("e"), F.col(f"b{len(columns)}").alias("by"))
         .select("e.feature", "e.bx", "by")
         .where("bx IS NOT NULL AND by IS NOT NULL")
         .groupBy("feature", "bx", "by")
@@ -325,11 +348,13 @@ def woe_table(
     if events == 0 or rows - events == 0:
         raise ValueError(f"'{target}' must be binary with both classes present.")
     edges = dict(zip(columns, bin_edges(df, [(c, "quantile", bins) for c in columns])))
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), interval_label(number(c), edges[c]).alias("bin")) for c in columns]
+    binned = add_interval_labels(
+        df.select(F.coalesce(y, F.lit(0.0)).alias("y"), *[number(c).alias(f"x{i}") for i, c in enumerate(columns)]),
+        {f"b{i}": (F.col(f"x{i}"), edges[c]) for i, c in enumerate(columns)},
     )
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"b{i}").alias("bin")) for i, c in enumerate(columns)])
     counts = (
-        df.select(F.explode(cells).alias("e"), F.coalesce(y, F.lit(0.0)).alias("y"))
+        binned.select(F.explode(cells).alias("e"), "y")
         .groupBy("e.feature", "e.bin")
         .agg(F.sum("y").alias("events"), (F.count("*") - F.sum("y")).alias("non_events"))
     )

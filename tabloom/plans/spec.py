@@ -14,9 +14,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabloom.functions.buckets import add_interval_labels
 from tabloom.functions.columns import as_list, col, number
 from tabloom.functions.ordering import GROUP_ROWS, over_neighbours
-from tabloom.functions.stats import interval_label, log1p_floor, ratio
+from tabloom.functions.stats import log1p_floor, ratio
 from tabloom.operators.encode import label_encode
 from tabloom.operators.features import (
     as_timestamp,
@@ -165,8 +166,8 @@ def _apply(df: DataFrame, layer: _Layer, order_by, partition_by, group_rows: int
     added: dict[str, Column] = {_temporary(f): ROW_SOURCES[f["source"]](df, f) for f in layer.row_wise}
     if layer.binned:
         requests = [(f["base"], _strategy(f), f.get("bins", 10)) for f in layer.binned]
-        for f, edges in zip(layer.binned, bin_edges(df, requests)):
-            added[_temporary(f)] = interval_label(number(f["base"]), edges)
+        labels = {_temporary(f): (number(f["base"]), e) for f, e in zip(layer.binned, bin_edges(df, requests))}
+        result = add_interval_labels(result, labels)
     if added:
         result = result.withColumns(added)
     by_group: dict[tuple[str, ...], dict[str, tuple[str, str]]] = {}
