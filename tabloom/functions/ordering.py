@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import as_list, col
 from tabloom.session import durable
@@ -24,6 +24,7 @@ POSITION, BLOCK = "_position", "_block"
 SMALLEST_BLOCK = 5_000
 LARGEST_BLOCK = 2_000_000
 MOST_BLOCKS = 65_536
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 GROUP_ROWS = 1_000_000
 """Largest group that one task of a plain window may sort."""
 
@@ -98,13 +99,12 @@ def over_neighbours(
     size = numbered.block_rows(at_least=max(before, after, 1))
     home = F.floor(F.col(POSITION) / size)
     offset = F.col(POSITION) % size
-    targets = F.filter(
-        F.array(
-            home,
-            F.when(offset >= size - before, home + 1),
-            F.when(offset < after, home - 1),
-        ),
-        lambda b: b.isNotNull(),
+    ends, starts = offset >= size - before, offset < after
+    targets = (
+        F.when(ends & starts, F.array(home, home + 1, home - 1))
+        .when(ends, F.array(home, home + 1))
+        .when(starts, F.array(home, home - 1))
+        .otherwise(F.array(home))
     )
     window = Window.partitionBy(BLOCK, *map(col, groups)).orderBy(POSITION)
     return (
@@ -145,7 +145,7 @@ def fill_from_neighbours(
         ]
     )
     others = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    # One row per block, at most MOST_BLOCKS rows: small enough for one task and for a broadcast.
+    # One row per block, at most MOST_BLOCKS rows: small enough for one task.
     across = Window.orderBy(BLOCK).rowsBetween(*others)
     carried = handed.select(
         BLOCK,
@@ -159,8 +159,10 @@ def fill_from_neighbours(
         for j, g in enumerate(groups):
             same = same & carry[f"g{j}"].eqNullSafe(col(g))
         filled[c] = F.coalesce(pick(col(c), ignorenulls=True).over(window), F.when(same, carry["v"]))
+    # Numbers and times have a fixed width, so their table has a known size; text is left to the planner.
+    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in [*groups, *columns])
     return (
-        rows.join(F.broadcast(carried), BLOCK, "left")
+        rows.join(F.broadcast(carried) if fixed else carried, BLOCK, "left")
         .withColumns(filled)
         .select(*map(col, df.columns))
     )

@@ -238,6 +238,21 @@ def _solve(gram: np.ndarray, at: list[int]) -> np.ndarray:
     return np.linalg.pinv(inner / np.outer(scale, scale), rcond=1e-12) @ (gram[at, -1] / scale) / scale
 
 
+def stepwise_scores(
+    df: DataFrame,
+    target: str,
+    columns: Sequence[str],
+    chosen: Sequence[str] = (),
+    cv: int = 3,
+    key: str | Sequence[str] | None = None,
+    order_by: str | Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows ``(feature, r2)``: cross-validated R² of the chosen columns with each further one."""
+    model = _CrossValidated(df, target, columns, cv, key, order_by)
+    rows = [(c, model.r2([*chosen, c])) for c in columns if c not in chosen]
+    return df.sparkSession.createDataFrame(rows, "feature string, r2 double")
+
+
 def forward_selection(
     df: DataFrame,
     target: str,

@@ -157,6 +157,24 @@ def _lines(spark, folder):
     )
 
 
+def _cv_sql(x: str) -> str:
+    """Mean R² over three contiguous folds of a least-squares line fitted on the other two."""
+    return f"""SELECT '{x}' AS feature, round(avg(r2), 6) AS r2 FROM (
+        WITH f AS (SELECT x, y, CASE WHEN p < (n % 3) * (n // 3 + 1) THEN p // (n // 3 + 1)
+                     ELSE n % 3 + (p - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold
+                   FROM (SELECT ({x})::DOUBLE AS x, o_totalprice AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS p,
+                                count(*) OVER () AS n FROM (SELECT *, month(o_orderdate) AS m FROM orders))),
+             t AS (SELECT a.fold, regr_slope(f.y, f.x) AS s, regr_intercept(f.y, f.x) AS i
+                   FROM (SELECT DISTINCT fold FROM f) a JOIN f ON f.fold <> a.fold GROUP BY a.fold)
+        SELECT 1 - sum((y - s * x - i) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN t USING (fold) GROUP BY fold)"""
+
+
+@registry.add("stepwise_scores", " UNION ALL ".join(map(_cv_sql, ["o_custkey", "m"])))
+def stepwise_scores(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.month("o_orderdate").alias("m"))
+    return selection.stepwise_scores(orders, "o_totalprice", ["o_custkey", "m"], order_by="o_orderkey")
+
+
 @registry.add("forward_selection")
 def forward_selection(spark, folder):
     return _selected(spark, selection.forward_selection(_lines(spark, folder), "l_extendedprice", 3, key="key"))

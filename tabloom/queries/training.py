@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabloom.operators.models import train_multiple
+from tabloom.operators.models import fit_model, train_multiple
 from tabloom.operators.analysis import importance_table
 from tabloom.operators.prepare import mean_impute, split
 from tabloom.operators.scaler import Scaler
@@ -62,6 +62,18 @@ def train_linear_regression(spark, folder):
     return _table(spark, _train(spark, _lines(spark, folder), [{"type": "logistic_regression"}], "regression"))
 
 
+@registry.add(
+    "linear_regression_line",
+    """SELECT round(regr_slope(l_extendedprice, l_partkey), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_partkey), 4) AS intercept FROM lineitem""",
+)
+def linear_regression_line(spark, folder):
+    model = fit_model(table(spark, folder, "lineitem"), ["l_partkey"], "l_extendedprice", "logistic_regression", task="regression")
+    line = model.stages.stages[-1]
+    row = (round(float(line.coefficients[0]), 6), round(float(line.intercept), 4))
+    return spark.createDataFrame([row], "slope double, intercept double")
+
+
 @registry.add("train_svm")
 def train_svm(spark, folder):
     return _table(spark, _train(spark, _documents(spark, folder), [{"type": "svm"}]))
