@@ -1,6 +1,6 @@
 """Metric, comparison and error-analysis queries on pseudo-predictions computed from the tables."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tabloom.operators import analysis, compare, metrics
 from tabloom.queries import Registry, table
@@ -344,7 +344,8 @@ def segment_predictions(spark, folder):
 @registry.add(
     "mcnemar_totals",
     f"""WITH {SEGMENT_PREDICTIONS}, c AS (SELECT model, count(*) FILTER (y_true = y_pred) AS ok FROM sp GROUP BY 1),
-        g AS (SELECT a.model AS model_a, b.model AS model_b, b.ok - a.ok AS gap FROM c a JOIN c b ON a.model < b.model)
+        g AS (SELECT model AS model_a, lead(model) OVER (ORDER BY model) AS model_b, lead(ok) OVER (ORDER BY model) - ok AS gap
+              FROM c QUALIFY model_b IS NOT NULL)
         SELECT model_a, model_b, greatest(gap, 0) AS discordant_n01, greatest(-gap, 0) AS discordant_n10,
                round(coalesce((abs(gap) - 1) ** 2 / nullif(abs(gap), 0), 0), 6) AS statistic,
                gap <> 0 AND (abs(gap) - 1) ** 2 / nullif(abs(gap), 0)::DOUBLE > 3.841458820694124 AS significant FROM g""",
@@ -352,11 +353,16 @@ def segment_predictions(spark, folder):
 def mcnemar_totals(spark, folder):
     counted = metrics.confusion_counts(segment_predictions(spark, folder), "y_true", "y_pred", by="model")
     cell = lambda t, p: F.coalesce(F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0))
-    # One matrix per model: the pairs are pairs of models, not of rows.
     matrix = F.array(F.array(cell(0, 0), cell(0, 1)), F.array(cell(1, 0), cell(1, 1)))
     matrices = counted.groupBy("model").agg(matrix.alias("m"))
-    a, b = (matrices.select(F.col("model").alias(f"model_{s}"), F.col("m").alias(f"m_{s}")) for s in "ab")
-    pairs = a.join(b, F.col("model_a") < F.col("model_b"))
+    # One row per model from here on; each is tested against the next.
+    order = Window.orderBy("model")
+    pairs = matrices.select(
+        F.col("model").alias("model_a"),
+        F.col("m").alias("m_a"),
+        F.lead("model").over(order).alias("model_b"),
+        F.lead("m").over(order).alias("m_b"),
+    ).where("model_b IS NOT NULL")
     tested = compare.mcnemar_by_totals(pairs, "m_a", "m_b")
     columns = ["model_a", "model_b", "discordant_n01", "discordant_n10", "statistic", "significant"]
     return rounded(tested, 6, "statistic").select(*columns)
