@@ -1,7 +1,7 @@
 """Quality rules by repetition coverage.
 
-Rolling hashes of n-grams of several lengths mark every word inside an n-gram that the document holds
-twice or more; the share of characters in marked words, and in lines that repeat an earlier line, decides.
+Rolling hashes of n-grams of several lengths mark every word inside an n-gram that equals an earlier one of
+the document; the share of characters in marked words, and in lines that repeat an earlier line, decides.
 
 Null and empty texts have no words and fail the base rule. Repeated rows get equal verdicts. Columns other
 than the text pass through untouched; a column with the name of a measure raises.
@@ -35,12 +35,16 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
-def _covered(hashes: np.ndarray, salt: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Which words lie in an n-word window that their document holds twice or more."""
+def _covered(hashes: np.ndarray, salt: np.ndarray, first: np.ndarray, n: int, copies_only: bool) -> np.ndarray:
+    """Which words lie in an n-word window that their document holds twice or more; with ``copies_only``,
+    in one that equals an earlier window."""
     inside = B.whole_windows(first, n)
     at = np.flatnonzero(inside)
     grams = B.window_hashes(hashes, n)[at] ^ salt[at]
-    at = at[_repeated(grams)]
+    repeated = _repeated(grams)
+    at, grams = at[repeated], grams[repeated]
+    if copies_only:
+        at = np.delete(at, np.unique(grams, return_index=True)[1])
     change = np.zeros(len(hashes) + 1, np.int32)
     change[at] += 1
     np.subtract.at(change, at + n, 1)
@@ -72,9 +76,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = tu
     bounds = np.searchsorted(line_starts, offsets)
     out["n_dup_lines"] = B.sums(again, bounds)
     out["dup_line_chars"] = B.sums(again * (points[line_ends] - points[line_starts]), bounds)
-    out["n_repeat_words"] = B.sums(_covered(hashes, salt, first, 3), first)
+    out["n_repeat_words"] = B.sums(_covered(hashes, salt, first, 3, False), first)
     for n in lengths:
-        out[f"chars_in_repeated_{n}"] = B.sums(chars * _covered(hashes, salt, first, n), first)
+        out[f"chars_in_repeated_{n}"] = B.sums(chars * _covered(hashes, salt, first, n, True), first)
     return out
 
 

@@ -16,10 +16,12 @@ def brute(text):
             dup, dup_chars = dup + (line in seen), dup_chars + (len(line) if line in seen else 0)
             seen.add(line)
 
-    def covered(n):
+    def covered(n, copies_only=True):
         grams = [tuple(w for w, _ in words[i : i + n]) for i in range(len(words) - n + 1)]
         counts = Counter(grams)
-        return {i + k for i, g in enumerate(grams) if counts[g] > 1 for k in range(n)}
+        first_at = {g: i for i, g in reversed(list(enumerate(grams)))}
+        marked = {i for i, g in enumerate(grams) if (first_at[g] < i if copies_only else counts[g] > 1)}
+        return {i + k for i in marked for k in range(n)}
 
     out = {
         "n_words": len(words),
@@ -27,7 +29,7 @@ def brute(text):
         "n_symbols": sum(c in "#*$%&|<>" for c in text),
         "n_dup_lines": dup,
         "dup_line_chars": dup_chars,
-        "n_repeat_words": len(covered(3)),
+        "n_repeat_words": len(covered(3, copies_only=False)),
     }
     return out | {f"chars_in_repeated_{n}": sum(words[i][1] for i in covered(n)) for n in quality.NGRAM_LIMITS}
 
