@@ -117,8 +117,14 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - shift, lengths) + np.arange(total)
 
 
-def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of values[bounds[i]:bounds[i + 1]] for each i, empty slices included."""
+def sums_before(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, … values."""
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
+    return total
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of values[bounds[i]:bounds[i + 1]] for each i, empty slices included."""
+    total = sums_before(values)
     return total[bounds[1:]] - total[bounds[:-1]]

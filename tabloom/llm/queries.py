@@ -5,18 +5,44 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import byte_bpe, mixing, quality
+from tabloom.llm import byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from tabloom.queries import Registry, table
 
 registry = Registry()
 
 
+@registry.add("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages, html_text.learn(pages))
+
+
+@registry.add("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @registry.add("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+@registry.add("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@registry.add("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    labels = table(spark, folder, "labels").where(~held_out)
+    model = toxicity.train(docs.where("not held_out"), labels)
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @registry.add("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -31,3 +57,21 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.repetition(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@registry.add("op8_sharding")
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shards(table(spark, folder, "documents"), 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+@registry.add("op9_license_scan")
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@registry.add("op10_cap_filters")
+def op10_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
