@@ -51,8 +51,8 @@ def repetition(docs: DataFrame, text: str = "text", source: str = "source", key:
     # A stored table of one row per source: its size is known to the planner before it may be broadcast.
     wanted = durable(targets(sized.select(F.col(source).alias("source"), "size"))).withColumnRenamed("source", "of_source")
     rate = F.coalesce(F.least(F.col("target") / F.col("source_size"), F.lit(float(LIMIT))), F.lit(0.0))
-    # The upper 53 bits of a seeded hash as a number in [0, 1).
-    coin = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key)), 11) / F.lit(float(1 << 53))
+    # The first 52 bits of a seeded hash as a number in [0, 1); the same on every engine.
+    coin = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(SEED)))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")
     joined = sized.join(wanted, sized[source].eqNullSafe(wanted["of_source"])).drop("of_source")
     return joined.withColumn("copies", copies)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from tabloom.llm import byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, sql, suffix_dedup, toxicity
 from tabloom.queries import Registry, table
 
 registry = Registry()
@@ -43,7 +43,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@registry.add("op6_quality_rules")
+@registry.add("op6_quality_rules", sql.quality_rules())
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -51,12 +51,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(*first, *(c for c in judged.columns if c not in (*first, "text")))
 
 
-@registry.add(
-    "op7_mixing",
-)
+@registry.add("op7_mixing", sql.source_mix())
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.repetition(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return mixing.repetition(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 @registry.add("op8_sharding")
