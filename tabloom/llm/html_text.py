@@ -41,9 +41,11 @@ INLINE = {
 NEVER = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "object", "audio", "video", "canvas"}
 #: Names in class, id or role that mark an element as no content.
 NEVER_NAMED = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|aside|footer|header|masthead|notice|cookies?|consent|gdpr|"
+    r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|aside|footer|masthead|notice|cookies?|consent|gdpr|"
     r"comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|pagination|pager|widget|login|signup|toolbar|tags)(?:$|[^a-z])"
 )
+#: Headers of a site, not of an article.
+SITE_HEADER = re.compile(r"(?:^|[^a-z])(?<!entry-)(?<!article-)(?<!post-)(?<!content-)(?<!story-)header(?:$|[^a-z])")
 #: Containers that say nothing about what they hold.
 PLAIN = {"html", "body", "div", "section", "center", "table", "tbody", "thead", "tr", "td", "th"}
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -93,7 +95,7 @@ def tokens(page: str) -> Iterator[Token]:
                 depth -= gone == "article"
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)).lower()
         never = bool(path) and path[-1][2] or name in NEVER or bool(NEVER_NAMED.search(named)) and name not in {"html", "body", "article", "main"}
-        never = never or name == "header" and not depth
+        never = never or not depth and (name == "header" or bool(SITE_HEADER.search(named)))
         features = (path[-1][1] if path else ()) + ((name,) if name == "a" or name not in INLINE and name not in PLAIN else ()) + tuple(f".{x}" for x in named.split()[:8])
         yield Token(None, name, features, never, depth > 0)
         if name in VOID or rest.endswith("/"):
@@ -112,12 +114,15 @@ def counts(page: str) -> Counter:
     if sum(t.tag == "article" for t in read) != 1:
         return out
     for t in read:
+        # What is passed over in any case says nothing about the rest.
+        if t.never:
+            continue
         if t.tag is not None:
             out[f"<{t.tag}", t.labelled] += 1
         elif n := len(t.text.split()):
             for feature in set(t.place) - {"article"}:
-                out[feature, t.labelled and not t.never] += n
-            out["", t.labelled and not t.never] += n
+                out[feature, t.labelled] += n
+            out["", t.labelled] += n
     return out
 
 
