@@ -77,64 +77,60 @@ class ProductCode:
         return np.concatenate(rows), np.concatenate(filters)
 
 
-def _units(vectors: list, dims: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that squares of very large or small components stay finite."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _units(vectors: pa.Array, dims: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors in double precision) for each length."""
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
-        raw = np.array([vectors[i] for i in at], np.float64)
-        # Scaled first, so that squares of very large or small components stay finite.
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-        yield at, raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        yield at, _unit(vectors.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, d))
+
+
+def _linked(table: pa.Table, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix of links) of each group; the rows of a group have one length."""
+    block, dims = (table.column(c).to_numpy() for c in ("block", "dims"))
+    same = table.column("lo").to_numpy() == table.column("hi").to_numpy()
+    # Groups of one length follow each other: they are one matrix.
+    runs = np.concatenate([[0], np.flatnonzero(dims[first[1:-1]] != dims[first[:-2]]) + 1, [len(first) - 1]]) if len(first) > 2 else np.array([0, len(first) - 1])
+    for begin, end in zip(runs[:-1].tolist(), runs[1:].tolist()):
+        start = int(first[begin])
+        flat = table.column("vector").slice(start, int(first[end]) - start).combine_chunks().flatten().to_numpy()
+        unit = _unit(flat.astype(np.float64).reshape(-1, int(dims[start])))
+        for a, b in zip(first[begin:end].tolist(), first[begin + 1 : end + 1].tolist()):
+            part = unit[a - start : b - start]
+            linked = part @ part.T >= COSINE
+            np.fill_diagonal(linked, False)
+            if not same[a]:
+                linked &= block[a:b, None] != block[None, a:b]
+            yield a, linked
 
 
 def _filter_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, first in links.whole_groups(batches, ["label", "dims", "filter"]):
         key = table.column("key").to_numpy()
-        unit = _matrix(table)
-        forest = links.Forest(len(key))
-        for left, right in links.pairs(first, *(table.column(c).to_numpy() for c in ("block", "lo", "hi"))):
-            near = np.array([], np.int64) if not len(left) else np.flatnonzero(_cosines(unit, left, right) >= COSINE)
-            forest.link(left[near], right[near])
+        forest, found, n_found = links.Forest(len(key)), [np.zeros((2, 0), np.int64)], 0
+        for a, linked in _linked(table, first):
+            if linked.any():
+                found.append(np.stack(np.nonzero(np.triu(linked))) + a)
+                n_found += found[-1].shape[1]
+            if n_found > links.STEP_PAIRS:
+                forest.link(*np.concatenate(found, axis=1))
+                found, n_found = [np.zeros((2, 0), np.int64)], 0
+        forest.link(*np.concatenate(found, axis=1))
         moved = np.flatnonzero(forest.root != np.arange(len(key)))
         yield pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[forest.root[moved]])], ["u", "v"])
 
 
-def _matrix(table: pa.Table) -> list[np.ndarray]:
-    """Unit vectors per row; rows of one group have one length."""
-    out: list = [None] * table.num_rows
-    dims = table.column("dims").to_numpy()
-    for at, unit in _units(table.column("vector").to_pylist(), dims):
-        for i, u in zip(at, unit):
-            out[i] = u
-    return out
-
-
-def _cosines(unit: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    out = np.empty(len(left))
-    for begin in range(0, len(left), 1 << 15):
-        part = slice(begin, begin + (1 << 15))
-        by_length: dict[int, list[int]] = {}
-        for i in range(*part.indices(len(left))):
-            by_length.setdefault(len(unit[left[i]]), []).append(i)
-        for rows in by_length.values():
-            a, b = np.array([unit[i] for i in left[rows]]), np.array([unit[i] for i in right[rows]])
-            out[rows] = np.einsum("ij,ij->i", a, b)
-    return out
-
-
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, first in links.whole_groups(batches, ["cluster"]):
-        key, weight, block = (table.column(c).to_numpy() for c in ("key", "weight", "block"))
-        same = table.column("lo").to_numpy() == table.column("hi").to_numpy()
-        unit = _matrix(table)
+        key, weight = (table.column(c).to_numpy() for c in ("key", "weight"))
         counts = np.zeros(len(key), np.int64)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            part = np.array(unit[a:b])
-            linked = part @ part.T >= COSINE
-            np.fill_diagonal(linked, False)
-            if not same[a]:
-                linked &= block[a:b, None] != block[None, a:b]
-            counts[a:b] = linked @ weight[a:b]
+        for a, linked in _linked(table, first):
+            counts[a : a + len(linked)] = linked @ weight[a : a + len(linked)]
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(counts)], ["key", "n_links"])
 
 
@@ -156,7 +152,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 keys, labels, dims = (part.column(i).to_numpy() for i in (0, 1, 2))
-                for at, unit in _units(part.column(3).to_pylist(), dims):
+                for at, unit in _units(part.column(3), dims):
                     if (code := codes.get(unit.shape[1])) is None:
                         code = codes[unit.shape[1]] = ProductCode(unit.shape[1], n_rows)
                     row, filters = code.decode(unit)
