@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.functions.columns import as_list, col
 from tabloom.session import durable
@@ -24,7 +24,6 @@ POSITION, BLOCK = "_position", "_block"
 SMALLEST_BLOCK = 5_000
 LARGEST_BLOCK = 2_000_000
 MOST_BLOCKS = 65_536
-FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 GROUP_ROWS = 1_000_000
 """Largest group that one task of a plain window may sort."""
 
@@ -159,10 +158,9 @@ def fill_from_neighbours(
         for j, g in enumerate(groups):
             same = same & carry[f"g{j}"].eqNullSafe(col(g))
         filled[c] = F.coalesce(pick(col(c), ignorenulls=True).over(window), F.when(same, carry["v"]))
-    # Numbers and times have a fixed width, so their table has a known size; text is left to the planner.
-    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in [*groups, *columns])
+    # The table has a row per block but may have many columns: whether to broadcast it is the planner's choice.
     return (
-        rows.join(F.broadcast(carried) if fixed else carried, BLOCK, "left")
+        rows.join(carried, BLOCK, "left")
         .withColumns(filled)
         .select(*map(col, df.columns))
     )

@@ -1,10 +1,10 @@
 """Exact linear-interpolated quantiles that do not gather a column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is used
-while the number of rows is small. Beyond it, each wanted order statistic is bracketed by
-``percentile_approx`` and the ranks of the bracket ends are counted exactly; the bracket shrinks by
-three orders of magnitude per round until its few values can be listed. The sketch only chooses the
-bracket, so its error never reaches the result.
+Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. Here each
+wanted order statistic is bracketed by ``percentile_approx`` and the ranks of the bracket ends are
+counted exactly; the bracket shrinks by three orders of magnitude per round until its few values can
+be listed, at once for a short column. The sketch only chooses the bracket, so its error never reaches
+the result. Infinite values are counted at both ends and never searched.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tabloom.functions.buckets import add_slots, just_above
 from tabloom.functions.columns import as_list, col, number
 from tabloom.functions.ordering import running_totals
 
-DIRECT_ROWS = 500_000
-"""Rows times columns up to which the built-in exact percentile is used."""
+GROUP_VALUES = 500_000
+"""Values of a group up to which the built-in exact percentile is used for groups."""
 LISTED_VALUES = 10_000
 ACCURACY = 10_000
 
@@ -39,7 +39,7 @@ class _Search:
     value: float | None = None
 
     def within(self) -> Column:
-        x = number(self.column)
+        x = _finite(self.column)
         keep = x.isNotNull()
         if self.low is not None:
             keep = keep & (x > F.lit(self.low))
@@ -48,22 +48,23 @@ class _Search:
         return F.when(keep, x)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: str | Sequence[str],
-    probabilities: Sequence[float],
-    direct_rows: int | None = None,
-) -> dict[str, list[float | None]]:
+def _finite(name: str) -> Column:
+    x = number(name)
+    return F.when(F.abs(x) < F.lit(math.inf), x)
+
+
+def exact_quantiles(df: DataFrame, columns: str | Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of each column over its non-null values; None for an empty column."""
     names = as_list(columns)
     if not names or not probabilities:
         return {n: [] for n in names}
-    limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    counts = df.agg(*[F.count(number(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    if sum(counts) <= limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(number(n), wanted).alias(f"q{i}") for i, n in enumerate(names)]).first()
-        return {n: list(row[i]) if row[i] else [None] * len(probabilities) for i, n in enumerate(names)}
+    sizes = df.agg(
+        *[
+            F.struct(F.count(number(n)).alias("all"), F.count(_finite(n)).alias("finite"), F.count_if(number(n) == -math.inf).alias("least")).alias(f"c{i}")
+            for i, n in enumerate(names)
+        ]
+    ).first()
+    counts = [c["all"] for c in sizes]
     searches: dict[tuple[str, int], _Search] = {}
     places = {}
     for i, n in enumerate(names):
@@ -74,7 +75,10 @@ def exact_quantiles(
             lower = min(max(math.floor(place), 0), counts[i] - 1)
             places[n, p] = (lower, place - lower)
             for rank in {lower, min(lower + (place > lower), counts[i] - 1)}:
-                searches.setdefault((n, rank), _Search(n, rank, 0, counts[i]))
+                least, finite = sizes[i]["least"], sizes[i]["finite"]
+                search = searches.setdefault((n, rank), _Search(n, rank - least, 0, finite))
+                if not 0 <= search.rank < finite:
+                    search.value = -math.inf if rank < least else math.inf
     _resolve(df, list(searches.values()))
     result = {}
     for n in names:
@@ -159,7 +163,7 @@ def _ranks(df: DataFrame, ends: dict[str, list[float]]) -> dict[tuple[str, float
     """
     splits = {c: sorted({s for e in es for s in (e, just_above(e))}) for c, es in ends.items()}
     slotted = add_slots(
-        df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(ends)]),
+        df.select(*[_finite(c).alias(f"x{i}") for i, c in enumerate(ends)]),
         {f"s{i}": (F.col(f"x{i}"), splits[c]) for i, c in enumerate(ends)},
     )
     counted = (
@@ -184,7 +188,7 @@ def group_quantiles(
     group_by: str | Sequence[str],
     column: str,
     probabilities: Sequence[float],
-    group_rows: int = DIRECT_ROWS,
+    group_rows: int = GROUP_VALUES,
 ) -> DataFrame:
     """One row per group with columns ``q0, q1, …``; groups of any size.
 

@@ -23,25 +23,28 @@ def handle_missing_values(
     order_by: str | Sequence[str] | None = None,
     partition_by: str | Sequence[str] | None = None,
     group_rows: int = GROUP_ROWS,
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Fill or drop missing values.
 
     Mean and median touch numeric columns only. Forward and backward fill need ``order_by``, and
-    stay inside ``partition_by`` groups when given.
+    stay inside ``partition_by`` groups when given. Mean, median and mode are those of ``fit_on``,
+    such as the training rows of ``df``; without it, of ``df``.
     """
+    fitted = df if fit_on is None else fit_on
     names = as_list(columns) or df.columns
     require_columns(df, names)
     if strategy == "drop":
         return df.dropna(subset=names)
     if strategy == "mean":
         numeric = [c for c in names if is_numeric(df, c)]
-        values = df.agg(*[F.avg(number(c)).alias(f"v{i}") for i, c in enumerate(numeric)]).first() if numeric else []
+        values = fitted.agg(*[F.avg(number(c)).alias(f"v{i}") for i, c in enumerate(numeric)]).first() if numeric else []
         return _fill_numbers(df, dict(zip(numeric, values)))
     if strategy == "median":
         numeric = [c for c in names if is_numeric(df, c)]
-        return _fill_numbers(df, {c: q[0] for c, q in exact_quantiles(df, numeric, [0.5]).items()})
+        return _fill_numbers(df, {c: q[0] for c, q in exact_quantiles(fitted, numeric, [0.5]).items()})
     if strategy == "mode":
-        return _fill_literals(df, modes(df, names))
+        return _fill_literals(df, modes(fitted, names))
     if strategy in ("forward_fill", "backward_fill"):
         if not order_by:
             raise ValueError(f"strategy='{strategy}' needs order_by: rows have no order of their own.")
@@ -78,20 +81,19 @@ def _fill_literals(df: DataFrame, values: dict[str, Any]) -> DataFrame:
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, Any]:
     """Most frequent non-null value per column, the smallest on a tie; None for an empty column.
 
-    Counted per value, so no task holds all the values of a column. Each branch reads one column.
+    Counted per value, so no task holds all the values of a column. Columns of one type are counted together,
+    so the number of passes is that of the types.
     """
-    names = as_list(columns)
-    tops = None
-    for i, name in enumerate(names):
-        counted = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count("*").alias("n"))
-        top = counted.orderBy(F.desc("n"), "v").limit(1)
-        row = top.select(
-            F.lit(i).alias("i"),
-            *[(F.col("v") if j == i else F.lit(None)).cast(df.schema[c].dataType).alias(f"c{j}") for j, c in enumerate(names)],
-        )
-        tops = row if tops is None else tops.unionAll(row)
-    found = {r["i"]: r[f"c{r['i']}"] for r in tops.collect()} if tops is not None else {}
-    return {c: found.get(i) for i, c in enumerate(names)}
+    by_kind: dict[T.DataType, list[str]] = {}
+    for name in as_list(columns):
+        by_kind.setdefault(df.schema[name].dataType, []).append(name)
+    found = {}
+    for names in by_kind.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), col(n).alias("v")) for i, n in enumerate(names)])
+        counted = df.select(F.explode(cells).alias("e")).select("e.*").where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+        tops = counted.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"))
+        found |= {names[r["i"]]: r["v"] for r in tops.collect()}
+    return {c: found.get(c) for c in as_list(columns)}
 
 
 @dataclass

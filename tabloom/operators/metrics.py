@@ -11,7 +11,8 @@ from tabloom.functions.ordering import running_totals
 from tabloom.functions.stats import sample_skewness, zero_to_null
 from tabloom.functions.tails import normal_quantile
 
-MATRIX_CELLS = 1_000_000
+MATRIX_CLASSES = 1_000
+"""Most labels of which ``evaluate_classification`` builds the full matrix; ``confusion_counts`` has no bound."""
 
 
 def confusion_counts(df: DataFrame, y_true: str, y_pred: str, by: str | Sequence[str] = ()) -> DataFrame:
@@ -91,7 +92,7 @@ def classification_summary(cells: DataFrame, positive=1, by: str | Sequence[str]
 
 
 def confusion_matrix(cells: DataFrame) -> DataFrame:
-    """All cells over the union of labels, empty ones as 0. Its size is the square of the class count."""
+    """All cells over the union of labels, empty ones as 0: the square of the class count, for few classes only."""
     kind = cells.schema["y_true"].dataType
     labels = cells.select(F.explode(F.array("y_true", F.col("y_pred").cast(kind))).alias("label")).agg(
         F.array_sort(F.collect_set("label")).alias("labels")
@@ -177,9 +178,12 @@ def evaluate_classification(
 ) -> dict:
     """All classification results as one dictionary; its size is the square of the class count."""
     cells = confusion_counts(df, y_true, y_pred)
-    found = cells.limit(MATRIX_CELLS + 1).collect()
-    if len(found) > MATRIX_CELLS:
-        raise ValueError(f"'{y_true}' and '{y_pred}' have too many different values to be class labels.")
+    # Counted before anything is collected: few cells may still hold many labels.
+    kind = df.schema[y_true].dataType
+    labels = cells.select(F.explode(F.array("y_true", F.col("y_pred").cast(kind))).alias("label")).distinct()
+    if labels.limit(MATRIX_CLASSES + 1).count() > MATRIX_CLASSES:
+        raise ValueError(f"'{y_true}' and '{y_pred}' have more than {MATRIX_CLASSES} labels; use confusion_counts.")
+    found = cells.collect()
     collected = df.sparkSession.createDataFrame(found, cells.schema)
     summary = classification_summary(collected, positive).first()
     if summary["n_classes"] == 2 and summary["precision"] is None:

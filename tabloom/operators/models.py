@@ -58,10 +58,18 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "neural_network": {"hidden_layer_sizes": (128, 64, 32), "max_iter": 500, "random_state": 42},
 }
 
+# Further hyperparameters with their defaults: iterations of the solvers, and the size of the feature maps.
+FURTHER: dict[str, dict[str, Any]] = {
+    "logistic_regression": {"l1_ratio": 0.5},
+    "svm": {"max_iter": 200, "calibration_iter": 100, "degree": 3, "n_components": 256},
+    "random_forest": {},
+    "xgboost": {},
+    "neural_network": {},
+}
+
 TASKS = ("classification", "regression")
 CLASS_LIMIT = 1_000
 DEEPEST_TREE = 30
-FOURIER_FEATURES = 256
 # Every iteration is a pass over the rows: stop when the loss stands still.
 TOLERANCE = 1e-5
 SVC_TOLERANCE = 1e-3
@@ -72,9 +80,17 @@ def list_model_types() -> list[str]:
 
 
 def merged_hyperparams(model_type: str, hyperparams: dict | None = None) -> dict:
+    """Defaults and given values; a name that the family doesn't have, or a depth that Spark can't grow, raises."""
     if model_type not in DEFAULTS:
         raise ValueError(f"Unknown model type '{model_type}'. Choose from {list_model_types()}.")
-    return {**DEFAULTS[model_type], **(hyperparams or {})}
+    known = {**FURTHER[model_type], **DEFAULTS[model_type]}
+    if unknown := sorted(set(hyperparams or {}) - set(known)):
+        raise ValueError(f"{model_type} has no hyperparameters {unknown}; it has {sorted(known)}.")
+    merged = {**known, **(hyperparams or {})}
+    depth = merged.get("max_depth")
+    if depth is not None and not 1 <= depth <= DEEPEST_TREE:
+        raise ValueError(f"max_depth={depth}: Spark grows trees of depth 1 to {DEEPEST_TREE}; None is the deepest.")
+    return merged
 
 
 def _subset_strategy(value: Any) -> str:
@@ -110,21 +126,21 @@ def build_model(
         if not classification:
             return LinearRegression(regParam=0.0, solver="normal")
         penalty = p["penalty"]
-        mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": p.get("l1_ratio", 0.5)}.get(penalty, 0.0)
+        mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": p["l1_ratio"]}.get(penalty, 0.0)
         strength = 0.0 if penalty in (None, "none") else 1.0 / (p["C"] * max(rows, 1))
         return LogisticRegression(
             regParam=strength, elasticNetParam=mixing, standardization=False, maxIter=p["max_iter"], tol=TOLERANCE
         )
     if model_type == "svm":
         if not classification:
-            return LinearRegression(loss="huber", regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=200)
-        svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=100, tol=SVC_TOLERANCE)
+            return LinearRegression(loss="huber", regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=p["max_iter"])
+        svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=p["max_iter"], tol=SVC_TOLERANCE)
         return svc if classes <= 2 else OneVsRest(classifier=svc, parallelism=4)
     if model_type == "random_forest":
         family = RandomForestClassifier if classification else RandomForestRegressor
         return family(
             numTrees=p["n_estimators"],
-            maxDepth=min(p["max_depth"] or DEEPEST_TREE, DEEPEST_TREE),
+            maxDepth=p["max_depth"] or DEEPEST_TREE,
             minInstancesPerNode=p["min_samples_leaf"],
             featureSubsetStrategy=_subset_strategy(p["max_features"]),
             seed=seed,
@@ -156,13 +172,14 @@ class KernelMap:
     gamma: float
     size: int
     seed: int
-    output: int = FOURIER_FEATURES
+    output: int = 256
+    degree: int = 3
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.kernel == "linear":
             return df
         if self.kernel == "poly":
-            expanded = PolynomialExpansion(degree=3, inputCol="features", outputCol="_mapped").transform(df)
+            expanded = PolynomialExpansion(degree=self.degree, inputCol="features", outputCol="_mapped").transform(df)
             return expanded.drop("features").withColumnRenamed("_mapped", "features")
         generator = np.random.default_rng(self.seed)
         weights = generator.normal(0.0, math.sqrt(2.0 * self.gamma), (self.size, self.output))
@@ -195,7 +212,7 @@ def _kernel_map(train: DataFrame, columns: Sequence[str], p: dict) -> KernelMap
         gamma = 1.0 / (len(columns) * spread) if spread > 0 else 1.0
     elif gamma == "auto":
         gamma = 1.0 / len(columns)
-    return KernelMap(kernel, float(gamma), len(columns), int(p.get("random_state") or 0))
+    return KernelMap(kernel, float(gamma), len(columns), int(p["random_state"] or 0), p["n_components"], p["degree"])
 
 
 def class_values(df: DataFrame, label: str) -> list:
@@ -218,11 +235,16 @@ class TrainedModel:
     calibration: PipelineModel | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` and, for classification, ``probability`` (array in class order). Works on streams."""
+        """Add ``prediction`` and, for classification, ``probability`` (array in class order). Works on streams.
+
+        Columns of these two names are replaced; no other input name matters.
+        """
         table = _assemble(df, self.features, self.kernel)
         scored = self.stages.transform(table)
+        added = {"prediction"} if self.task == "regression" else {"prediction", "probability"}
+        kept = [F.col(ROW).getField(c).alias(c) for c in df.columns if c not in added]
         if self.task == "regression":
-            return scored.select(*map(col, df.columns), F.col("prediction"))
+            return scored.select(*kept, F.col("prediction"))
         if self.calibration is not None:
             scored = self.calibration.transform(scored.withColumnRenamed("prediction", "_argmax")).withColumn(
                 "prediction", F.col("_argmax")
@@ -234,7 +256,7 @@ class TrainedModel:
             probability = _share_of_sigmoids(vector_to_array("rawPrediction"))
         position = F.col("prediction").cast("int")
         return scored.select(
-            *map(col, df.columns),
+            *kept,
             F.get(F.array(*map(F.lit, self.classes)), position).alias("prediction"),
             probability.alias("probability"),
         )
@@ -246,17 +268,17 @@ class TrainedModel:
         fitted = self.stages.stages[-1]
         if self.kernel is not None and self.kernel.kernel != "linear":
             return None, "not_available"
-        if isinstance(fitted, OneVsRestModel):
-            fitted = fitted.models[0]
-        if hasattr(fitted, "featureImportances"):
-            return dict(zip(self.features, map(float, fitted.featureImportances.toArray()))), "mean_decrease_impurity"
-        if hasattr(fitted, "coefficientMatrix"):
-            values = np.abs(fitted.coefficientMatrix.toArray()[0])
-        elif hasattr(fitted, "coefficients"):
-            values = np.abs(fitted.coefficients.toArray())
+        # One model per class: the mean over the classes.
+        parts = fitted.models if isinstance(fitted, OneVsRestModel) else [fitted]
+        if hasattr(parts[0], "featureImportances"):
+            values, method = [m.featureImportances.toArray() for m in parts], "mean_decrease_impurity"
+        elif hasattr(parts[0], "coefficientMatrix"):
+            values, method = [np.abs(m.coefficientMatrix.toArray()[0]) for m in parts], "coefficient_magnitude"
+        elif hasattr(parts[0], "coefficients"):
+            values, method = [np.abs(m.coefficients.toArray()) for m in parts], "coefficient_magnitude"
         else:
             return None, "not_available"
-        return dict(zip(self.features, map(float, values))), "coefficient_magnitude"
+        return dict(zip(self.features, map(float, np.mean(values, axis=0)))), method
 
     def save(self, path: str) -> str:
         """Write the stages and their description under ``path``."""
@@ -313,9 +335,17 @@ def _share_of_sigmoids(raw: Column) -> Column:
     return F.transform(positive, lambda s: s / total)
 
 
-def _assemble(df: DataFrame, columns: Sequence[str], kernel: KernelMap | None) -> DataFrame:
-    inputs = df.withColumns({f"_in{i}": F.coalesce(number(c), F.lit(0.0)) for i, c in enumerate(columns)})
-    table = VectorAssembler(inputCols=[f"_in{i}" for i in range(len(columns))], outputCol="features").transform(inputs)
+ROW = "row"
+"""Holds all input columns while a model runs, so that none can clash with a column of the solvers."""
+
+
+def _assemble(df: DataFrame, columns: Sequence[str], kernel: KernelMap | None, target: Column | None = None) -> DataFrame:
+    """``ROW``, ``features`` and, with a target, ``label``; all read from the input columns."""
+    names = [f"input_{i}" for i in range(len(columns))]
+    inputs = [F.coalesce(number(c), F.lit(0.0)).alias(n) for n, c in zip(names, columns)]
+    label = [] if target is None else [target.alias("label")]
+    table = df.select(F.struct(*map(col, df.columns)).alias(ROW), *label, *inputs)
+    table = VectorAssembler(inputCols=names, outputCol="features").transform(table).drop(*names)
     return kernel.apply(table) if kernel else table
 
 
@@ -371,7 +401,7 @@ def fit_model(
         target = (F.array_position(F.array(*map(F.lit, classes)), col(label)) - 1).cast("double")
     else:
         target = number(label)
-    table = _assemble(usable.withColumn("label", target), features, kernel).select("features", "label")
+    table = _assemble(usable, features, kernel, target).select("features", "label")
     stages = Pipeline(stages=[estimator]).fit(table)
     calibration = None
     if model_type == "svm" and task == "classification":
@@ -381,7 +411,7 @@ def fit_model(
             predictionCol="_calibrated_class",
             probabilityCol="_calibrated",
             rawPredictionCol="_calibrated_raw",
-            maxIter=30,
+            maxIter=p["calibration_iter"],
             tol=1e-4,
         )
         calibration = Pipeline(stages=[scaler]).fit(margins)
@@ -417,7 +447,11 @@ def evaluate_model(model: TrainedModel, df: DataFrame, label: str) -> dict:
     if model.task == "regression":
         return evaluate_predictions(scored, truth, "prediction", "regression")
     scored = scored.select(
-        col(truth).alias("_y"), F.col("prediction"), F.col("probability"), F.get("probability", F.lit(1)).alias("_score")
+        col(truth).alias("_y"),
+        F.col("prediction"),
+        F.col("probability"),
+        # Of two classes the greater is the positive one, and the score is its own probability.
+        F.get("probability", F.lit(len(model.classes) - 1)).alias("_score"),
     ).persist()
     try:
         return evaluate_predictions(
@@ -427,7 +461,7 @@ def evaluate_model(model: TrainedModel, df: DataFrame, label: str) -> dict:
             score="_score",
             probability="probability",
             classes=model.classes,
-            positive=model.classes[-1] if 1 not in model.classes else 1,
+            positive=model.classes[-1],
         )
     finally:
         scored.unpersist()

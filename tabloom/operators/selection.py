@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -96,28 +97,24 @@ def spearman_scores(df: DataFrame, target: str, columns: Sequence[str]) -> DataF
 
     Ranks come from running counts over distinct values, range sorted over all tasks, so neither a
     frequent value nor a long column lands in one task. Columns without missing values share the
-    ranks of the target; a column with missing values ranks the target over its own rows.
+    ranks of the target; columns with missing values each rank the target over their own rows, together.
     """
     table = df.select(number(target).alias("y"), *[number(c).alias(f"x{i}") for i, c in enumerate(columns)])
     table = table.where("y IS NOT NULL")
     holes = table.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in range(len(columns))], F.count("*")).first()
     total = holes[-1]
     complete = [i for i in range(len(columns)) if not holes[i]]
+    holed = {i: total - holes[i] for i in range(len(columns)) if holes[i]}
     parts = [_rank_sums(table, complete, total)] if complete else []
-    parts += [
-        _rank_sums(table.where(F.col(f"x{i}").isNotNull()), [i], total - holes[i])
-        for i in range(len(columns))
-        if holes[i]
-    ]
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionAll(p)
+    # All columns with holes share one long table: the number of passes does not grow with them.
+    parts += [_own_rank_sums(table, holed)] if holed else []
+    sums = reduce(DataFrame.unionAll, parts)
     name = F.get(F.array(*map(F.lit, columns)), F.col("feature"))
     rho = F.abs(F.col("xy") / zero_to_null(F.sqrt("xx") * F.sqrt("yy")))
     return _every_feature(sums.select(name.alias("feature"), F.coalesce(F.round(rho, 6), F.lit(0.0)).alias("score")), columns)
 
 
-def _centred_ranks(values: DataFrame, value: str, total: int, by: Sequence[str] = ()) -> DataFrame:
+def _centred_ranks(values: DataFrame, value: str, total: int | Column, by: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct value (with its count ``n``) minus the mean rank of ``total`` rows."""
     running = running_totals(values, value, {"upto": "n"}, by)
     return running.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0 - (total + 1) / 2.0).drop("upto")
@@ -143,6 +140,24 @@ def _rank_sums(table: DataFrame, features: list[int], total: int) -> DataFrame:
     )
 
 
+def _own_rank_sums(table: DataFrame, totals: dict[int, int]) -> DataFrame:
+    """The same sums where every feature ranks the target over the rows that hold the feature."""
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("x")) for i in totals])
+    long = table.select("y", F.explode(cells).alias("e")).select("y", "e.feature", "e.x").where("x IS NOT NULL")
+    pairs = durable(long.groupBy("feature", "y", "x").agg(F.count("*").alias("n")))
+    total = F.element_at(F.create_map(*[F.lit(v) for pair in totals.items() for v in pair]), F.col("feature"))
+    target = _centred_ranks(pairs.groupBy("feature", "y").agg(F.sum("n").alias("n")), "y", total, ["feature"])
+    r, n = F.col("rank"), F.col("n")
+    per_value = durable(
+        pairs.join(target.select("feature", "y", "rank"), ["feature", "y"])
+        .groupBy("feature", "x")
+        .agg(F.sum(n).alias("n"), F.sum(n * r).alias("ry"), F.sum(n * r * r).alias("yy"))
+    )
+    return _centred_ranks(per_value, "x", total, ["feature"]).groupBy("feature").agg(
+        F.sum(r * F.col("ry")).alias("xy"), F.sum(n * r * r).alias("xx"), F.sum("yy").alias("yy")
+    )
+
+
 def _every_feature(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add a zero score for columns without any complete row."""
     names = scores.sparkSession.createDataFrame([(c,) for c in columns], "feature string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,7 +30,10 @@ def _default_models() -> list[dict]:
 
 @dataclass
 class WorkflowConfig:
-    """Settings of one workflow run. ``key`` names the columns that identify a row."""
+    """Settings of one workflow run. ``key`` names the columns that identify a row.
+
+    Fills and feature selection see training rows only, unless ``full_data`` is set.
+    """
 
     dataset_path: str
     target_col: str
@@ -45,6 +49,7 @@ class WorkflowConfig:
     test_size: float = 0.2
     random_state: int = 42
     profile: bool = True
+    full_data: bool = False
     run_log_path: str | None = None
     project_id: int = 0
     experiment_name: str = "workflow"
@@ -88,8 +93,14 @@ def run_workflow(spark: SparkSession, config: WorkflowConfig, dataset: DataFrame
         df = df.withColumn("_row_key", F.sha2(F.to_json(F.struct(*map(col, df.columns))), 256))
         keys = ["_row_key"]
     reserved = [target, *keys]
+    df = _marked(df, target, keys, config)
     df = handle_missing_values(
-        df, config.missing_strategy, numeric_columns(df, exclude=reserved), config.fill_value, order_by=config.order_by
+        df,
+        config.missing_strategy,
+        numeric_columns(df, exclude=reserved),
+        config.fill_value,
+        order_by=config.order_by,
+        fit_on=_fitting(df, config),
     )
     done("preprocess")
 
@@ -99,16 +110,15 @@ def run_workflow(spark: SparkSession, config: WorkflowConfig, dataset: DataFrame
 
     # From here on the engineered table is read several times: write it once.
     candidates = numeric_columns(df, exclude=reserved)
-    table = durable(df.select(*map(col, dict.fromkeys([*keys, *candidates, target]))))
-    varying = variance_threshold(table, config.variance_threshold, exclude=reserved).selected
-    scores = _scored(table, target, config, exclude=[*keys, *[c for c in candidates if c not in varying]])
+    table = durable(df.select(*map(col, dict.fromkeys([*keys, *candidates, target, IN_TEST]))))
+    fitting = _fitting(table, config).drop(IN_TEST)
+    varying = variance_threshold(fitting, config.variance_threshold, exclude=reserved).selected
+    scores = _scored(fitting, target, config, exclude=[*keys, *[c for c in candidates if c not in varying]])
     selected = scores or varying or candidates
     done("feature_selection")
 
-    stratify = target if config.task == "classification" else None
-    labelled = table.where(col(target).isNotNull())
-    train, test = split(labelled, keys, config.test_size, config.random_state, stratify)
-    train, test = mean_impute(train, test, selected)
+    train, test = (table.where(side).drop(IN_TEST) for side in (f"not {IN_TEST}", IN_TEST))
+    train, test = mean_impute(train, test, selected, config.full_data)
     scaler = Scaler("standard").fit(train, selected)
     train, test = scaler.transform(train), scaler.transform(test)
     done("split_scale")
@@ -127,6 +137,23 @@ def run_workflow(spark: SparkSession, config: WorkflowConfig, dataset: DataFrame
     return WorkflowResult(config, stats, selected, results, comparison, timings, train.count(), test.count())
 
 
+IN_TEST = "_in_test"
+"""True for test rows, false for training rows, null for rows without a target."""
+
+
+def _marked(df: DataFrame, target: str, keys: list[str], config: WorkflowConfig) -> DataFrame:
+    """All rows with their side of the split, which depends on keys and classes alone."""
+    stratify = target if config.task == "classification" else None
+    train, test = split(df.where(col(target).isNotNull()), keys, config.test_size, config.random_state, stratify)
+    sides = [(train, F.lit(False)), (test, F.lit(True)), (df.where(col(target).isNull()), F.lit(None).cast("boolean"))]
+    return reduce(DataFrame.unionByName, [rows.withColumn(IN_TEST, side) for rows, side in sides])
+
+
+def _fitting(df: DataFrame, config: WorkflowConfig) -> DataFrame:
+    """The rows that fitted values may come from."""
+    return df if config.full_data else df.where(f"not {IN_TEST}")
+
+
 def _scored(table: DataFrame, target: str, config: WorkflowConfig, exclude: list[str]) -> list[str]:
     """Columns correlated with the target; text classes are compared by their index."""
     if target not in numeric_columns(table):

@@ -213,6 +213,8 @@ def dedup_none(spark, folder):
     return kept.select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@registry.add("dedup_whole_rows", "SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem")
+@registry.add("dedup_whole_rows", "SELECT DISTINCT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_custkey % 3 = 0)")
 def dedup_whole_rows(spark, folder):
-    return clean.remove_duplicates(table(spark, folder, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus"))
+    """All columns of a table that holds a third of its rows twice."""
+    orders = table(spark, folder, "orders")
+    return clean.remove_duplicates(orders.unionAll(orders.where("o_custkey % 3 = 0")))

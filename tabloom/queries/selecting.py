@@ -44,8 +44,9 @@ def labelled_documents(spark, folder):
     ),
 )
 def variance_threshold(spark, folder):
-    found = selection.variances(table(spark, folder, "lineitem"), LINE_FEATURES)
-    return found.select("feature", F.round("variance", 6).alias("variance"), (F.col("variance") >= 0.01).alias("selected"))
+    found = selection.variance_threshold(table(spark, folder, "lineitem").select(*LINE_FEATURES))
+    rows = [(c, found.scores[c], c in found.selected) for c in LINE_FEATURES]
+    return spark.createDataFrame(rows, "feature string, variance double, selected boolean")
 
 
 @registry.add(
@@ -180,10 +181,52 @@ def forward_selection(spark, folder):
     return _selected(spark, selection.forward_selection(_lines(spark, folder), "l_extendedprice", 3, key="key"))
 
 
-@registry.add("forward_selection_blocks")
+# Mean R² over three contiguous folds of lines and planes by the normal equations of the other two folds.
+_PAIR = """WITH n AS (SELECT o_custkey::DOUBLE AS a, month(o_orderdate)::DOUBLE AS b, o_totalprice AS y,
+        row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),
+      f AS (SELECT a, b, y, CASE WHEN p < (n % 3) * (n // 3 + 1) THEN p // (n // 3 + 1)
+              ELSE n % 3 + (p - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold FROM n),
+      t AS (SELECT g.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+              covar_pop(a, y) AS ay, covar_pop(b, y) AS b_y
+            FROM (SELECT DISTINCT fold FROM f) g JOIN f ON f.fold <> g.fold GROUP BY g.fold),
+      c AS (SELECT *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS wa, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM t),
+      s AS (SELECT 1 - sum((y - my - ay / aa * (a - ma)) ** 2) / (var_pop(y) * count(*)) AS ra,
+              1 - sum((y - my - b_y / bb * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS rb,
+              1 - sum((y - my - wa * (a - ma) - wb * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS rab
+            FROM f JOIN c USING (fold) GROUP BY fold),
+      r AS (SELECT avg(ra) AS ra, avg(rb) AS rb, avg(rab) AS rab FROM s)"""
+
+
+def _dated_orders(spark, folder):
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.month("o_orderdate").alias("m"))
+
+
+@registry.add(
+    "forward_selection_blocks",
+    f"""{_PAIR} SELECT 1::INTEGER AS position, CASE WHEN ra >= rb THEN 'o_custkey' ELSE 'm' END AS feature FROM r
+        UNION ALL SELECT 2, CASE WHEN ra >= rb THEN 'm' ELSE 'o_custkey' END FROM r WHERE rab > greatest(ra, rb)""",
+)
 def forward_selection_blocks(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.month("o_orderdate").alias("m"))
-    return _selected(spark, selection.forward_selection(orders, "o_totalprice", 2, order_by="o_orderkey"))
+    return _selected(spark, selection.forward_selection(_dated_orders(spark, folder), "o_totalprice", 2, order_by="o_orderkey"))
+
+
+@registry.add(
+    "backward_elimination_blocks",
+    f"{_PAIR} SELECT 1::INTEGER AS position, CASE WHEN ra > rb THEN 'o_custkey' ELSE 'm' END AS feature FROM r",
+)
+def backward_elimination_blocks(spark, folder):
+    return _selected(spark, selection.backward_elimination(_dated_orders(spark, folder), "o_totalprice", 1, order_by="o_orderkey"))
+
+
+@registry.add(
+    "recursive_elimination_pair",
+    """WITH m AS (SELECT var_pop(l_quantity) AS aa, var_pop(l_partkey) AS bb, covar_pop(l_quantity, l_partkey) AS ab,
+          covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_partkey, l_extendedprice) AS b_y FROM lineitem)
+        SELECT 1::INTEGER AS position, CASE WHEN abs(ay * bb - b_y * ab) >= abs(b_y * aa - ay * ab) THEN 'l_quantity' ELSE 'l_partkey' END AS feature FROM m""",
+)
+def recursive_elimination_pair(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_quantity", "l_partkey", "l_extendedprice")
+    return _selected(spark, selection.recursive_elimination(lines, "l_extendedprice", 1))
 
 
 @registry.add("backward_elimination")
@@ -198,17 +241,17 @@ def recursive_elimination(spark, folder):
 
 @registry.add("recursive_elimination_forest")
 def recursive_elimination_forest(spark, folder):
-    forest = RandomForestRegressor(numTrees=5, maxDepth=4, seed=7)
+    forest = RandomForestRegressor(seed=7)
     return _selected(spark, selection.recursive_elimination(_lines(spark, folder), "l_extendedprice", 3, forest))
 
 
-def _hash(key: str, seed: int = 42) -> str:
+def hash_sql(key: str, seed: int = 42) -> str:
     return f"('0x' || substr(md5({key}::VARCHAR || '-{seed}'), 1, 15))::BIGINT"
 
 
 @registry.add(
     "random_split",
-    f"SELECT o_orderkey, ({_hash('o_orderkey')} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM orders",
+    f"SELECT o_orderkey, ({hash_sql('o_orderkey')} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM orders",
 )
 def random_split(spark, folder):
     train, test = prepare.random_split(table(spark, folder, "orders"), "o_orderkey")
@@ -220,7 +263,7 @@ def random_split(spark, folder):
 @registry.add(
     "stratified_split",
     f"""SELECT o_orderkey, o_orderstatus,
-        row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_hash('o_orderkey')})
+        row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')})
           <= floor(0.2 * count(*) OVER (PARTITION BY o_orderstatus) + 0.5) AS in_test FROM orders""",
 )
 def stratified_split(spark, folder):
@@ -231,7 +274,7 @@ def stratified_split(spark, folder):
     )
 
 
-@registry.add("hash_folds", f"SELECT o_orderkey, ({_hash('o_orderkey')} % 5)::INTEGER AS fold FROM orders")
+@registry.add("hash_folds", f"SELECT o_orderkey, ({hash_sql('o_orderkey')} % 5)::INTEGER AS fold FROM orders")
 def hash_folds(spark, folder):
     return prepare.assign_folds(table(spark, folder, "orders"), 5, key="o_orderkey").select("o_orderkey", "fold")
 
@@ -248,7 +291,7 @@ def block_folds(spark, folder):
 
 @registry.add(
     "impute_from_train",
-    f"""WITH {HOLED}, s AS (SELECT *, ({_hash('event_id')} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM holed)
+    f"""WITH {HOLED}, s AS (SELECT *, ({hash_sql('event_id')} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM holed)
         SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM s WHERE NOT in_test)), 6) AS value FROM s WHERE in_test""",
 )
 def impute_from_train(spark, folder):

@@ -1,14 +1,19 @@
 """Training queries: whole tables in, one row per fitted model out."""
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabloom.operators.models import fit_model, train_multiple
 from tabloom.operators.analysis import importance_table
-from tabloom.operators.prepare import mean_impute, split
+from tabloom.operators.models import evaluate_model, fit_model, load_model, train_multiple
+from tabloom.operators.prepare import feature_matrix, mean_impute, split
 from tabloom.operators.scaler import Scaler
 from tabloom.plans.workflow import WorkflowConfig, run_workflow
 from tabloom.queries import Registry, table
-from tabloom.queries.selecting import TEXT_FEATURES, labelled_documents
+from tabloom.queries.engineering import rounded
+from tabloom.queries.selecting import TEXT_FEATURES, hash_sql, labelled_documents
+from tabloom.session import checkpoint_folder, durable
 
 registry = Registry()
 
@@ -36,30 +41,63 @@ def _lines(spark, folder):
 
 
 def _train(spark, source, configs, task="classification"):
+    """Results, the scaler that the models saw, and the two sides of the split."""
     df, features = source
     train, test = split(df, "key", 0.2, 42, "label" if task == "classification" else None)
     train, test = mean_impute(train, test, features)
     scaler = Scaler("standard").fit(train, features)
-    return train_multiple(scaler.transform(train), features, "label", configs, scaler.transform(test), task)
-
-
-def _table(spark, results):
-    """Model, task, and whether the score on held-out rows is sane."""
+    train, test = durable(scaler.transform(train)), durable(scaler.transform(test))
+    return train_multiple(train, features, "label", configs, test, task), scaler, train, test
+
+
+def _checked(spark, source, configs, task="classification"):
+    """Per model: rows on both sides, what predicting the commonest class (or the mean) scores on the test
+    rows, and whether the model scores at least that."""
+    results, _, train, test = _train(spark, source, configs, task)
+    counts = [part.where("label is not null").count() for part in (train, test)]
+    floor = 0.0
+    if task == "classification":
+        floor = test.where("label is not null").groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
     rows = []
     for r in results:
-        score = r.metrics["accuracy"] if r.task == "classification" else r.metrics["r2"]
-        rows.append((r.model_type, r.task, float(score)))
-    return spark.createDataFrame(rows, "model_type string, task string, score double")
+        score = r.metrics["accuracy"] if task == "classification" else r.metrics["r2"]
+        # Metrics come rounded to four digits.
+        rows.append((r.model_type, task, *counts, round(float(floor), 6), bool(score >= round(floor, 4))))
+    return spark.createDataFrame(rows, "model_type string, task string, n_train long, n_test long, baseline double, reaches_baseline boolean")
+
+
+_CLASSES = {
+    "vectors": "SELECT label, " + hash_sql("vec_id") + " AS h FROM embeddings",
+    "documents": "SELECT quality AS label, " + hash_sql("doc_id") + " AS h FROM documents JOIN labels USING (doc_id)",
+}
+
+
+def _class_sql(source, *models):
+    """The stratified split has exactly the rows of the least hashes of each class on the test side."""
+    return f"""WITH h AS ({_CLASSES[source]}), s AS (
+          SELECT label, row_number() OVER (PARTITION BY label ORDER BY h) <= floor(0.2 * count(*) OVER (PARTITION BY label) + 0.5) AS in_test
+          FROM h WHERE label IS NOT NULL),
+        c AS (SELECT label, count(*) AS n FROM s WHERE in_test GROUP BY 1)
+        SELECT m.model_type, 'classification' AS task, (SELECT count(*) FROM s WHERE NOT in_test) AS n_train,
+          (SELECT count(*) FROM s WHERE in_test) AS n_test, (SELECT round(max(n) / sum(n)::DOUBLE, 6) FROM c) AS baseline,
+          true AS reaches_baseline FROM (VALUES {", ".join(f"('{m}')" for m in models)}) AS m(model_type)"""
+
+
+def _line_sql(model):
+    key = "(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey)"
+    return f"""WITH s AS (SELECT ({hash_sql(key)} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM lineitem)
+        SELECT '{model}' AS model_type, 'regression' AS task, count(*) FILTER (NOT in_test) AS n_train,
+          count(*) FILTER (in_test) AS n_test, 0e0 AS baseline, true AS reaches_baseline FROM s"""
 
 
-@registry.add("train_logistic_regression")
+@registry.add("train_logistic_regression", _class_sql("vectors", "logistic_regression"))
 def train_logistic_regression(spark, folder):
-    return _table(spark, _train(spark, _vectors(spark, folder), [{"type": "logistic_regression"}]))
+    return _checked(spark, _vectors(spark, folder), [{"type": "logistic_regression"}])
 
 
-@registry.add("train_linear_regression")
+@registry.add("train_linear_regression", _line_sql("logistic_regression"))
 def train_linear_regression(spark, folder):
-    return _table(spark, _train(spark, _lines(spark, folder), [{"type": "logistic_regression"}], "regression"))
+    return _checked(spark, _lines(spark, folder), [{"type": "logistic_regression"}], "regression")
 
 
 @registry.add(
@@ -74,60 +112,134 @@ def linear_regression_line(spark, folder):
     return spark.createDataFrame([row], "slope double, intercept double")
 
 
-@registry.add("train_svm")
+@registry.add(
+    "linear_regression_plane",
+    """WITH m AS (SELECT covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_partkey, l_partkey) AS bb,
+         covar_pop(l_quantity, l_partkey) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay,
+         covar_pop(l_partkey, l_extendedprice) AS b_y, avg(l_quantity) AS ma, avg(l_partkey) AS mb, avg(l_extendedprice) AS my FROM lineitem),
+       c AS (SELECT *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS a, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS b FROM m)
+       SELECT round(a, 4) AS quantity, round(b, 4) AS part, round(my - a * ma - b * mb, 2) AS intercept FROM c""",
+)
+def linear_regression_plane(spark, folder):
+    """Normal equations of two features."""
+    model = fit_model(table(spark, folder, "lineitem"), ["l_quantity", "l_partkey"], "l_extendedprice", "logistic_regression", task="regression")
+    plane = model.stages.stages[-1]
+    row = (*(round(float(c), 4) for c in plane.coefficients), round(float(plane.intercept), 2))
+    return spark.createDataFrame([row], "quantity double, part double, intercept double")
+
+
+@registry.add("train_svm", _class_sql("documents", "svm"))
 def train_svm(spark, folder):
-    return _table(spark, _train(spark, _documents(spark, folder), [{"type": "svm"}]))
+    return _checked(spark, _documents(spark, folder), [{"type": "svm"}])
 
 
-@registry.add("train_svm_regression")
+@registry.add("train_svm_regression", _line_sql("svm"))
 def train_svm_regression(spark, folder):
-    configs = [{"type": "svm", "hyperparams": {"kernel": "linear", "C": 10.0}}]
-    return _table(spark, _train(spark, _lines(spark, folder), configs, "regression"))
+    return _checked(spark, _lines(spark, folder), [{"type": "svm"}], "regression")
 
 
-@registry.add("train_random_forest")
+@registry.add("train_random_forest", _class_sql("vectors", "random_forest"))
 def train_random_forest(spark, folder):
-    configs = [{"type": "random_forest", "hyperparams": {"n_estimators": 20, "max_depth": 8}}]
-    return _table(spark, _train(spark, _vectors(spark, folder), configs))
+    return _checked(spark, _vectors(spark, folder), [{"type": "random_forest"}])
 
 
-@registry.add("train_boosted_trees")
+@registry.add("train_boosted_trees", _line_sql("xgboost"))
 def train_boosted_trees(spark, folder):
-    configs = [{"type": "xgboost", "hyperparams": {"n_estimators": 10, "max_depth": 4}}]
-    return _table(spark, _train(spark, _lines(spark, folder), configs, "regression"))
+    return _checked(spark, _lines(spark, folder), [{"type": "xgboost"}], "regression")
 
 
-@registry.add("train_neural_network")
+@registry.add("train_neural_network", _class_sql("vectors", "neural_network"))
 def train_neural_network(spark, folder):
-    configs = [{"type": "neural_network", "hyperparams": {"hidden_layer_sizes": (32,), "max_iter": 60}}]
-    return _table(spark, _train(spark, _vectors(spark, folder), configs))
+    return _checked(spark, _vectors(spark, folder), [{"type": "neural_network"}])
 
 
-@registry.add("train_several")
+@registry.add("train_several", _class_sql("documents", "logistic_regression", "random_forest", "xgboost"))
 def train_several(spark, folder):
-    configs = [
-        {"type": "logistic_regression"},
-        {"type": "random_forest", "hyperparams": {"n_estimators": 10, "max_depth": 5}},
-        {"type": "xgboost", "hyperparams": {"n_estimators": 5, "max_depth": 3}},
-    ]
-    return _table(spark, _train(spark, _documents(spark, folder), configs))
+    configs = [{"type": "logistic_regression"}, {"type": "random_forest"}, {"type": "xgboost"}]
+    return _checked(spark, _documents(spark, folder), configs)
 
 
-@registry.add("feature_importance")
+@registry.add(
+    "feature_importance",
+    """WITH s AS (SELECT abs(regr_slope(l_extendedprice, l_quantity)) AS q FROM lineitem)
+       SELECT 'l_quantity' AS feature, round(q, 4) AS importance FROM s""",
+)
 def feature_importance(spark, folder):
-    configs = [{"type": "random_forest", "hyperparams": {"n_estimators": 10, "max_depth": 6}}]
-    (result,) = _train(spark, _lines(spark, folder), configs, "regression")
-    return importance_table(table(spark, folder, "lineitem"), result.model.importances()[0])
+    """Absolute coefficients of a line."""
+    model = fit_model(table(spark, folder, "lineitem"), ["l_quantity"], "l_extendedprice", "logistic_regression", task="regression")
+    return rounded(importance_table(table(spark, folder, "lineitem"), model.importances()[0]), 4, "importance").select("feature", "importance")
+
+
+@registry.add("forest_importance")
+def forest_importance(spark, folder):
+    results, *_ = _train(spark, _lines(spark, folder), [{"type": "random_forest"}], "regression")
+    return importance_table(table(spark, folder, "lineitem"), results[0].model.importances()[0])
 
 
 @registry.add("batch_predictions")
 def batch_predictions(spark, folder):
     df, features = _vectors(spark, folder)
-    (result,) = _train(spark, (df, features), [{"type": "logistic_regression"}])
-    return result.model.transform(Scaler("standard").fit(df, features).transform(df)).select("key", "prediction")
+    results, scaler, *_ = _train(spark, (df, features), [{"type": "logistic_regression"}])
+    return results[0].model.transform(scaler.transform(df)).select("key", "prediction")
 
 
-@registry.add("training_workflow")
+_TRAINED_LINE = f"""WITH s AS (SELECT o_orderkey, o_custkey AS x, o_totalprice AS y, ({hash_sql('o_orderkey')} >> 28)::DOUBLE / 4294967296 < 0.2 AS in_test FROM orders),
+    l AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE NOT in_test)
+    SELECT o_orderkey AS key, round(a + b * x, 2) AS prediction FROM s, l"""
+
+
+def _order_line(spark, folder):
+    """A line through the training orders, and all orders scaled as the line saw them."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", F.col("o_totalprice").alias("label"))
+    results, scaler, *_ = _train(spark, (orders, ["o_custkey"]), [{"type": "logistic_regression"}], "regression")
+    return results[0].model, scaler.transform(orders)
+
+
+@registry.add("batch_predictions_line", _TRAINED_LINE)
+def batch_predictions_line(spark, folder):
+    model, orders = _order_line(spark, folder)
+    return rounded(model.transform(orders).select("key", "prediction"), 2, "prediction")
+
+
+@registry.add("saved_model", _TRAINED_LINE)
+def saved_model(spark, folder):
+    """The same from a model that was written and read again."""
+    model, orders = _order_line(spark, folder)
+    loaded = load_model(model.save(f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"))
+    return rounded(loaded.transform(orders).select("key", "prediction"), 2, "prediction")
+
+
+@registry.add("feature_matrix", "SELECT o_orderkey, [o_custkey::DOUBLE, o_totalprice] AS features FROM orders")
+def feature_vectors(spark, folder):
+    matrix = feature_matrix(table(spark, folder, "orders"), ["o_custkey", "o_totalprice"])
+    return matrix.select("o_orderkey", vector_to_array("features").alias("features"))
+
+
+@registry.add(
+    "auc_of_shifted_labels",
+    """WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS y, l_quantity AS x FROM lineitem WHERE l_returnflag <> 'N'),
+        p AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS r FROM s),
+        a AS (SELECT sum(r) FILTER (y = 2) AS rs, count(*) FILTER (y = 2) AS n2, count(*) FILTER (y = 1) AS n1 FROM p),
+        u AS (SELECT (rs - n2 * (n2 + 1) / 2e0) / (n1 * n2::DOUBLE) AS auc FROM a)
+        SELECT round(greatest(auc, 1 - auc), 4) AS roc_auc FROM u""",
+)
+def auc_of_shifted_labels(spark, folder):
+    """A monotone score of one feature, labels 1 and 2: the area is that of the feature's ranks, on its better side."""
+    flag = F.col("l_returnflag")
+    lines = table(spark, folder, "lineitem").where(flag != "N").select("l_quantity", F.when(flag == "R", 2).otherwise(1).alias("y"))
+    model = fit_model(lines, ["l_quantity"], "y", "logistic_regression", {"penalty": None})
+    return spark.createDataFrame([(evaluate_model(model, lines, "y")["roc_auc"],)], "roc_auc double")
+
+
+@registry.add(
+    "training_workflow",
+    f"""WITH s AS (SELECT row_number() OVER (PARTITION BY o_totalprice > 250000 ORDER BY {hash_sql('o_orderkey')})
+          <= floor(0.2 * count(*) OVER (PARTITION BY o_totalprice > 250000) + 0.5) AS in_test, o_totalprice > 250000 AS large FROM orders),
+        c AS (SELECT large, count(*) AS n FROM s WHERE in_test GROUP BY 1)
+        SELECT m.model_type, (SELECT count(*) FROM s WHERE NOT in_test) AS n_train, (SELECT sum(n)::BIGINT FROM c) AS n_test,
+          (SELECT round(max(n) / sum(n)::DOUBLE, 6) FROM c) AS baseline, true AS reaches_baseline
+        FROM (VALUES ('logistic_regression'), ('random_forest')) AS m(model_type)""",
+)
 def training_workflow(spark, folder):
     config = WorkflowConfig(
         dataset_path=f"{folder}/orders.parquet",
@@ -136,7 +248,7 @@ def training_workflow(spark, folder):
         order_by="o_orderkey",
         models=[
             {"type": "logistic_regression"},
-            {"type": "random_forest", "hyperparams": {"n_estimators": 10, "max_depth": 5}},
+            {"type": "random_forest"},
         ],
         feature_spec={
             "features": [
@@ -155,5 +267,8 @@ def training_workflow(spark, folder):
         (F.col("o_totalprice") + (key % 13) * 20000).alias("noise"),
     )
     result = run_workflow(spark, config, orders)
-    rows = [(r.model_type, float(r.metrics["accuracy"]), result.test_rows) for r in result.train_results]
-    return spark.createDataFrame(rows, "model_type string, accuracy double, n_test long")
+    rows = []
+    for r in result.train_results:
+        largest = max(c["support"] for c in r.metrics["per_class"].values()) / result.test_rows
+        rows.append((r.model_type, result.train_rows, result.test_rows, round(largest, 6), r.metrics["accuracy"] >= round(largest, 4)))
+    return spark.createDataFrame(rows, "model_type string, n_train long, n_test long, baseline double, reaches_baseline boolean")

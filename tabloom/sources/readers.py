@@ -5,11 +5,16 @@ from __future__ import annotations
 from typing import Any
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabloom.functions.columns import nan_to_null
+from tabloom.functions.columns import col, nan_to_null
 
 CSV, PARQUET = (".csv",), (".parquet", ".pq")
+# Texts that stand for a missing value in CSV files.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 SQL_SCHEMES = ("postgresql", "postgresql+psycopg2", "sqlite", "mysql")
 
 
@@ -26,34 +31,61 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def load_dataset(
     spark: SparkSession,
-    path: str,
+    path: str | None = None,
     sql_query: str | None = None,
     schema: Any = None,
     partition_column: str | None = None,
     partitions: int | None = None,
+    format: str | None = None,
     **options: Any,
 ) -> DataFrame:
-    """Read CSV, Parquet or the result of a SQL query; NaN becomes NULL.
+    """Read CSV, Parquet, the result of a SQL query, or without a path a query over registered tables.
 
-    CSV types are inferred unless ``schema`` is given, which saves a pass over the file. A SQL source
-    is read by one task unless ``partition_column`` (numeric, date or timestamp) is named.
+    NaN, and in CSV the texts of ``MISSING``, become NULL. CSV types are found in one pass over the file
+    unless ``schema`` is given. ``format`` ("csv" or "parquet") is for files and folders without a suffix.
+    CSV values with line breaks need ``multiLine=True``; such a file is read by one task.
+
+    A SQL source is read by one task unless ``partition_column`` (numeric, date or timestamp) is named.
     """
-    if is_sql_source(path):
+    if path is None or is_sql_source(path):
         if not sql_query:
-            raise ValueError("sql_query is required for a SQL connection string.")
-        return nan_to_null(_read_sql(spark, path, sql_query, partition_column, partitions, options))
-    suffix = "." + path.rstrip("/*").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+            raise ValueError("sql_query is required for a SQL connection string or when there is no path.")
+        return nan_to_null(spark.sql(sql_query) if path is None else _read_sql(spark, path, sql_query, partition_column, partitions, options))
+    name = path.rstrip("/*").rsplit("/", 1)[-1].lower()
+    suffix = f".{format}" if format else "." + name.rsplit(".", 1)[-1] if "." in name else ""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
     if suffix not in CSV + PARQUET:
-        raise ValueError(f"Unsupported format '{suffix}'. Use .csv, .parquet, .pq or a SQL connection string.")
+        raise ValueError(f"Unsupported format '{suffix}'. Use .csv, .parquet, .pq, format= or a SQL connection string.")
     reader = spark.read.options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
     if suffix in PARQUET:
-        return nan_to_null(reader.parquet(path))
-    defaults = {"header": True, "inferSchema": schema is None, "preferDate": True, "quote": '"', "escape": '"'}
-    return nan_to_null(reader.options(**{k: v for k, v in defaults.items() if k not in options}).csv(path))
+        return nan_to_null((reader.schema(schema) if schema is not None else reader).parquet(path))
+    wanted = None
+    if schema is not None:
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted]))
+    defaults = {"header": True, "inferSchema": False, "quote": '"', "escape": '"'}
+    texts = reader.options(**{k: v for k, v in defaults.items() if k not in options}).csv(path)
+    texts = texts.select(*[F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in texts.columns])
+    kinds = {f.name: f.dataType.simpleString() for f in wanted} if wanted else _kinds(texts)
+    return nan_to_null(texts.select(*[col(c).try_cast(k).alias(c) for c, k in kinds.items()]))
+
+
+def _fits(value: Column, kind: str) -> Column:
+    """Whether a text is written as a value of the type."""
+    fits = F.trim(value).try_cast(kind).isNotNull()
+    return fits & F.trim(value).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") if kind == "date" else fits
+
+
+def _kinds(texts: DataFrame) -> dict[str, str]:
+    """The narrowest type that all values of a column fit; text for columns without values. One pass."""
+    candidates = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    fit = [
+        F.struct(F.count(col(c)).alias("n"), *[F.count_if(_fits(col(c), k)).alias(k) for k in candidates]).alias(f"c{i}")
+        for i, c in enumerate(texts.columns)
+    ]
+    row = texts.agg(*fit).first() if fit else []
+    return {c: next((k for k in candidates if row[i]["n"] and row[i][k] == row[i]["n"]), "string") for i, c in enumerate(texts.columns)}
 
 
 def jdbc_options(url: str) -> dict[str, str]:

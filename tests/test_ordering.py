@@ -1,5 +1,6 @@
 """The block algorithms against plain windows, with one key that holds most rows."""
 
+import math
 import random
 
 import pytest
@@ -82,12 +83,25 @@ PROBABILITIES = [0.0, 0.013, 0.25, 0.5, 0.51, 0.9, 0.99, 1.0]
 def test_quantile_search(skewed, monkeypatch):
     monkeypatch.setattr(quantiles, "LISTED_VALUES", 5)
     monkeypatch.setattr(quantiles, "ACCURACY", 20)
-    direct = exact_quantiles(skewed, ["v", "w"], PROBABILITIES)
-    searched = exact_quantiles(skewed, ["v", "w"], PROBABILITIES, direct_rows=0)
+    wanted = F.array(*map(F.lit, PROBABILITIES))
+    direct = skewed.agg(*[F.percentile(c, wanted).alias(c) for c in ("v", "w")]).first()
+    searched = exact_quantiles(skewed, ["v", "w"], PROBABILITIES)
     for name in ("v", "w"):
         assert searched[name] == pytest.approx(direct[name], abs=1e-12)
 
 
+def test_quantiles_with_infinities(frame, monkeypatch):
+    """The same answers whether values are listed at once or searched."""
+    inf = math.inf
+    values = [-inf, -inf, *map(float, range(40)), inf, None, math.nan]
+    df = frame("v double, w double", [(v, inf) for v in values])
+    for listed in (10_000, 3):
+        monkeypatch.setattr(quantiles, "LISTED_VALUES", listed)
+        monkeypatch.setattr(quantiles, "ACCURACY", 20)
+        found = exact_quantiles(df, ["v", "w"], [0.0, 0.5, 0.75, 1.0])
+        assert found["v"] == [-inf, 19.0, 29.5, inf] and found["w"] == [inf] * 4
+
+
 def test_group_quantiles(skewed):
     direct = group_quantiles(skewed, "k", "v", [0.25, 0.5])
     searched = group_quantiles(skewed, "k", "v", [0.25, 0.5], group_rows=0)

@@ -3,7 +3,8 @@ import math
 import pytest
 
 from tabloom.sources.catalogue import Catalogue
-from tabloom.sources.readers import ingest, is_sql_source, jdbc_options, load_dataset
+from tabloom.session import durable, scratch
+from tabloom.sources.readers import ingest, is_sql_source, jdbc_options, load_dataset, path_exists
 from tabloom.sources.tracking import RunLog, experiment_name, scalar_metrics
 
 
@@ -23,6 +24,42 @@ def test_csv_with_schema(spark, tmp_path):
     assert load_dataset(spark, str(path), schema="a long, b string").dtypes == [("a", "bigint"), ("b", "string")]
 
 
+def test_csv_missing_tokens_and_types(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text("n,x,flag,at,text,none\n1,NA,true,2024-01-31 10:00:00,null,N/A\nN/A,2.5,false,NaN,a NA,\n30000000000,1e3,n/a,2024-02-01 00:00:00,7,NULL\n")
+    df = load_dataset(spark, str(path))
+    assert dict(df.dtypes) == {"n": "bigint", "x": "double", "flag": "boolean", "at": "timestamp", "text": "string", "none": "string"}
+    rows = df.orderBy("n").collect()
+    assert [r["x"] for r in rows] == [2.5, None, 1000.0] and [r["text"] for r in rows] == ["a NA", None, "7"]
+    typed = load_dataset(spark, str(path), schema="n long, x string, flag boolean, at string, text string, none int").orderBy("n").collect()
+    assert [r["x"] for r in typed] == ["2.5", None, "1e3"]
+
+
+def test_csv_line_breaks(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text('a,b\n1,"two\nlines"\n2,one\n')
+    assert [r["b"] for r in load_dataset(spark, str(path), multiLine=True).orderBy("a").collect()] == ["two\nlines", "one"]
+
+
+def test_folder_and_query_sources(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    spark.createDataFrame([(1, math.nan), (2, 2.0)], "a int, b double").write.parquet(folder)
+    assert [r["b"] for r in load_dataset(spark, folder, format="parquet").orderBy("a").collect()] == [None, 2.0]
+    spark.read.parquet(folder).createOrReplaceTempView("folder_table")
+    assert [r["b"] for r in load_dataset(spark, sql_query="SELECT * FROM folder_table ORDER BY a").collect()] == [None, 2.0]
+    with pytest.raises(ValueError, match="sql_query"):
+        load_dataset(spark)
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    outer = durable(spark.range(3))
+    with scratch(spark):
+        inner = durable(spark.range(5))
+        assert inner.count() == 5
+        (path,) = {f.rsplit("/", 1)[0] for f in inner.inputFiles()}
+    assert not path_exists(spark, path) and outer.count() == 3
+
+
 def test_parquet_nan_becomes_null(spark, tmp_path):
     path = str(tmp_path / "data.parquet")
     spark.createDataFrame([(1, math.nan), (2, 2.0)], "a int, b double").write.parquet(path)

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import models
+from tabloom.operators.clean import handle_missing_values
 from tabloom.operators.prepare import split
 from tabloom.operators.scaler import Scaler
-from tabloom.plans.workflow import WorkflowConfig, run_workflow
+from tabloom.plans.workflow import IN_TEST, WorkflowConfig, _fitting, _marked, run_workflow
 from tabloom.plans.workspace import Workspace
 from tabloom.streaming.scoring import score_stream, write_stream
 
@@ -98,7 +99,7 @@ def test_kernels(binary):
 
 
 def test_factory():
-    assert models.build_model("random_forest", {"n_estimators": 7}).getNumTrees() == 7
+    assert models.build_model("random_forest", {"n_estimators": 13}).getNumTrees() == 13
     assert models.build_model("random_forest").getMaxDepth() == 30
     logistic = models.build_model("logistic_regression", {"penalty": "l1", "C": 0.5}, rows=100)
     assert logistic.getElasticNetParam() == 1.0 and logistic.getRegParam() == pytest.approx(0.02)
@@ -112,6 +113,46 @@ def test_factory():
         models.build_model("svm", task="ranking")
 
 
+@pytest.mark.parametrize("labels", [(0, 1), (1, 2), (-1, 1), ("no", "yes"), (False, True)])
+def test_auc_follows_the_greater_label(spark, labels):
+    kind = {int: "int", str: "string", bool: "boolean"}[type(labels[0])]
+    rows = [(float(i), labels[(i % 10 < 2) != (i > 60)]) for i in range(120)]
+    df = spark.createDataFrame(rows, f"f double, y {kind}")
+    found = models.train_model(df, ["f"], "y", "logistic_regression").metrics
+    greater = [f for f, y in rows if y == labels[1]]
+    lesser = [f for f, y in rows if y == labels[0]]
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in greater for b in lesser])
+    assert found["roc_auc"] == pytest.approx(area, abs=1e-3) and found["roc_auc"] > 0.7
+
+
+def test_input_names_do_not_matter(binary):
+    train, test = binary
+    plain = models.train_model(train, FEATURES, "y", "logistic_regression", test).metrics
+    names = dict(zip(FEATURES, ["label", "features", "prediction", "rawPrediction"]))
+    renamed = [part.withColumnsRenamed(names) for part in (train, test)]
+    model = models.fit_model(renamed[0], list(names.values()), "y", "logistic_regression")
+    found = models.evaluate_model(model, renamed[1], "y")
+    assert found == plain
+    assert set(model.transform(renamed[1]).columns) == {"key", "label", "features", "rawPrediction", "y", "prediction", "probability"}
+
+
+def test_importances_average_the_classes(many):
+    model = models.fit_model(many[0], FEATURES, "y", "xgboost", SMALL["xgboost"])
+    parts = [m.featureImportances.toArray() for m in model.stages.stages[-1].models]
+    assert len(parts) == 3
+    assert list(model.importances()[0].values()) == pytest.approx(list(np.mean(parts, axis=0)))
+
+
+def test_hyperparameters_are_checked():
+    for family, wrong in (
+        ("random_forest", {"max_depth": 50}), ("random_forest", {"max_depth": 0}), ("random_forest", {"min_samples_split": 4}),
+        ("neural_network", {"alpha": 0.1}), ("xgboost", {"n_estimatos": 5}),
+    ):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            models.build_model(family, wrong)
+    assert models.build_model("svm", {"max_iter": 5000}).getMaxIter() == 5000
+
+
 def test_train_multiple_is_sorted(binary):
     train, test = binary
     configs = [{"type": "random_forest", "hyperparams": {"n_estimators": 1, "max_depth": 1}}, {"type": "logistic_regression"}]
@@ -172,6 +213,21 @@ def test_workflow(spark, dataset, tmp_path):
     assert [r.metrics["accuracy"] for r in again.train_results] == [r.metrics["accuracy"] for r in result.train_results]
 
 
+def test_fills_come_from_training_rows(spark):
+    rows = [(i, float(i % 2) if i % 4 else None, i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "key long, f double, y int")
+    settings = config("memory", models=[{"type": "logistic_regression"}], profile=False)
+    marked = _marked(table, "y", ["key"], settings)
+    assert marked.where(IN_TEST).count() == 80
+    # Test values that would move the mean of all rows.
+    moved = marked.withColumn("f", F.when(F.col(IN_TEST) & F.col("f").isNotNull(), 1000.0).otherwise(F.col("f")))
+    filled = handle_missing_values(moved, "mean", ["f"], fit_on=_fitting(moved, settings))
+    assert filled.where("key % 4 = 0").agg(F.max("f")).first()[0] < 1.0
+    settings.full_data = True
+    assert handle_missing_values(moved, "mean", ["f"], fit_on=_fitting(moved, settings)).where("key % 4 = 0").agg(F.max("f")).first()[0] > 100
+    assert run_workflow(spark, config("memory", models=[{"type": "logistic_regression"}]), table).test_rows == 80
+
+
 def test_workflow_with_spec_and_csv(spark, dataset, tmp_path):
     source = str(tmp_path / "data.csv")
     spark.read.parquet(dataset[1]).toPandas().to_csv(source, index=False)
