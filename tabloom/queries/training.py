@@ -21,10 +21,11 @@ DIMENSIONS = [f"e{i}" for i in range(64)]
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
 
 
-def _vectors(spark, folder):
-    """Ten classes, 64 numeric features."""
+def _vectors(spark, folder, label="cast(e0 > 0 as int) * 2 + cast(e1 > 0 as int)"):
+    """64 numeric features and the quadrant of the first two as the class."""
     dims = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMENSIONS)]
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("key"), "label", *dims), DIMENSIONS
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("key"), *dims)
+    return vectors.withColumn("label", F.expr(label)), DIMENSIONS
 
 
 def _documents(spark, folder):
@@ -34,9 +35,9 @@ def _documents(spark, folder):
 
 
 def _lines(spark, folder):
-    """A numeric target."""
+    """A numeric target that depends on the first feature and on much else."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key")
-    lines = table(spark, folder, "lineitem").select(key, *LINE_FEATURES, F.col("l_extendedprice").alias("label"))
+    lines = table(spark, folder, "lineitem").select(key, *LINE_FEATURES, (F.col("l_extendedprice") + 2000 * F.col("l_quantity")).alias("label"))
     return lines, LINE_FEATURES
 
 
@@ -67,7 +68,8 @@ def _checked(spark, source, configs, task="classification"):
 
 
 _CLASSES = {
-    "vectors": "SELECT label, " + hash_sql("vec_id") + " AS h FROM embeddings",
+    "vectors": "SELECT (embedding[1] > 0)::INTEGER * 2 + (embedding[2] > 0)::INTEGER AS label, " + hash_sql("vec_id") + " AS h FROM embeddings",
+    "halves": "SELECT embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0 AS label, " + hash_sql("vec_id") + " AS h FROM embeddings",
     "documents": "SELECT quality AS label, " + hash_sql("doc_id") + " AS h FROM documents JOIN labels USING (doc_id)",
 }
 
@@ -153,10 +155,10 @@ def train_neural_network(spark, folder):
     return _checked(spark, _vectors(spark, folder), [{"type": "neural_network"}])
 
 
-@registry.add("train_several", _class_sql("documents", "logistic_regression", "random_forest", "xgboost"))
+@registry.add("train_several", _class_sql("halves", "logistic_regression", "random_forest", "xgboost"))
 def train_several(spark, folder):
     configs = [{"type": "logistic_regression"}, {"type": "random_forest"}, {"type": "xgboost"}]
-    return _checked(spark, _documents(spark, folder), configs)
+    return _checked(spark, _vectors(spark, folder, "e0 + e1 > 0"), configs)
 
 
 @registry.add(
@@ -209,10 +211,11 @@ def saved_model(spark, folder):
     return rounded(loaded.transform(orders).select("key", "prediction"), 2, "prediction")
 
 
-@registry.add("feature_matrix", "SELECT o_orderkey, [o_custkey::DOUBLE, o_totalprice] AS features FROM orders")
+@registry.add("feature_matrix", "SELECT o_orderkey, o_custkey::DOUBLE AS first, o_totalprice AS second FROM orders")
 def feature_vectors(spark, folder):
     matrix = feature_matrix(table(spark, folder, "orders"), ["o_custkey", "o_totalprice"])
-    return matrix.select("o_orderkey", vector_to_array("features").alias("features"))
+    cells = vector_to_array("features")
+    return matrix.select("o_orderkey", cells[0].alias("first"), cells[1].alias("second"))
 
 
 @registry.add(
