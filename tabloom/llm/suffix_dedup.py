@@ -39,7 +39,7 @@ WINDOW, ANCHOR = 100, 32
 PLACES = WINDOW - ANCHOR + 1
 COLUMNS = PLACES - 1 + WINDOW
 #: Different pieces of a key above which it is cut into single windows; windows dealt to one sub-key then.
-HOT_PIECES = 8_192
+HOT_PIECES = 1_024
 #: Pieces that one round covers in a task.
 CHUNK_PIECES = 100_000
 #: Bytes of a document that are read at once; longer ones are read in parts that overlap.
