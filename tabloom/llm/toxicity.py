@@ -28,7 +28,7 @@ FEATURE_BITS = 40
 #: Bytes of a word that make up the other kinds of features.
 BEGINNINGS = (4, 6)
 #: Expected size of the training samples; they are the part of the fit that the driver holds.
-POSITIVES, UNLABELLED = 5_000, 10_000
+POSITIVES, UNLABELLED = 3_000, 5_000
 MEMBERS = 3
 STEPS = 150
 #: Standard deviations by which a feature must be commoner in toxic texts than in unlabelled ones.
