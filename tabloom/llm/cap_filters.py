@@ -2,7 +2,9 @@
 
 A filter is a direction made of one code word for each half of a vector; a vector passes the filters whose
 direction it exceeds by a fixed inner product, and list-decoding finds them all from the sorted inner products
-with the few code words. Vectors that pass a common filter are compared by their true cosine.
+with the few code words. Vectors that pass a common filter are compared by their true cosine. Vectors of one
+length are first turned by one random rotation, so that their halves carry like shares of their energy even if
+they are padded, sparse or ordered by variance.
 
 The code grows with the table: a filter is passed by about BUCKET rows, and a vector passes about PASSED
 filters, so the work grows with rows, not with their square. Two vectors at cosine 0.93 pass a given one of
@@ -42,6 +44,8 @@ class ProductCode:
         words = max(2, round((PASSED / cap) ** 0.5))
         rng = np.random.default_rng([SEED, dims, words])
         self.half = (dims + 1) // 2
+        turn, scale = np.linalg.qr(np.random.default_rng([SEED, dims]).standard_normal((dims, dims)))
+        self.rotation = turn * np.where(np.diag(scale) < 0, -1.0, 1.0)
         # Words come as random rotations of the axes.
         self.first, self.second = (self._directions(rng, words, max(1, d)) for d in (self.half, dims - self.half))
         # A share ``cap`` of the sphere exceeds this inner product with the direction (first + second) / sqrt(2):
@@ -58,8 +62,12 @@ class ProductCode:
             parts.append(np.linalg.qr(rng.standard_normal((dims, dims)))[0].T)
         return np.concatenate(parts)[:words]
 
+    def turned(self, unit: np.ndarray) -> np.ndarray:
+        """The rows as decode() takes them: turned, so that no half is short of energy."""
+        return unit @ self.rotation
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) for every filter that a row passes; a row that passes none gets its best one."""
+        """(row, filter) for every filter that a turned row passes; a row that passes none gets its best one."""
         a = unit[:, : self.half] @ self.first.T
         b = unit[:, self.half :] @ self.second.T if unit.shape[1] > self.half else np.zeros((len(unit), len(self.second)))
         order = np.argsort(-b, axis=1)
@@ -155,7 +163,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 for at, unit in _units(part.column(3), dims):
                     if (code := codes.get(unit.shape[1])) is None:
                         code = codes[unit.shape[1]] = ProductCode(unit.shape[1], n_rows)
-                    row, filters = code.decode(unit)
+                    row, filters = code.decode(code.turned(unit))
                     own = at[row]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(labels[own]), pa.array(dims[own]), pa.array(filters, pa.int64())], ["key", "label", "dims", "filter"])
 

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tabloom.llm import cap_filters
 
@@ -95,3 +96,36 @@ def test_recall_at_the_least_cosine():
             whole = (part[0, : code.half] @ code.first.T)[:, None] + (part[0, code.half :] @ code.second.T)[None, :]
             assert (whole >= code.least).sum() in {(row == 0).sum(), 0}
         assert len({r for r, _ in passed[0] & passed[1]}) / 400 > 0.97, rows
+
+
+def uneven(kind, rng, n=300, dims=64):
+    """Pairs of unit vectors at cosine 0.935 whose energy lies unevenly over the components."""
+    scale = np.ones(dims)
+    if kind == "padded":
+        scale[dims // 2 :] = 0
+    elif kind == "pca":
+        scale = 1 / np.arange(1.0, dims + 1)
+    keep = np.argsort(rng.random((n, dims)), axis=1) < 6 if kind == "sparse" else np.ones((n, dims), bool)
+    a, side = (rng.standard_normal((n, dims)) * scale * keep for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return a, 0.935 * a + (1 - 0.935**2) ** 0.5 * side
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "padded", "pca", "sparse"])
+def test_recall_of_uneven_vectors(kind):
+    """Padded, sparse and variance-ordered vectors meet as often as isotropic ones."""
+    parts = uneven(kind, np.random.default_rng(21))
+    for rows in (2_000, 1_000_000):
+        code = cap_filters.ProductCode(64, rows)
+        passed = [set(zip(*(x.tolist() for x in code.decode(code.turned(part))))) for part in parts]
+        assert len({r for r, _ in passed[0] & passed[1]}) / 300 > 0.95, rows
+
+
+@pytest.mark.parametrize("kind", ["padded", "pca"])
+def test_links_of_uneven_vectors(spark, kind):
+    """Lone pairs, so that no other member of a component makes up for a pair that is missed."""
+    rows = [(2 * i + j, part[i].astype(np.float32).tolist(), 1) for j, part in enumerate(uneven(kind, np.random.default_rng(22))) for i in range(300)]
+    linked = sum(n for n, _, _ in got(spark.createDataFrame(rows, SCHEMA)).values())
+    assert linked >= 0.97 * sum(n for n, _, _ in brute(rows).values())
