@@ -5,6 +5,11 @@ that a word inside such elements (tag names and class or id names on its path) b
 score negative, less so those that labelled articles are full of. One linear scan finds the contiguous run
 with the best sum; its words are the text. Elements that never hold content are passed over and left out.
 
+Names as of menus, comments and advertisements leave an element out if a whole class, id or role is the name; as a
+part of one they are a feature of low odds. Neither holds for an element around the page's article, or with most
+of the words that look like content, nor for names of a state (``has-sidebar``, ``ad-free``), nor for paragraphs,
+headings and ids of sections.
+
 Labelled pages are those with exactly one ``article`` element: what it holds is the content. Weights come from
 counts over a bounded sample of pages, and start from fixed pseudo-counts, so that tables without any
 labelled page work as well.
@@ -27,45 +32,115 @@ from pyspark.sql import DataFrame, functions as F
 #: Expected number of pages that the weights are counted on.
 LABELLED_PAGES = 4_000
 SEED = 5
+#: The feature of places inside an element with a suspect part of a name.
+SOFT = "#named"
 #: Log-odds are kept within these limits; tags cost at least the least.
 MOST, TAG_COST = 3.0, 0.3
 
 # Elements of the HTML standard.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noframes", "noembed"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noframes", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "menclose", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "mspace", "msqrt", "mstyle",
+    "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 }
 #: Elements whose words are never content.
-NEVER = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "object", "audio", "video", "canvas"}
+NEVER = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "object", "audio", "video", "canvas", "annotation", "annotation-xml"}
 #: Names in class, id or role that mark an element as no content.
-NEVER_NAMED = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|aside|footer|masthead|notice|cookies?|consent|gdpr|"
-    r"comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|pagination|pager|widget|login|signup|toolbar|tags)(?:$|[^a-z])"
+_NAMES = (
+    r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|aside|footer|masthead|notice|cookies?|consent|gdpr|"
+    r"comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|pagination|pager|widget|login|signup|toolbar|tags)"
 )
+WHOLE_NAME, PART_NAME = re.compile(_NAMES), re.compile(rf"(?:^|[^a-z]){_NAMES}(?:$|[^a-z])")
+#: Names that tell how an element around others looks.
+STATE = re.compile(r"(?:with|without|has|have|no|not|is|hide|show|fixed|sticky)[-_].*|.*[-_](?:free|open|opened|closed|on|off|enabled|disabled|active|visible|hidden|collapsed|expanded)")
+#: Elements of running text, whose names say nothing of the kind; ids of sections are made from their titles.
+TEXTUAL = {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "xmp", "blockquote", "figure", "figcaption", "math"}
 #: Headers of a site, not of an article.
 SITE_HEADER = re.compile(r"(?:^|[^a-z])(?<!entry-)(?<!article-)(?<!post-)(?<!content-)(?<!story-)header(?:$|[^a-z])")
 #: Containers that say nothing about what they hold.
 PLAIN = {"html", "body", "div", "section", "center", "table", "tbody", "thead", "tr", "td", "th"}
+#: An element that is left out needs no feature; one that is not, because of what it holds, says nothing.
+FEATURELESS = INLINE | PLAIN | NEVER
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*?)(?:>|\Z)|([^<]+|<)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s\x00]+")
 
 
 class Token:
-    """A word run or a tag: ``text`` (None for tags), ``tag``, the features of its place, and flags."""
-
-    __slots__ = ("text", "tag", "place", "never", "labelled")
-
-    def __init__(self, text, tag, place, never, labelled):
-        self.text, self.tag, self.place, self.never, self.labelled = text, tag, place, never, labelled
-
-
-def tokens(page: str) -> Iterator[Token]:
-    """Read a page from left to right; one token per tag and per run of text between tags."""
-    path: list[tuple[str, tuple[str, ...], bool]] = []  # name, features, holds no content
+    """A word run or a tag: ``text`` (None for tags), ``tag``, the features of its place, the suspects around, and flags."""
+
+    __slots__ = ("text", "tag", "place", "suspects", "never", "labelled")
+
+    def __init__(self, text, tag, place, suspects, labelled):
+        self.text, self.tag, self.place, self.suspects, self.labelled = text, tag, place, suspects, labelled
+        self.never = False
+
+
+class Suspect:
+    """An element that may hold no content: ``soft`` ones only lower the odds; ``fixed`` ones yield to nothing but an article in them."""
+
+    __slots__ = ("soft", "fixed", "marked", "marks", "score")
+
+    def __init__(self, soft, fixed, marked):
+        self.soft, self.fixed, self.marked = soft, fixed, marked  # marked: inside of an article or main element
+        self.marks, self.score = {"article": 0, "main": 0}, 0.0
+
+
+def _suspect(name: str, rest: str, depth: int, marked: dict[str, int]) -> Suspect | None:
+    if name in NEVER and name != "form":
+        return Suspect(False, True, dict(marked))
+    names = []
+    if name not in TEXTUAL:
+        for kind, *values in _NAMED.findall(rest):
+            if kind.lower() != "id" or name != "section" and not depth:
+                names += [x for x in "".join(values).lower().split() if not STATE.fullmatch(x)]
+    if name == "form" or any(WHOLE_NAME.fullmatch(x) for x in names):
+        return Suspect(False, False, dict(marked))
+    if not depth and (name == "header" or any(SITE_HEADER.search(x) for x in names)):
+        return Suspect(False, False, dict(marked))
+    return Suspect(True, False, dict(marked)) if any(PART_NAME.search(x) for x in names) else None
+
+
+def tokens(page: str, weights: Weights | None = None) -> list[Token]:
+    """The tokens of a page, with what the suspects around them come to; ``weights`` tell which hold most of it."""
+    marks = {"article": 0, "main": 0}
+    read = list(_tokens(page, marks))
+    mark = "article" if marks["article"] else "main"
+    total = 0.0
+    if weights is not None:
+        for t in read:
+            if t.text is not None and not any(x.fixed for x in t.suspects):
+                score = max(0.0, weights.word(t.place, False)) * len(t.text.split())
+                total += score
+                for x in t.suspects:
+                    x.score += score
+
+    def cleared(x: Suspect) -> bool:
+        if x.marks[mark] and marks[mark] == 1:
+            return True
+        if x.fixed or marks[mark] and not x.marks[mark] and not x.marked[mark]:
+            return False
+        return x.score > total / 2
+
+    decided: dict[tuple[Suspect, ...], tuple[bool, bool]] = {}
+    for t in read:
+        if t.suspects:
+            if t.suspects not in decided:
+                left = [x.soft for x in t.suspects if not cleared(x)]
+                decided[t.suspects] = not all(left), any(left)
+            t.never, soft = decided[t.suspects]
+            if soft:
+                t.place += (SOFT,)
+    return read
+
+
+def _tokens(page: str, marks: dict[str, int]) -> Iterator[Token]:
+    """Read a page from left to right; one token per tag and per run of text between tags. Counts article and main elements."""
+    path: list[tuple[str, tuple[str, ...], tuple[Suspect, ...]]] = []  # name, features, suspects
     depth = 0  # of article elements
     at = 0
     while at < len(page):
@@ -73,7 +148,7 @@ def tokens(page: str) -> Iterator[Token]:
         at = match.end()
         close, name, rest, text = match.groups()
         if text is not None:
-            yield Token(html.unescape(text), None, path[-1][1] if path else (), bool(path) and path[-1][2], depth > 0)
+            yield Token(html.unescape(text), None, path[-1][1] if path else (), path[-1][2] if path else (), depth > 0)
             continue
         if name is None:
             continue
@@ -85,7 +160,7 @@ def tokens(page: str) -> Iterator[Token]:
                     depth -= gone == "article"
                     if gone == name:
                         break
-            yield Token(None, "/" + name, path[-1][1] if path else (), bool(path) and path[-1][2], depth > 0)
+            yield Token(None, "/" + name, path[-1][1] if path else (), path[-1][2] if path else (), depth > 0)
             continue
         while path and name not in INLINE and path[-1][0] in _CLOSED_BY.get(name, ()):
             path.pop()
@@ -93,23 +168,32 @@ def tokens(page: str) -> Iterator[Token]:
             # A block ends an open paragraph and the inline elements that were left open in it.
             while (gone := path.pop()[0]) != "p":
                 depth -= gone == "article"
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)).lower()
-        never = bool(path) and path[-1][2] or name in NEVER or bool(NEVER_NAMED.search(named)) and name not in {"html", "body", "article", "main"}
-        never = never or not depth and (name == "header" or bool(SITE_HEADER.search(named)))
-        features = (path[-1][1] if path else ()) + ((name,) if name == "a" or name not in INLINE and name not in PLAIN else ()) + tuple(f".{x}" for x in named.split()[:8])
-        yield Token(None, name, features, never, depth > 0)
+        named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(rest)).lower()
+        suspects = path[-1][2] if path else ()
+        if (suspect := _suspect(name, rest, depth, {m: sum(n == m for n, _, _ in path) for m in marks})) is not None:
+            suspects += (suspect,)
+        if name in marks:
+            marks[name] += 1
+            for x in suspects:
+                x.marks[name] += 1
+        features = (path[-1][1] if path else ()) + ((name,) if name == "a" or name not in FEATURELESS else ()) + tuple(f".{x}" for x in named.split()[:8])
+        yield Token(None, name, features, suspects, depth > 0)
         if name in VOID or rest.endswith("/"):
             continue
-        path.append((name, features[-24:], never))
+        path.append((name, features[-24:], suspects))
         depth += name == "article"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
+        elif name == "xmp":
+            end = re.compile(r"</xmp\b", re.I).search(page, at)
+            text, at = page[at : end.start() if end else len(page)], end.start() if end else len(page)
+            yield Token(text, None, features, suspects, depth > 0)
 
 
 def counts(page: str) -> Counter:
     """(feature, inside) counts of a labelled page; empty for others."""
-    read = list(tokens(page))
+    read = tokens(page)
     out: Counter = Counter()
     if sum(t.tag == "article" for t in read) != 1:
         return out
@@ -128,7 +212,7 @@ def counts(page: str) -> Counter:
 
 #: Pseudo-counts (inside, outside) that the weights start from.
 START = {"": (30.0, 20.0), "p": (50.0, 5.0), "h1": (20.0, 3.0), "main": (50.0, 5.0), "article": (80.0, 2.0), "a": (2.0, 20.0), "li": (10.0, 20.0), "pre": (20.0, 1.0), "blockquote": (20.0, 1.0)}
-START |= {name: (0.5, 60.0) for name in NEVER}
+START[SOFT] = (0.5, 60.0)
 START |= {f"<{name}": (20.0, 10.0) for name in ("p", "/p", "br", "b", "h2", "h3", "blockquote", "em", "strong", "i", "/b", "/em")}
 
 
@@ -163,7 +247,7 @@ def extract(page: str | None, weights: Weights) -> str:
     """The text of the best region of a page."""
     if not page:
         return ""
-    read = list(tokens(page))
+    read = tokens(page, weights)
     best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(read):
         if t.never:

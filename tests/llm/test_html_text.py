@@ -57,3 +57,35 @@ def test_edge_pages(spark, weights):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, html string"), weights).collect() == []
     with pytest.raises(ValueError, match="names of results"):
         html_text.main_text(spark.createDataFrame([], "page_id long, html string, text string"), weights)
+
+
+BODY = f"<h1>Title of it</h1><p>{passage(71, 60)}</p><p>{passage(72, 50)}</p>"
+TEXT = f"Title of it\n{passage(71, 60)}\n{passage(72, 50)}"
+AROUND = [
+    "div class='content with-sidebar'", "div class='layout has-sidebar'", "div class='content-area no-sidebar'", "div class='post no-comments'", "div class='post comments-open'",
+    "div class='article-body ad-free'", "div class=page-menu-open", "div class=sidebar-layout", "div class=widget", "form id=aspnetForm", "aside", "div class='page fixed-header'", "div class=header-wrap",
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_what_is_around_the_article(weights, around, tag):
+    if around == "aside" and tag == "div":
+        return  # nothing tells it from an aside
+    html = page(BODY, f"<{around}>", f"</{around.split()[0]}><div class=comments><p>{passage(73, 20)}</p></div><div class=related-posts><p>{passage(74, 15)}</p></div>", tag=tag)
+    assert html_text.extract(html, weights) == TEXT
+
+
+@pytest.mark.parametrize("inner", ["section id=related-work", "section id=navigation", "div id=tags", "p class=notice", "h2 id=navigation", "xmp", "math"])
+def test_names_inside_of_an_article(weights, inner):
+    html = page(f"{BODY}<{inner}>{passage(75, 12)}</{inner.split()[0]}><p>{passage(76, 30)}</p>")
+    assert html_text.extract(html, weights).replace("\n", " ") == f"{TEXT}\n{passage(75, 12)} {passage(76, 30)}".replace("\n", " ")
+
+
+def test_comments_longer_than_the_article(weights):
+    comments = "<div class=comments>" + "".join(f"<p>{passage(80 + i, 60)}</p>" for i in range(6)) + "</div>"
+    assert html_text.extract(page(BODY, after=comments), weights) == TEXT
+
+
+def test_raw_text_of_xmp(weights):
+    assert html_text.extract(page(f"{BODY}<xmp>a <b>bold</b> &amp; word</xmp><p>{passage(76, 30)}</p>"), weights) == f"{TEXT}\na <b>bold</b> &amp; word\n{passage(76, 30)}"
