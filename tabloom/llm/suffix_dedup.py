@@ -14,7 +14,9 @@ earlier in the same one. Strings are bytes of UTF-8; they never cross documents.
    that column), and common prefixes by minima between neighbours of equal symbol. As equal windows stand in
    equal columns, the transform is kept one column at a time: symbols, order and prefixes are sequential files
    of the task, read and written once a round. Neighbours that share WINDOW bytes or more are equal windows.
-4. A key with many different pieces is cut into single windows, dealt by place and hash, so no task holds it.
+4. A key with many different pieces is cut into single windows without text, one narrow row each, told by their
+   hashes as pieces are. Equal windows are dealt by document and place into groups of about HOT_PIECES, where all
+   but the first are repeats; the first ones of the groups are compared with the first of all.
 
 Null texts are empty; texts under WINDOW bytes lose nothing. Rows without an id are returned as they are and
 compared with nothing. Rows with equal ids must have equal texts and are one document. Ids are whole numbers.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabloom.llm import blocks as B
@@ -38,7 +41,7 @@ WINDOW, ANCHOR = 100, 32
 #: Windows that hold the same place as their anchor, and so the most windows of a piece.
 PLACES = WINDOW - ANCHOR + 1
 COLUMNS = PLACES - 1 + WINDOW
-#: Different pieces of a key above which it is cut into single windows; windows dealt to one sub-key then.
+#: Different pieces of a key above which it is cut into single windows; equal windows dealt to one group then.
 HOT_PIECES = 1_024
 #: Pieces that one round covers in a task.
 CHUNK_PIECES = 100_000
@@ -211,9 +214,30 @@ def later_windows(texts: list[bytes], lead: np.ndarray, n: np.ndarray, rank: np.
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered spans (doc, start, length) from rows sorted by (key, part) with texts."""
+    """Covered spans (doc, start, length) from rows sorted by (key, part) with texts, or with the hash of a single window.
 
-    def done(table: pa.Table) -> pa.RecordBatch:
+    Of equal windows of a group, the first is given out with its key and hash.
+    """
+    names = ["doc", "start", "length", "key", "content"]
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        single = pc.is_valid(table.column("content"))
+        if (windows := table.filter(single)).num_rows:
+            yield from of_windows(windows)
+        if (rest := table.filter(pc.invert(single))).num_rows:
+            yield of_pieces(rest)
+
+    def of_windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, place = (np.stack([table.column(c).to_numpy() for c in by]) for by in (("key", "part", "content"), ("doc", "at")))
+        rank = np.lexsort((*place[::-1], *group[::-1]))
+        group, place = group[:, rank], place[:, rank]
+        new, moved = (np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0)) for x in (group, place))
+        for rows, first in ((new, True), (~new & moved, False)):
+            spans = [pa.array(place[0, rows]), pa.array(_unpacked(place[1, rows])[0]), pa.array(np.full(rows.sum(), WINDOW))]
+            told = [pa.array(group[i, rows]) if first else pa.nulls(rows.sum(), pa.int64()) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*spans, *told], names)
+
+    def of_pieces(table: pa.Table) -> pa.RecordBatch:
         doc = table.column("doc").to_numpy()
         start, lead, n = _unpacked(table.column("at").to_numpy())
         rank = np.lexsort((start + lead, doc))
@@ -227,7 +251,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, begin = np.nonzero(edges == 1)
         end = np.nonzero(edges == -1)[1]
         spans = [doc[row], start[row] + begin - (PLACES - 1 - lead[row]), end - begin + WINDOW - 1]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], ["doc", "start", "length"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in spans), *[pa.nulls(len(row), pa.int64())] * 2], names)
 
     rest: list[pa.RecordBatch] = []
     for batch in batches:
@@ -237,35 +261,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, part = table.column("key").to_numpy(), table.column("part").to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
             if len(cuts):
-                yield done(table.slice(0, cuts[-1]))
+                yield from done(table.slice(0, cuts[-1]))
                 rest = table.slice(cuts[-1]).combine_chunks().to_batches()
     if rest and (table := pa.Table.from_batches(rest)).num_rows:
-        yield done(table)
+        yield from done(table)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted pieces of each document; pieces of hot keys as single windows."""
+    """The bytes of the wanted pieces of each document; of hot keys, the hashes of their single windows."""
     for batch in batches:
         for row in range(batch.num_rows):
-            raw = (batch.column("text")[row].as_py() or "").encode()
+            raw, doc = (batch.column("text")[row].as_py() or "").encode(), batch.column("doc")[row].as_py()
             wanted = batch.column("wanted")[row].values
             keys, ats, parts = (wanted.field(f).to_numpy() for f in ("key", "at", "parts"))
             hot = parts > 1
             starts, leads, ns = _unpacked(ats)
             texts = [raw[s : s + n + WINDOW - 1] for s, n in zip(starts[~hot].tolist(), ns[~hot].tolist())]
             out_key, out_part, out_at = [keys[~hot]], [np.zeros(int((~hot).sum()), np.int64)], [ats[~hot]]
+            texts += [None] * int(ns[hot].sum())
+            content = np.zeros(len(texts), np.int64)
             if hot.any():
                 s = B.spread(starts[hot], ns[hot])
                 lead = np.repeat(starts[hot] + leads[hot], ns[hot]) - s
                 windows = B.SpanHash(np.frombuffer(raw, np.uint8))(s, s + WINDOW)
-                dealt = (windows % np.repeat(parts[hot], ns[hot]).astype(np.uint64)).astype(np.int64)
+                dealt = B.mixed(np.uint64(doc & (1 << 64) - 1) ^ B.mixed(s.astype(np.uint64))) % np.repeat(parts[hot], ns[hot]).astype(np.uint64)
+                content[len(texts) - len(s) :] = windows.view(np.int64)
                 out_key.append(np.repeat(keys[hot], ns[hot]))
-                out_part.append(dealt * 128 + lead + 1)
+                out_part.append(B.mixed(windows ^ B.mixed(dealt + np.uint64(1))).view(np.int64))
                 out_at.append(_packed(s, lead, np.ones(len(s), np.int64)))
-                texts += [raw[x : x + WINDOW] for x in s.tolist()]
             columns = [np.concatenate(x) for x in (out_key, out_part, out_at)]
-            doc = np.full(len(texts), batch.column("doc")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(doc), pa.array(columns[2]), pa.array(texts, pa.binary())], ["key", "part", "doc", "at", "text"])
+            whole = np.arange(len(texts)) < len(out_key[0])
+            columns = [pa.array(columns[0]), pa.array(columns[1]), pa.array(content, mask=whole), pa.array(np.full(len(texts), doc)), pa.array(columns[2])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["key", "part", "content", "doc", "at", "text"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -281,8 +308,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     parts = F.when(F.col("n") > HOT_PIECES, F.ceil(F.col("n") / HOT_PIECES) + 1).otherwise(1).cast("long")
     wanted = firsts.where("not repeats").join(several.select("key", parts.alias("parts")), "key")
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "parts")).alias("wanted"))
-    texts = wanted.join(docs.select("doc", "text"), "doc").select("doc", "wanted", "text").mapInArrow(_texts, "key long, part long, doc long, at long, text binary")
-    compared = texts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_compare, "doc long, start long, length long")
+    texts = wanted.join(docs.select("doc", "text"), "doc").select("doc", "wanted", "text").mapInArrow(_texts, "key long, part long, content long, doc long, at long, text binary")
+    spans = "doc long, start long, length long"
+    found = durable(texts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_compare, f"{spans}, key long, content long"))
+    # The first window of a group is a repeat unless it is the first of all groups.
+    leads = found.where("content is not null")
+    least = leads.groupBy("key", "content").agg(F.min(F.struct("doc", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leads = leads.join(least, ["key", "content"]).where(F.struct("doc", "start") != F.col("least"))
+    compared = found.where("content is null").select("doc", "start", "length").unionAll(leads.select("doc", "start", "length"))
     length = F.col("at").bitwiseAND(127) + WINDOW - 1
     equal = sifted.where("repeats").select("doc", "at").unionAll(firsts.where("repeats").select("doc", "at"))
     return equal.select("doc", F.shiftright("at", 14).alias("start"), length.cast("long").alias("length")).unionAll(compared)

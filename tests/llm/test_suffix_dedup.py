@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import passage
 
@@ -65,6 +66,30 @@ def test_hot_keys_are_cut_into_windows(spark, monkeypatch):
     assert got(docs) == expected(texts)
 
 
+def around_one_passage(n):
+    """A passage in different text: the pieces at its edges differ in every document, their windows do not."""
+    shared = passage(7, 40)
+    return {i: f"{passage(5000 + i, 6)} {shared} {passage(9000 + i, 6)}" for i in range(n)}
+
+
+def test_a_passage_shared_by_many_documents(spark, monkeypatch):
+    texts = around_one_passage(300)
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 8)
+    assert got(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)) == expected(texts)
+
+
+def test_groups_of_equal_windows_are_bounded():
+    texts, found = around_one_passage(2000), []
+    parts = 2000 // 16 + 1
+    for doc, text in texts.items():
+        raw = np.frombuffer(text.encode(), np.uint8)
+        start, n, lead, key, _ = suffix_dedup.pieces(raw, np.array([0, len(raw)]))
+        wanted = [{"key": int(k), "at": int(a), "parts": parts} for k, a in zip(key.view(np.int64), suffix_dedup._packed(start, lead, n))]
+        found.append(pa.record_batch({"doc": [doc], "wanted": [wanted], "text": [text]}))
+    groups = Counter((r["key"], r["part"]) for batch in suffix_dedup._texts(iter(found)) for r in batch.select(["key", "part"]).to_pylist())
+    assert max(groups.values()) < 3 * 16 < 2000
+
+
 def test_edge_documents(edge_docs, no_docs, spark):
     texts = {r.doc_id: r.text for r in edge_docs.collect() if r.doc_id is not None}
     rows = got(edge_docs)
