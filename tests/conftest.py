@@ -29,8 +29,3 @@ def frame(spark):
         return spark.createDataFrame(list(rows), schema).repartition(3)
 
     return build
-
-
-def column(df, name, key="row_id"):
-    """Values of a column in key order."""
-    return [r[name] for r in df.orderBy(key).collect()]

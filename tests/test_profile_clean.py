@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from conftest import column
+from columns import column
 from tabloom.operators import clean, encode, profile
 
 

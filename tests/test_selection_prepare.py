@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from conftest import column
+from columns import column
 from tabloom.functions import moments
 from tabloom.operators import prepare, selection
 from tabloom.operators.scaler import Scaler, log_scaling, normalize, robust_scaling, standardize
