@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, sql, suffix_dedup, toxicity
+from tabloom.llm import benchmark_scan, byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, sql, suffix_dedup, toxicity
 from tabloom.queries import Registry, table
 
 registry = Registry()
@@ -73,3 +73,8 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add("op10_cap_filters")
 def op10_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@registry.add("op13_benchmark_scan", sql.benchmark_scan())
+def op13_benchmark_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_scan.contaminated(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))

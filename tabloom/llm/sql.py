@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import mixing, quality
+from tabloom.llm import benchmark_scan as scan_for_items, mixing, quality
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -53,3 +53,21 @@ def source_mix() -> str:
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
       c AS (SELECT *, (floor(rate) + (coin < rate - floor(rate))::INTEGER)::BIGINT AS copies FROM r)
       SELECT doc_id, size, source_size, round(target, 6) AS target, copies * size AS taken, copies FROM c"""
+
+
+def benchmark_scan() -> str:
+    """Windows of documents that equal a window of an item, as strings of words."""
+    fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = rf"regexp_extract_all({fold}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    n = scan_for_items.WINDOW
+    return f"""WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {found} AS ws FROM benchmark),
+      k AS (SELECT id, ws, unnest(range(1, greatest(len(ws) - {n - 1}, 1) + 1)) AS k FROM i WHERE len(ws) > 0),
+      p AS (SELECT DISTINCT id, least(len(ws), {n}) AS n, array_to_string(ws[k : k + {n - 1}], ' ') AS s FROM k),
+      d AS (SELECT row_number() OVER () AS r, doc_id, {found} AS ws FROM documents),
+      spots AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p)),
+      m AS (SELECT r, k, n, id FROM (SELECT r, k, n, array_to_string(ws[k : k + n - 1], ' ') AS s FROM spots) JOIN p USING (n, s)),
+      w AS (SELECT DISTINCT r, unnest(range(k, k + n)) AS w FROM m), hits AS (SELECT r, count(*) AS n_hit FROM w GROUP BY 1),
+      ids AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM m GROUP BY 1)
+      SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+      FROM d LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)"""
