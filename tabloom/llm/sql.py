@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import benchmark_scan as scan_for_items, mixing, quality
+from tabloom.llm import benchmark_scan as scan_for_items, mixing, quality, spelling
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -71,3 +71,31 @@ def benchmark_scan() -> str:
       SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
       FROM d LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text expression."""
+    table = "[" + ",".join(map(str, spelling._TABLE.tolist())) + "]::BIGINT[]"
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT"
+    values = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {byte})"
+    return f"xor(list_reduce({values}, lambda s, b: xor(({table})[(xor(s, b) & 255) + 1], s >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+def spelling_variants() -> str:
+    """Words without one code point bring near words together: at the same place, or a whole word with a longer one."""
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    key = "coalesce(doc_id::VARCHAR, '') || ':' || run"
+    return f"""WITH r AS (SELECT doc_id, {fold.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+      g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= {spelling.LEAST_POINTS} GROUP BY 1, 2),
+      h AS (SELECT run, n, {crc32(key)} AS h FROM g),
+      l AS (SELECT CASE WHEN h % {spelling.LOSS} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+      w AS (SELECT word, sum(n)::BIGINT AS n FROM l WHERE length(word) >= {spelling.LEAST_POINTS} GROUP BY 1 HAVING sum(n) >= {spelling.LEAST_COUNT}),
+      i AS (SELECT word, n, unnest(range(length(word))) AS i FROM w), s AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM i),
+      p AS (SELECT a.word, b.word AS other FROM s a JOIN s b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+        UNION SELECT w.word, s.word FROM w JOIN s ON w.word = s.rest UNION SELECT s.word, w.word FROM w JOIN s ON w.word = s.rest),
+      b AS (SELECT p.word, count(*) AS n_near, min((-o.n, p.other)) AS best FROM p JOIN w o ON o.word = p.other GROUP BY 1),
+      f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+        FROM w LEFT JOIN b ON b.word = w.word),
+      t AS (WITH RECURSIVE t AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL) SELECT * FROM t),
+      e AS (SELECT t.word, t.root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
+      SELECT f.word, form, coalesce(e.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN e ON e.word = f.word"""
