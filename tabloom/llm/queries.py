@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import benchmark_scan, byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, quality, sharding, spelling, sql, suffix_dedup, toxicity
+from tabloom.llm import benchmark_scan, byte_bpe, cap_filters, html_text, licenses, mixing, ngram_join, prefix_trie, quality, sharding, spelling, sql, suffix_dedup, toxicity
 from tabloom.queries import Registry, table
 
 registry = Registry()
@@ -75,6 +75,12 @@ def op10_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@registry.add("op11_conversation_trie", sql.conversation_trie())
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = prefix_trie.sequences(table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_openings(own)).drop("turn_id")
+
+
 @registry.add("op12_spelling_variants", sql.spelling_variants())
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))

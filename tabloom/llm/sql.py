@@ -99,3 +99,23 @@ def spelling_variants() -> str:
       t AS (WITH RECURSIVE t AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL) SELECT * FROM t),
       e AS (SELECT t.word, t.root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
       SELECT f.word, form, coalesce(e.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN e ON e.word = f.word"""
+
+
+def conversation_trie() -> str:
+    """Every beginning of every rebuilt conversation, named by the ids of its turns."""
+    base = "conv_id - ((conv_id % 20) + 20) % 20"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+      i AS (SELECT conv_id, turn, substr(sha256(octet_length(encode(role))::VARCHAR || ':' || role || text), 1, 32) AS id, len(regexp_extract_all(text, '{WORD}+')) AS w FROM t),
+      o AS (SELECT conv_id, list({{'id': id, 'w': w}} ORDER BY turn NULLS FIRST, id) AS ts FROM i GROUP BY 1),
+      h AS (SELECT conv_id, ts, {base} AS base, {crc32("conv_id::VARCHAR")} % 4 AS h FROM o),
+      r AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1 : h.h], h.ts[h.h + 1 :]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.base),
+      p AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM r),
+      m AS (SELECT conv_id, depth, depth = len(ts) AS ends, array_to_string([x.id FOR x IN ts[1 : depth]], '') AS path, CASE WHEN depth > 0 THEN ts[depth].w ELSE 0 END AS w FROM p),
+      g AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+          coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM m GROUP BY 1, 2),
+      c AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+      n AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (path)),
+      a AS (SELECT n_convs, w, n_children, path, unnest(range(depth + 1)) AS e FROM n),
+      s AS (SELECT substr(path, 1, 32 * e) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM a GROUP BY 1)
+      SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+      FROM n JOIN s USING (path) LEFT JOIN n u ON n.depth > 0 AND u.path = substr(n.path, 1, 32 * (n.depth - 1))"""
