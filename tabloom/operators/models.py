@@ -1,7 +1,8 @@
-"""Model families on Spark ML: build, fit, score, save.
+"""Model families: build, fit, score, save.
 
-Fits are Spark ML fits, so coefficients and trees differ from other libraries' solvers. The
-hyperparameter names are those of the tabular workflow; the mapping to Spark ML is stated at each family.
+Linear models and support vector machines are Spark ML fits; forests, boosted trees and networks are those of
+``forest``, ``boosting`` and ``network``. Fits differ from other libraries' solvers in detail. The hyperparameter
+names are those of the tabular workflow; what they mean here is stated at each family.
 """
 
 from __future__ import annotations
@@ -18,21 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import col, number
+from tabloom.operators import boosting, forest, network
 from tabloom.operators.encode import distinct_values
 from tabloom.operators.metrics import evaluate_predictions
 
@@ -43,6 +37,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "random_forest": {
         "n_estimators": 100,
         "max_depth": None,
+        "min_samples_split": 2,
         "min_samples_leaf": 1,
         "max_features": "sqrt",
         "random_state": 42,
@@ -55,21 +50,30 @@ DEFAULTS: dict[str, dict[str, Any]] = {
         "colsample_bytree": 0.8,
         "random_state": 42,
     },
-    "neural_network": {"hidden_layer_sizes": (128, 64, 32), "max_iter": 500, "random_state": 42},
+    "neural_network": {
+        "hidden_layer_sizes": (128, 64, 32),
+        "activation": "relu",
+        "learning_rate": "adaptive",
+        "learning_rate_init": 0.001,
+        "alpha": 0.0001,
+        "max_iter": 500,
+        "early_stopping": True,
+        "validation_fraction": 0.1,
+        "random_state": 42,
+    },
 }
 
-# Further hyperparameters with their defaults: iterations of the solvers, and the size of the feature maps.
+# Further hyperparameters with their defaults.
 FURTHER: dict[str, dict[str, Any]] = {
     "logistic_regression": {"l1_ratio": 0.5},
     "svm": {"max_iter": 200, "calibration_iter": 100, "degree": 3, "n_components": 256},
-    "random_forest": {},
-    "xgboost": {},
-    "neural_network": {},
+    "random_forest": {"bootstrap": True},
+    "xgboost": {"reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0},
+    "neural_network": {"solver": "adam", "batch_size": 200, "tol": 1e-4, "n_iter_no_change": 10},
 }
 
 TASKS = ("classification", "regression")
 CLASS_LIMIT = 1_000
-DEEPEST_TREE = 30
 # Every iteration is a pass over the rows: stop when the loss stands still.
 TOLERANCE = 1e-5
 SVC_TOLERANCE = 1e-3
@@ -80,23 +84,19 @@ def list_model_types() -> list[str]:
 
 
 def merged_hyperparams(model_type: str, hyperparams: dict | None = None) -> dict:
-    """Defaults and given values; a name that the family doesn't have, or a depth that Spark can't grow, raises."""
+    """Defaults and given values; a name that the family doesn't have, or a depth below 1, raises."""
     if model_type not in DEFAULTS:
         raise ValueError(f"Unknown model type '{model_type}'. Choose from {list_model_types()}.")
     known = {**FURTHER[model_type], **DEFAULTS[model_type]}
     if unknown := sorted(set(hyperparams or {}) - set(known)):
         raise ValueError(f"{model_type} has no hyperparameters {unknown}; it has {sorted(known)}.")
     merged = {**known, **(hyperparams or {})}
-    depth = merged.get("max_depth")
-    if depth is not None and not 1 <= depth <= DEEPEST_TREE:
-        raise ValueError(f"max_depth={depth}: Spark grows trees of depth 1 to {DEEPEST_TREE}; None is the deepest.")
+    depth = merged.get("max_depth", 1)
+    if (depth is None and model_type != "random_forest") or (depth is not None and depth < 1):
+        raise ValueError(f"max_depth={depth}: trees have a depth of 1 or more; None, for forests, is no limit.")
     return merged
 
 
-def _subset_strategy(value: Any) -> str:
-    return "all" if value is None else str(value)
-
-
 def build_model(
     model_type: str,
     hyperparams: dict | None = None,
@@ -104,24 +104,24 @@ def build_model(
     rows: int = 1,
     features: int = 1,
     classes: int = 2,
-) -> Estimator:
-    """The unfitted Spark ML estimator on columns ``features`` and ``label``.
+) -> Estimator | forest.Rules | boosting.Rules | network.Rules:
+    """What fits the family: a Spark ML estimator on columns ``features`` and ``label``, or the rules of a fit.
 
-    ``rows``, ``features`` and ``classes`` describe the training data: Spark's penalty is per row, a
-    network needs its layer sizes, and some families wrap a binary learner for more classes.
+    ``rows``, ``features`` and ``classes`` describe the training data.
 
     - logistic_regression: ``regParam = 1/(C·n)``; a linear regression for the regression task.
     - svm: linear SVC (one-vs-rest beyond two classes); its kernel is an explicit feature map, see
       ``KernelMap``. Regression: linear regression with Huber loss, an approximation of SVR.
-    - random_forest: Spark allows a depth of at most 30, which stands for unlimited.
-    - xgboost: Spark's gradient-boosted trees; columns are drawn per node, not per tree.
-    - neural_network: sigmoid hidden layers with L-BFGS; classification only.
+    - random_forest: ``forest``; bootstrap counts are Poisson draws.
+    - xgboost: ``boosting``, on up to 256 cut values per feature.
+    - neural_network: ``network``; 'adaptive' and 'invscaling' rates act with the solver 'sgd'.
     """
     p = merged_hyperparams(model_type, hyperparams)
     if task not in TASKS:
         raise ValueError(f"Unknown task '{task}'. Use one of {TASKS}.")
     classification = task == "classification"
     seed = int(p.get("random_state") or 0)
+    kinds = max(classes, 2) if classification else 0
     if model_type == "logistic_regression":
         if not classification:
             return LinearRegression(regParam=0.0, solver="normal")
@@ -137,31 +137,55 @@ def build_model(
         svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=p["max_iter"], tol=SVC_TOLERANCE)
         return svc if classes <= 2 else OneVsRest(classifier=svc, parallelism=4)
     if model_type == "random_forest":
-        family = RandomForestClassifier if classification else RandomForestRegressor
-        return family(
-            numTrees=p["n_estimators"],
-            maxDepth=p["max_depth"] or DEEPEST_TREE,
-            minInstancesPerNode=p["min_samples_leaf"],
-            featureSubsetStrategy=_subset_strategy(p["max_features"]),
+        return forest.Rules(
+            trees=p["n_estimators"],
+            max_depth=p["max_depth"],
+            min_leaf=p["min_samples_leaf"],
+            min_split=p["min_samples_split"],
+            drawn=forest.drawn_features(p["max_features"], features),
+            classes=kinds,
             seed=seed,
+            bootstrap=p["bootstrap"],
         )
     if model_type == "xgboost":
-        shared = dict(
-            maxIter=p["n_estimators"],
-            maxDepth=p["max_depth"],
-            stepSize=p["learning_rate"],
-            subsamplingRate=p["subsample"],
-            featureSubsetStrategy=_subset_strategy(p["colsample_bytree"]),
+        return boosting.Rules(
+            rounds=p["n_estimators"],
+            max_depth=p["max_depth"],
+            eta=p["learning_rate"],
+            subsample=p["subsample"],
+            columns=p["colsample_bytree"],
+            l2=p["reg_lambda"],
+            gamma=p["gamma"],
+            min_child_weight=p["min_child_weight"],
+            classes=kinds,
             seed=seed,
         )
-        if not classification:
-            return GBTRegressor(**shared)
-        booster = GBTClassifier(**shared)
-        return booster if classes <= 2 else OneVsRest(classifier=booster, parallelism=4)
-    if not classification:
-        raise ValueError("neural_network has no regressor in Spark ML; use xgboost for regression.")
-    hidden = [int(h) for h in np.atleast_1d(p["hidden_layer_sizes"])]
-    return MultilayerPerceptronClassifier(layers=[features, *hidden, max(classes, 2)], maxIter=p["max_iter"], tol=TOLERANCE, seed=seed)
+    rules = network.Rules(
+        hidden=tuple(int(h) for h in np.atleast_1d(p["hidden_layer_sizes"])),
+        activation=p["activation"],
+        solver=p["solver"],
+        alpha=p["alpha"],
+        rate=p["learning_rate_init"],
+        schedule=p["learning_rate"],
+        batch=p["batch_size"],
+        epochs=p["max_iter"],
+        early_stopping=p["early_stopping"],
+        validation=p["validation_fraction"],
+        tolerance=p["tol"],
+        patience=p["n_iter_no_change"],
+        classes=kinds,
+        seed=seed,
+    )
+    rules.check()
+    return rules
+
+
+#: What fits the rules of a family, and reads its saved fits.
+OWN = {
+    "random_forest": (forest.fit, forest.Forest),
+    "xgboost": (boosting.fit, boosting.Booster),
+    "neural_network": (network.fit, network.Network),
+}
 
 
 @dataclass
@@ -224,25 +248,34 @@ def class_values(df: DataFrame, label: str) -> list:
 
 @dataclass
 class TrainedModel:
-    """A fitted model with everything needed to score a table: features, classes, kernel map, stages."""
+    """A fitted model with everything needed to score a table: features, classes, kernel map, and the Spark ML
+    stages or the fit of ``OWN``."""
 
     model_type: str
     task: str
     features: list[str]
-    stages: PipelineModel
+    stages: PipelineModel | None = None
     classes: list | None = None
     kernel: KernelMap | None = None
     calibration: PipelineModel | None = None
+    own: forest.Forest | boosting.Booster | network.Network | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` and, for classification, ``probability`` (array in class order). Works on streams.
 
         Columns of these two names are replaced; no other input name matters.
         """
-        table = _assemble(df, self.features, self.kernel)
-        scored = self.stages.transform(table)
         added = {"prediction"} if self.task == "regression" else {"prediction", "probability"}
         kept = [F.col(ROW).getField(c).alias(c) for c in df.columns if c not in added]
+        if self.own is not None:
+            table = df.select(F.struct(*map(col, df.columns)).alias(ROW), F.array(*_inputs(self.features)).alias("features"))
+            scored = self.own.predict(table, "features", "scores")
+            if self.task == "regression":
+                return scored.select(*kept, F.get("scores", F.lit(0)).alias("prediction"))
+            best = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
+            return scored.select(*kept, F.get(F.array(*map(F.lit, self.classes)), best).alias("prediction"), F.col("scores").alias("probability"))
+        table = _assemble(df, self.features, self.kernel)
+        scored = self.stages.transform(table)
         if self.task == "regression":
             return scored.select(*kept, F.col("prediction"))
         if self.calibration is not None:
@@ -265,14 +298,15 @@ class TrainedModel:
 
     def importances(self) -> tuple[dict[str, float] | None, str]:
         """Per feature impurity importance or absolute coefficient; None when the model has neither."""
+        if self.own is not None:
+            values = self.own.importances
+            return (None, "not_available") if values is None else (dict(zip(self.features, map(float, values))), "mean_decrease_impurity")
         fitted = self.stages.stages[-1]
         if self.kernel is not None and self.kernel.kernel != "linear":
             return None, "not_available"
         # One model per class: the mean over the classes.
         parts = fitted.models if isinstance(fitted, OneVsRestModel) else [fitted]
-        if hasattr(parts[0], "featureImportances"):
-            values, method = [m.featureImportances.toArray() for m in parts], "mean_decrease_impurity"
-        elif hasattr(parts[0], "coefficientMatrix"):
+        if hasattr(parts[0], "coefficientMatrix"):
             values, method = [np.abs(m.coefficientMatrix.toArray()[0]) for m in parts], "coefficient_magnitude"
         elif hasattr(parts[0], "coefficients"):
             values, method = [np.abs(m.coefficients.toArray()) for m in parts], "coefficient_magnitude"
@@ -281,19 +315,24 @@ class TrainedModel:
         return dict(zip(self.features, map(float, np.mean(values, axis=0)))), method
 
     def save(self, path: str) -> str:
-        """Write the stages and their description under ``path``."""
-        self.stages.write().overwrite().save(f"{path}/stages")
+        """Write the fit, its classes and its description under ``path``."""
+        if self.own is not None:
+            self.own.save(path)
+        else:
+            self.stages.write().overwrite().save(f"{path}/stages")
         if self.calibration is not None:
             self.calibration.write().overwrite().save(f"{path}/calibration")
         description = {
             "model_type": self.model_type,
             "task": self.task,
             "features": self.features,
-            "classes": self.classes,
             "kernel": vars(self.kernel) if self.kernel else None,
             "calibrated": self.calibration is not None,
         }
         spark = _session()
+        if self.classes is not None:
+            # As a table, which keeps the type of dates and decimals.
+            spark.createDataFrame(list(enumerate(self.classes)), ["place", "value"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
         spark.createDataFrame([(json.dumps(description),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/description"
         )
@@ -313,12 +352,18 @@ def load_model(path: str) -> TrainedModel:
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         raise FileNotFoundError(f"Model not found: {path}")
     d = json.loads(spark.read.text(f"{path}/description").first()[0])
+    own = OWN.get(d["model_type"])
+    classes = None
+    if d["task"] == "classification":
+        classes = [r["value"] for r in spark.read.parquet(f"{path}/classes").orderBy("place").collect()]
+    if own is not None:
+        return TrainedModel(d["model_type"], d["task"], d["features"], classes=classes, own=own[1].load(spark, path))
     return TrainedModel(
         d["model_type"],
         d["task"],
         d["features"],
         PipelineModel.load(f"{path}/stages"),
-        d["classes"],
+        classes,
         KernelMap(**d["kernel"]) if d["kernel"] else None,
         PipelineModel.load(f"{path}/calibration") if d["calibrated"] else None,
     )
@@ -339,10 +384,14 @@ ROW = "row"
 """Holds all input columns while a model runs, so that none can clash with a column of the solvers."""
 
 
+def _inputs(columns: Sequence[str]) -> list[Column]:
+    return [F.coalesce(number(c), F.lit(0.0)) for c in columns]
+
+
 def _assemble(df: DataFrame, columns: Sequence[str], kernel: KernelMap | None, target: Column | None = None) -> DataFrame:
     """``ROW``, ``features`` and, with a target, ``label``; all read from the input columns."""
     names = [f"input_{i}" for i in range(len(columns))]
-    inputs = [F.coalesce(number(c), F.lit(0.0)).alias(n) for n, c in zip(names, columns)]
+    inputs = [c.alias(n) for n, c in zip(names, _inputs(columns))]
     label = [] if target is None else [target.alias("label")]
     table = df.select(F.struct(*map(col, df.columns)).alias(ROW), *label, *inputs)
     table = VectorAssembler(inputCols=names, outputCol="features").transform(table).drop(*names)
@@ -401,6 +450,9 @@ def fit_model(
         target = (F.array_position(F.array(*map(F.lit, classes)), col(label)) - 1).cast("double")
     else:
         target = number(label)
+    if model_type in OWN:
+        own = OWN[model_type][0](usable, _inputs(features), target, estimator)
+        return TrainedModel(model_type, task, features, classes=classes if task == "classification" else None, own=own)
     table = _assemble(usable, features, kernel, target).select("features", "label")
     stages = Pipeline(stages=[estimator]).fit(table)
     calibration = None

@@ -16,7 +16,7 @@ FEATURES = [f"f{i}" for i in range(4)]
 SMALL = {
     "random_forest": {"n_estimators": 8, "max_depth": 4},
     "xgboost": {"n_estimators": 4, "max_depth": 3},
-    "neural_network": {"hidden_layer_sizes": (8,), "max_iter": 40},
+    "neural_network": {"hidden_layer_sizes": (16,), "max_iter": 200, "learning_rate_init": 0.02, "batch_size": 32},
     "logistic_regression": {"max_iter": 50},
     "svm": {"kernel": "linear"},
 }
@@ -75,10 +75,10 @@ def test_multiclass_families(many, family):
     assert row["prediction"].startswith("class")
 
 
-@pytest.mark.parametrize("family", ["logistic_regression", "svm", "random_forest", "xgboost"])
+@pytest.mark.parametrize("family", models.list_model_types())
 def test_regression_families(numeric, family):
     train, test = numeric
-    params = SMALL[family] | ({"kernel": "linear"} if family == "svm" else {})
+    params = SMALL[family] | {"svm": {"kernel": "linear"}, "xgboost": {"n_estimators": 30}}.get(family, {})
     result = models.train_model(train, FEATURES, "y", family, test, params, "regression")
     assert result.metrics["r2"] > (0.95 if family in ("logistic_regression", "svm") else 0.5)
 
@@ -99,16 +99,21 @@ def test_kernels(binary):
 
 
 def test_factory():
-    assert models.build_model("random_forest", {"n_estimators": 13}).getNumTrees() == 13
-    assert models.build_model("random_forest").getMaxDepth() == 30
+    assert models.build_model("random_forest", {"n_estimators": 13}).trees == 13
+    whole = models.build_model("random_forest", features=17)
+    assert whole.max_depth is None and whole.drawn == 4 and whole.classes == 2
     logistic = models.build_model("logistic_regression", {"penalty": "l1", "C": 0.5}, rows=100)
     assert logistic.getElasticNetParam() == 1.0 and logistic.getRegParam() == pytest.approx(0.02)
-    assert models.build_model("neural_network", features=5, classes=3).getLayers() == [5, 128, 64, 32, 3]
-    assert type(models.build_model("xgboost", classes=3)).__name__ == "OneVsRest"
+    net = models.build_model("neural_network", {"activation": "tanh"}, classes=3)
+    assert (net.hidden, net.activation, net.outputs) == ((128, 64, 32), "tanh", 3)
+    assert models.build_model("neural_network", task="regression").outputs == 1
+    assert models.build_model("xgboost", classes=3).outputs == 3
+    assert models.build_model("xgboost", task="regression").classes == 0
     with pytest.raises(ValueError, match="Unknown model type"):
         models.build_model("magic")
-    with pytest.raises(ValueError, match="no regressor"):
-        models.build_model("neural_network", task="regression")
+    for wrong in ({"activation": "sine"}, {"learning_rate": "fast"}, {"solver": "lbfgs"}):
+        with pytest.raises(ValueError, match="is none of"):
+            models.build_model("neural_network", wrong)
     with pytest.raises(ValueError, match="Unknown task"):
         models.build_model("svm", task="ranking")
 
@@ -137,16 +142,19 @@ def test_input_names_do_not_matter(binary):
 
 
 def test_importances_average_the_classes(many):
-    model = models.fit_model(many[0], FEATURES, "y", "xgboost", SMALL["xgboost"])
-    parts = [m.featureImportances.toArray() for m in model.stages.stages[-1].models]
+    model = models.fit_model(many[0], FEATURES, "y", "svm", SMALL["svm"])
+    parts = [np.abs(m.coefficients.toArray()) for m in model.stages.stages[-1].models]
     assert len(parts) == 3
     assert list(model.importances()[0].values()) == pytest.approx(list(np.mean(parts, axis=0)))
+    for family in ("xgboost", "random_forest"):
+        values, method = models.fit_model(many[0], FEATURES, "y", family, SMALL[family]).importances()
+        assert method == "mean_decrease_impurity" and sum(values.values()) == pytest.approx(1.0)
 
 
 def test_hyperparameters_are_checked():
     for family, wrong in (
-        ("random_forest", {"max_depth": 50}), ("random_forest", {"max_depth": 0}), ("random_forest", {"min_samples_split": 4}),
-        ("neural_network", {"alpha": 0.1}), ("xgboost", {"n_estimatos": 5}),
+        ("xgboost", {"max_depth": None}), ("random_forest", {"max_depth": 0}), ("random_forest", {"min_samples": 4}),
+        ("neural_network", {"beta": 0.1}), ("xgboost", {"n_estimatos": 5}),
     ):
         with pytest.raises(ValueError, match=next(iter(wrong))):
             models.build_model(family, wrong)
@@ -162,7 +170,7 @@ def test_train_multiple_is_sorted(binary):
     assert results[0].hyperparams.keys() >= {"random_state"}
 
 
-@pytest.mark.parametrize("family", ["logistic_regression", "svm"])
+@pytest.mark.parametrize("family", models.list_model_types())
 def test_save_and_load(many, tmp_path, family):
     train, test = many
     model = models.fit_model(train, FEATURES, "y", family, SMALL[family])
