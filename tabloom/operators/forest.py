@@ -421,6 +421,12 @@ class Forest:
             scored = scored.withColumn(output, F.array(1.0 - second, second))
         return scored
 
+    def whole_trees(self) -> list[Tree]:
+        """The trees of a forest without tops: all rows of each fitted a task. For looking at small forests."""
+        if any(len(top.left) > 1 for top in self.tops):
+            raise ValueError("The trees of this forest are in parts.")
+        return [Tree.load(r["model"]) for r in self.subtrees.orderBy("tree").toLocalIterator()]
+
     def save(self, path: str) -> None:
         """Subtrees as Parquet, the rest as a line of JSON."""
         self.subtrees.write.mode("overwrite").parquet(f"{path}/subtrees")

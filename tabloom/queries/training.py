@@ -178,6 +178,58 @@ def forest_importance(spark, folder):
     return importance_table(table(spark, folder, "lineitem"), results[0].model.importances()[0])
 
 
+_STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+# Features in single precision, as the trees see them; per cut the sums of both sides.
+_CUTS = """x AS (UNPIVOT (SELECT l_extendedprice AS y, l_quantity::FLOAT::DOUBLE AS l_quantity, l_discount::FLOAT::DOUBLE AS l_discount,
+        l_tax::FLOAT::DOUBLE AS l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME feature VALUE v),
+      v AS (SELECT feature, v, count(*) AS n, sum(y) AS s FROM x GROUP BY 1, 2),
+      c AS (SELECT feature, v, lead(v) OVER f AS above, sum(n) OVER f AS nl, sum(s) OVER f AS sl, sum(n) OVER (PARTITION BY feature) AS n,
+        sum(s) OVER (PARTITION BY feature) AS s FROM v WINDOW f AS (PARTITION BY feature ORDER BY v))"""
+
+
+@registry.add(
+    "forest_stump",
+    f"""WITH {_CUTS} SELECT feature, round((v + above) / 2, 6) AS threshold, round(sl / nl, 4) AS left_value, round((s - sl) / (n - nl), 4) AS right_value
+        FROM c WHERE above IS NOT NULL ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1""",
+)
+def forest_stump(spark, folder):
+    """One split of all rows: the cut with the least squared error over all features and values."""
+    whole = {"n_estimators": 1, "max_depth": 1, "max_features": None, "bootstrap": False}
+    model = fit_model(table(spark, folder, "lineitem"), _STUMP_FEATURES, "l_extendedprice", "random_forest", whole, "regression")
+    return _stump(spark, model.own.whole_trees()[0], 6)
+
+
+@registry.add(
+    "boosted_stump",
+    f"""WITH {_CUTS}, g AS (SELECT *, nl * s / n - sl AS gl FROM c WHERE above IS NOT NULL)
+        SELECT feature, round(v, 6) AS threshold, round(-0.1 * gl / (nl + 1), 4) AS left_value, round(0.1 * gl / (n - nl + 1), 4) AS right_value
+        FROM g ORDER BY gl * gl / (nl + 1) + gl * gl / (n - nl + 1) DESC LIMIT 1""",
+)
+def boosted_stump(spark, folder):
+    """The first round: gradients are the errors of the mean, each row has curvature 1, leaves shrink by the penalty."""
+    one = {"n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0}
+    model = fit_model(table(spark, folder, "lineitem"), _STUMP_FEATURES, "l_extendedprice", "xgboost", one, "regression")
+    return _stump(spark, model.own.rounds[0][0], 6)
+
+
+def _stump(spark, tree, digits):
+    left = int(tree.left[0])
+    row = (_STUMP_FEATURES[int(tree.feature[0])], round(float(tree.threshold[0]), digits), round(float(tree.value[left]), 4), round(float(tree.value[left + 1]), 4))
+    return spark.createDataFrame([row], "feature string, threshold double, left_value double, right_value double")
+
+
+@registry.add(
+    "network_without_layers",
+    """SELECT round(regr_slope(y, x), 1) AS slope FROM (SELECT l_quantity / 50 AS x, 10 * l_quantity + l_discount AS y FROM lineitem)""",
+)
+def network_without_layers(spark, folder):
+    """A network of one linear unit is a line: its slope is that of least squares."""
+    lines = table(spark, folder, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (10 * F.col("l_quantity") + F.col("l_discount")).alias("y"))
+    plain = {"hidden_layer_sizes": (), "alpha": 0.0, "early_stopping": False, "tol": 1e-9, "max_iter": 60, "learning_rate_init": 0.01, "n_iter_no_change": 60}
+    model = fit_model(lines, ["x"], "y", "neural_network", plain, "regression").own
+    return spark.createDataFrame([(round(float(model.theta[0]) * model.target[1], 1),)], "slope double")
+
+
 @registry.add("batch_predictions")
 def batch_predictions(spark, folder):
     df, features = _vectors(spark, folder)
