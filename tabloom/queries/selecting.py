@@ -4,6 +4,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tabloom.operators import prepare, selection
+from tabloom.operators.mutual_info import neighbour_mutual_info
 from tabloom.queries import Registry, table
 from tabloom.queries.engineering import quantile_bin, quantile_edges
 from tabloom.queries.profiling import HOLED, holed_events
@@ -108,6 +109,27 @@ def _mutual_sql(column: str) -> str:
                                    {quantile_edges('lineitem', 'l_extendedprice', 10)} AS ey)) GROUP BY 1, 2))"""
 
 
+@registry.add(
+    "mutual_info_neighbours",
+    """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2 FROM embeddings),
+      p AS (UNPIVOT (SELECT vec_id, e0 + e1 AS y, e0, e1, e2 FROM e) ON e0, e1, e2 INTO NAME feature VALUE x),
+      s AS (SELECT feature, vec_id, x / stddev_pop(x) OVER f AS x, y / stddev_pop(y) OVER f AS y FROM p WINDOW f AS (PARTITION BY feature)),
+      d AS (SELECT a.feature, a.vec_id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM s a JOIN s b ON a.feature = b.feature AND a.vec_id <> b.vec_id),
+      r AS (SELECT feature, vec_id, min(greatest(dx, dy), 3)[3] AS r FROM d GROUP BY 1, 2),
+      c AS (SELECT feature, vec_id, count(*) FILTER (dx < r OR (r = 0 AND dx = 0)) + 1 AS nx, count(*) FILTER (dy < r OR (r = 0 AND dy = 0)) + 1 AS ny
+        FROM d JOIN r USING (feature, vec_id) GROUP BY 1, 2),
+      m AS (SELECT unnest(range(1, (SELECT count(*) + 1 FROM embeddings))) AS m),
+      psi AS (SELECT m, coalesce(sum(1e0 / m) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.57721566490153286e0 AS psi FROM m),
+      t AS (SELECT feature, count(*) AS n, avg(px.psi + py.psi) AS both FROM c JOIN psi px ON px.m = nx JOIN psi py ON py.m = ny GROUP BY 1)
+      SELECT feature, round(greatest(pn.psi + pk.psi - both, 0), 5) AS score FROM t JOIN psi pn ON pn.m = n JOIN psi pk ON pk.m = 3""",
+)
+def mutual_info_neighbours(spark, folder):
+    e = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)]
+    vectors = table(spark, folder, "embeddings").select(*e, (e[0] + e[1]).alias("y"))
+    scores = neighbour_mutual_info(vectors, "y", ["e0", "e1", "e2"], jitter=0.0)
+    return scores.select("feature", F.round("score", 5).alias("score"))
+
+
 @registry.add("mutual_info_scores", " UNION ALL ".join(map(_mutual_sql, LINE_FEATURES)))
 def mutual_info_scores(spark, folder):
     return selection.mutual_info_scores(table(spark, folder, "lineitem"), "l_extendedprice", LINE_FEATURES)
