@@ -8,7 +8,6 @@ names are those of the tabular workflow; what they mean here is stated at each f
 from __future__ import annotations
 
 import json
-import math
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -16,17 +15,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import col, number
-from tabloom.operators import boosting, forest, network
+from tabloom.operators import boosting, forest, kernels, network
 from tabloom.operators.encode import distinct_values
 from tabloom.operators.metrics import evaluate_predictions
 
@@ -66,7 +64,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 # Further hyperparameters with their defaults.
 FURTHER: dict[str, dict[str, Any]] = {
     "logistic_regression": {"l1_ratio": 0.5},
-    "svm": {"max_iter": 200, "calibration_iter": 100, "degree": 3, "n_components": 256},
+    "svm": {"max_iter": 200, "calibration_iter": 100, "degree": 3, "coef0": 0.0, "epsilon": 0.1, "n_components": 256},
     "random_forest": {"bootstrap": True},
     "xgboost": {"reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0},
     "neural_network": {"solver": "adam", "batch_size": 200, "tol": 1e-4, "n_iter_no_change": 10},
@@ -104,14 +102,14 @@ def build_model(
     rows: int = 1,
     features: int = 1,
     classes: int = 2,
-) -> Estimator | forest.Rules | boosting.Rules | network.Rules:
+) -> Estimator | forest.Rules | boosting.Rules | network.Rules | kernels.Rules:
     """What fits the family: a Spark ML estimator on columns ``features`` and ``label``, or the rules of a fit.
 
     ``rows``, ``features`` and ``classes`` describe the training data.
 
     - logistic_regression: ``regParam = 1/(C·n)``; a linear regression for the regression task.
-    - svm: linear SVC (one-vs-rest beyond two classes); its kernel is an explicit feature map, see
-      ``KernelMap``. Regression: linear regression with Huber loss, an approximation of SVR.
+    - svm: linear SVC (one-vs-rest beyond two classes) on the features of a kernel map. Regression: ``kernels``,
+      the epsilon-insensitive loss on the same features.
     - random_forest: ``forest``; bootstrap counts are Poisson draws.
     - xgboost: ``boosting``, on up to 256 cut values per feature.
     - neural_network: ``network``; 'adaptive' and 'invscaling' rates act with the solver 'sgd'.
@@ -133,7 +131,7 @@ def build_model(
         )
     if model_type == "svm":
         if not classification:
-            return LinearRegression(loss="huber", regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=p["max_iter"])
+            return kernels.Rules(penalty=p["C"], epsilon=p["epsilon"])
         svc = LinearSVC(regParam=1.0 / (p["C"] * max(rows, 1)), maxIter=p["max_iter"], tol=SVC_TOLERANCE)
         return svc if classes <= 2 else OneVsRest(classifier=svc, parallelism=4)
     if model_type == "random_forest":
@@ -188,41 +186,10 @@ OWN = {
 }
 
 
-@dataclass
-class KernelMap:
-    """Explicit feature map for a kernel: random Fourier features for 'rbf', monomials for 'poly'."""
-
-    kernel: str
-    gamma: float
-    size: int
-    seed: int
-    output: int = 256
-    degree: int = 3
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        if self.kernel == "linear":
-            return df
-        if self.kernel == "poly":
-            expanded = PolynomialExpansion(degree=self.degree, inputCol="features", outputCol="_mapped").transform(df)
-            return expanded.drop("features").withColumnRenamed("_mapped", "features")
-        generator = np.random.default_rng(self.seed)
-        weights = generator.normal(0.0, math.sqrt(2.0 * self.gamma), (self.size, self.output))
-        phase = generator.uniform(0.0, 2.0 * math.pi, self.output)
-        scale = math.sqrt(2.0 / self.output)
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def fourier(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype="object")
-            return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ weights + phase)))
-
-        return df.withColumn("features", array_to_vector(fourier(vector_to_array("features"))))
-
-
-def _kernel_map(train: DataFrame, columns: Sequence[str], p: dict) -> KernelMap | None:
+def _kernel_map(train: DataFrame, columns: Sequence[str], p: dict) -> kernels.KernelMap:
     kernel = p["kernel"]
-    if kernel not in ("rbf", "linear", "poly"):
-        raise ValueError(f"Kernel '{kernel}' has no feature map here. Use 'rbf', 'linear' or 'poly'.")
+    if kernel not in kernels.KERNELS:
+        raise ValueError(f"Unknown kernel '{kernel}'. Use one of {kernels.KERNELS}.")
     gamma = p["gamma"]
     if gamma == "scale":
         # One over the number of features times the variance of all matrix entries.
@@ -236,7 +203,10 @@ def _kernel_map(train: DataFrame, columns: Sequence[str], p: dict) -> KernelMap
         gamma = 1.0 / (len(columns) * spread) if spread > 0 else 1.0
     elif gamma == "auto":
         gamma = 1.0 / len(columns)
-    return KernelMap(kernel, float(gamma), len(columns), int(p["random_state"] or 0), p["n_components"], p["degree"])
+    if kernel == "linear":
+        return kernels.KernelMap("linear", float(gamma))
+    landmarks = kernels.landmark_rows(train, _inputs(columns), p["n_components"], int(p["random_state"] or 0))
+    return kernels.KernelMap.of(kernel, float(gamma), landmarks, p["degree"], p["coef0"])
 
 
 def class_values(df: DataFrame, label: str) -> list:
@@ -256,9 +226,9 @@ class TrainedModel:
     features: list[str]
     stages: PipelineModel | None = None
     classes: list | None = None
-    kernel: KernelMap | None = None
+    kernel: kernels.KernelMap | None = None
     calibration: PipelineModel | None = None
-    own: forest.Forest | boosting.Booster | network.Network | None = None
+    own: forest.Forest | boosting.Booster | network.Network | kernels.Regressor | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` and, for classification, ``probability`` (array in class order). Works on streams.
@@ -300,7 +270,8 @@ class TrainedModel:
         """Per feature impurity importance or absolute coefficient; None when the model has neither."""
         if self.own is not None:
             values = self.own.importances
-            return (None, "not_available") if values is None else (dict(zip(self.features, map(float, values))), "mean_decrease_impurity")
+            method = "coefficient_magnitude" if isinstance(self.own, kernels.Regressor) else "mean_decrease_impurity"
+            return (None, "not_available") if values is None else (dict(zip(self.features, map(float, values))), method)
         fitted = self.stages.stages[-1]
         if self.kernel is not None and self.kernel.kernel != "linear":
             return None, "not_available"
@@ -353,6 +324,8 @@ def load_model(path: str) -> TrainedModel:
         raise FileNotFoundError(f"Model not found: {path}")
     d = json.loads(spark.read.text(f"{path}/description").first()[0])
     own = OWN.get(d["model_type"])
+    if (d["model_type"], d["task"]) == ("svm", "regression"):
+        own = (kernels.fit, kernels.Regressor)
     classes = None
     if d["task"] == "classification":
         classes = [r["value"] for r in spark.read.parquet(f"{path}/classes").orderBy("place").collect()]
@@ -364,7 +337,7 @@ def load_model(path: str) -> TrainedModel:
         d["features"],
         PipelineModel.load(f"{path}/stages"),
         classes,
-        KernelMap(**d["kernel"]) if d["kernel"] else None,
+        kernels.KernelMap(**d["kernel"]) if d["kernel"] else None,
         PipelineModel.load(f"{path}/calibration") if d["calibrated"] else None,
     )
 
@@ -388,7 +361,7 @@ def _inputs(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(number(c), F.lit(0.0)) for c in columns]
 
 
-def _assemble(df: DataFrame, columns: Sequence[str], kernel: KernelMap | None, target: Column | None = None) -> DataFrame:
+def _assemble(df: DataFrame, columns: Sequence[str], kernel: kernels.KernelMap | None, target: Column | None = None) -> DataFrame:
     """``ROW``, ``features`` and, with a target, ``label``; all read from the input columns."""
     names = [f"input_{i}" for i in range(len(columns))]
     inputs = [c.alias(n) for n, c in zip(names, _inputs(columns))]
@@ -453,6 +426,8 @@ def fit_model(
     if model_type in OWN:
         own = OWN[model_type][0](usable, _inputs(features), target, estimator)
         return TrainedModel(model_type, task, features, classes=classes if task == "classification" else None, own=own)
+    if model_type == "svm" and task == "regression":
+        return TrainedModel(model_type, task, features, own=kernels.fit(usable, _inputs(features), target, estimator, kernel))
     table = _assemble(usable, features, kernel, target).select("features", "label")
     stages = Pipeline(stages=[estimator]).fit(table)
     calibration = None

@@ -120,8 +120,8 @@ def _mutual_sql(column: str) -> str:
         FROM d JOIN r USING (feature, vec_id) GROUP BY 1, 2),
       m AS (SELECT unnest(range(1, (SELECT count(*) + 1 FROM embeddings))) AS m),
       psi AS (SELECT m, coalesce(sum(1e0 / m) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.57721566490153286e0 AS psi FROM m),
-      t AS (SELECT feature, count(*) AS n, avg(px.psi + py.psi) AS both FROM c JOIN psi px ON px.m = nx JOIN psi py ON py.m = ny GROUP BY 1)
-      SELECT feature, round(greatest(pn.psi + pk.psi - both, 0), 5) AS score FROM t JOIN psi pn ON pn.m = n JOIN psi pk ON pk.m = 3""",
+      t AS (SELECT feature, count(*) AS n, avg(px.psi + py.psi) AS axes FROM c JOIN psi px ON px.m = nx JOIN psi py ON py.m = ny GROUP BY 1)
+      SELECT feature, round(greatest(pn.psi + pk.psi - axes, 0), 5) AS score FROM t JOIN psi pn ON pn.m = n JOIN psi pk ON pk.m = 3""",
 )
 def mutual_info_neighbours(spark, folder):
     e = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)]
