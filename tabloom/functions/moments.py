@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions.columns import number
@@ -21,33 +22,57 @@ def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: row[i] for i, c in enumerate(columns)}
 
 
+COLUMN_BLOCK = 128
+"""Columns whose pairs with as many others are summed together."""
+_SLICE_CELLS = 1 << 20
+
+
 def pairwise_sums(df: DataFrame, columns: Sequence[str], centre: Sequence[float]) -> DataFrame:
-    """Rows ``(i, j, n, sx, sy, sxx, syy, sxy)`` over the rows where columns i and j are present.
+    """Rows ``(i, j, n, sx, sy, sxx, syy, sxy, infinite)`` over the rows where columns i and j are present.
 
-    Each task multiplies its batches as matrices and emits one partial row per pair; the sums of the
-    partial rows are the result. ``centre`` is subtracted first to keep the sums well conditioned.
+    ``centre`` is subtracted first to keep the sums well conditioned. Each task multiplies its rows as matrices, one
+    per two blocks of columns (i's not behind j's); the sums of two blocks meet in one task, which unpacks them.
+    ``infinite`` counts the complete rows with an infinite value; the sums leave them out.
     """
-    p = len(columns)
+    p, width = len(columns), COLUMN_BLOCK
     shift = np.asarray(centre, dtype="float64")
+    cuts = range(0, p, width)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, p, p))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            x = batch.to_numpy(dtype="float64") - shift
-            present = ~np.isnan(x)
-            mask = present.astype("float64")
-            x = np.where(present, x, 0.0)
-            sums, squares = x.T @ mask, (x * x).T @ mask
-            total += np.stack([mask.T @ mask, sums, sums.T, squares, squares.T, x.T @ x])
-        i, j = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
-        yield pd.DataFrame(
-            {"i": i.ravel(), "j": j.ravel()}
-            | {name: total[k].ravel() for k, name in enumerate(["n", "sx", "sy", "sxx", "syy", "sxy"])}
-        )
-
-    schema = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = df.select(*[number(c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInPandas(partial, schema)
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+            rows = max(1, _SLICE_CELLS // max(p, 1))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype("float64") - shift
+                present = ~np.isnan(x)
+                finite = np.isfinite(x)
+                mask, bad, x = finite.astype("float64"), (present & ~finite).astype("float64"), np.where(finite, x, 0.0)
+                square, some = x * x, present.astype("float64")
+                for a in cuts:
+                    for b in cuts:
+                        if b < a:
+                            continue
+                        i, j = slice(a, a + width), slice(b, b + width)
+                        sums = [mask[:, i].T @ mask[:, j], x[:, i].T @ mask[:, j], mask[:, i].T @ x[:, j], square[:, i].T @ mask[:, j]]
+                        sums += [mask[:, i].T @ square[:, j], x[:, i].T @ x[:, j], bad[:, i].T @ some[:, j] + some[:, i].T @ bad[:, j]]
+                        total[a, b] = total.get((a, b), 0.0) + np.stack(sums)
+        for (a, b), found in total.items():
+            cells = [pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([found.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["a", "b", "sums"])
+
+    def unpack(rows: pa.Table) -> pa.Table:
+        a, b = rows.column("a")[0].as_py(), rows.column("b")[0].as_py()
+        shape = (7, min(width, p - a), min(width, p - b))
+        total = sum(np.frombuffer(c.as_buffer(), "<f8") for c in rows.column("sums")).reshape(shape)
+        i, j = np.meshgrid(np.arange(a, a + shape[1]), np.arange(b, b + shape[2]), indexing="ij")
+        kept = i <= j
+        names = ["n", "sx", "sy", "sxx", "syy", "sxy", "infinite"]
+        return pa.table({"i": i[kept], "j": j[kept]} | {name: total[k][kept] for k, name in enumerate(names)})
+
+    schema = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double, infinite double"
+    parts = df.select(*[number(c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(partial, "a int, b int, sums binary")
+    return parts.groupBy("a", "b").applyInArrow(unpack, schema)
 
 
 def gram_by_fold(

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import as_list, col, number, numeric_columns, rows_of, string_columns
-from tabloom.functions.moments import means, pairwise_sums
+from tabloom.functions.moments import pairwise_sums
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.stats import safe_corr, sample_kurtosis, sample_skewness, zero_to_null
+from tabloom.session import durable
 
-PAIRWISE_EXPRESSIONS = 16
+#: A centred sum of squares below this share of the sum around the column's mean has lost half its digits.
+CANCELLING = 1e-8
+PAIRS_AT_ONCE = 200
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -106,35 +109,45 @@ def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Long table ``(a, b, corr)`` of pairwise-complete Pearson correlations, both orders and the diagonal."""
-    names = as_list(columns) or numeric_columns(df)
-    if len(names) > PAIRWISE_EXPRESSIONS:
-        return _wide_correlation(df, names)
-    table = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = table.agg(*[safe_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in cells])
-    entries = [
-        F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.col(f"r{i}_{j}").alias("corr"))
-        for i, j in cells
-        for a, b in dict.fromkeys([(i, j), (j, i)])
-    ]
-    return row.select(rows_of(*entries))
+    """Long table ``(a, b, corr)`` of pairwise-complete Pearson correlations, both orders and the diagonal.
 
-
-def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
-    average = means(df, names)
-    sums = pairwise_sums(df, names, [average[c] or 0.0 for c in names])
-    sxx = F.col("sxx") - F.col("sx") * F.col("sx") / zero_to_null(F.col("n"))
-    syy = F.col("syy") - F.col("sy") * F.col("sy") / zero_to_null(F.col("n"))
-    sxy = F.col("sxy") - F.col("sx") * F.col("sy") / zero_to_null(F.col("n"))
-    # A constant column leaves only rounding noise in its centred sum of squares.
-    varies = (sxx > 1e-12 * F.col("sxx")) & (syy > 1e-12 * F.col("syy"))
+    NULL where a column is constant over the complete rows, or where one of them holds an infinite value. Sums are
+    taken around the column means; the few pairs whose complete rows lie so far from these that the sums cancel are
+    computed anew, around their own means.
+    """
+    names = as_list(columns) or numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    finite = [F.when(F.abs(number(c)) < float("inf"), number(c)) for c in names]
+    # With so many expressions, one array keeps the generated code in pieces.
+    row = df.agg(F.array(*(F.struct(F.avg(x).alias("m"), F.min(x).alias("low"), F.max(x).alias("high")) for x in finite)).alias("s")).first()["s"]
+    centre = [s["m"] or 0.0 for s in row]
+    constant = [s["low"] is None or s["low"] == s["high"] for s in row]
+    sums = durable(pairwise_sums(df, names, centre))
+    n = zero_to_null(F.col("n"))
+    sxx, syy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    sxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    varies = F.lit(True)
+    if any(constant):
+        still = [i for i, same in enumerate(constant) if same]
+        varies = ~F.col("i").isin(still) & ~F.col("j").isin(still)
+    cancels = (sxx <= CANCELLING * F.col("sxx")) | (syy <= CANCELLING * F.col("syy"))
+    judged = sums.select("i", "j", (varies & (F.col("infinite") == 0)).alias("defined"), cancels.alias("cancels"), (sxy / zero_to_null(F.sqrt(sxx) * F.sqrt(syy))).alias("corr"))
+    again = [(r["i"], r["j"]) for r in judged.where("defined AND cancels").select("i", "j").toLocalIterator()]
+    corr = F.when(F.col("defined"), F.col("corr"))
+    if again:
+        known = []
+        for at in range(0, len(again), PAIRS_AT_ONCE):
+            some = again[at : at + PAIRS_AT_ONCE]
+            found = df.agg(F.array(*(safe_corr(number(names[i]), number(names[j])) for i, j in some)).alias("r")).first()["r"]
+            known += [(i, j, r) for (i, j), r in zip(some, found)]
+        judged = judged.join(df.sparkSession.createDataFrame(known, "i long, j long, exact double"), ["i", "j"], "left")
+        corr = F.when(F.col("defined"), F.when(F.col("cancels"), F.col("exact")).otherwise(F.col("corr")))
     label = F.array(*map(F.lit, names))
-    return sums.select(
-        F.get(label, F.col("i").cast("int")).alias("a"),
-        F.get(label, F.col("j").cast("int")).alias("b"),
-        F.when(varies, sxy / zero_to_null(F.sqrt(sxx) * F.sqrt(syy))).alias("corr"),
-    )
+    a, b = F.get(label, F.col("i").cast("int")), F.get(label, F.col("j").cast("int"))
+    upper = judged.select(a.alias("a"), b.alias("b"), corr.alias("corr"), (F.col("i") != F.col("j")).alias("twice"))
+    both = F.when(F.col("twice"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))
+    return upper.select(F.explode(both).alias("p"), "corr").select("p.a", "p.b", "corr")
 
 
 def distribution_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

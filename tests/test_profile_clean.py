@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 
 from columns import column
+from tabloom.functions import moments
 from tabloom.operators import clean, encode, profile
 
 
@@ -72,9 +74,9 @@ def test_kurtosis_value(frame):
     assert profile.distribution_stats(df).first()["kurtosis"] == pytest.approx(3.152, abs=1e-3)
 
 
-@pytest.mark.parametrize("limit", [16, 0])
-def test_correlation_pairwise_and_constant(frame, monkeypatch, limit):
-    monkeypatch.setattr(profile, "PAIRWISE_EXPRESSIONS", limit)
+@pytest.mark.parametrize("block", [128, 2])
+def test_correlation_pairwise_and_constant(frame, monkeypatch, block):
+    monkeypatch.setattr(moments, "COLUMN_BLOCK", block)
     df = frame("a double, b double, k double", [(1.0, 2.0, 7.1), (2.0, None, 7.1), (3.0, 6.5, 7.1), (4.0, 7.0, 7.1)])
     corr = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df).collect()}
     assert len(corr) == 9
@@ -83,6 +85,31 @@ def test_correlation_pairwise_and_constant(frame, monkeypatch, limit):
     assert corr["a", "k"] is None and corr["k", "k"] is None
 
 
+@pytest.mark.parametrize("width", [16, 17, 140])
+def test_correlation_has_one_rule_at_every_width(spark, width):
+    """Nulls, infinite values beside nulls and beside values, and complete rows far from the column's mean."""
+    random = np.random.default_rng(3)
+    x = random.normal(size=(120, width))
+    x[:, 1] += x[:, 0]
+    x[random.random(x.shape) < 0.1] = np.nan
+    x[5, 2], x[5, 3] = np.inf, np.nan
+    # Where column 4 is present, column 5 lies far from its mean and hardly varies.
+    x[:, 5] = np.where(np.arange(120) < 60, 1e9 + 1e-1 * np.arange(120), -1e9)
+    x[:, 4] = np.where(np.arange(120) < 60, random.normal(size=120), np.nan)
+    names = [f"c{i}" for i in range(width)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    corr = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df).collect()}
+    assert len(corr) == width**2
+    for i, j in [(0, 1), (0, 2), (2, 3), (2, 2), (3, 3), (4, 5), (5, 4), (5, 5), (0, 5), (width - 1, 1), (1, width - 1)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i], x[both, j]
+        if np.isinf(a).any() or np.isinf(b).any():
+            assert corr[names[i], names[j]] is None
+        else:
+            assert corr[names[i], names[j]] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-7)
+
+
 def test_drop(people):
     assert clean.handle_missing_values(people, "drop").count() == 2
     assert clean.handle_missing_values(people, "drop", ["age"]).count() == 4
