@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabloom.functions.columns import as_list, col, is_numeric, number, require_columns, require_numeric
 from tabloom.functions.ordering import GROUP_ROWS, fill_from_neighbours
 from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.sketch import SKETCH, repeated_sketches, with_sketch
 
 FILL_STRATEGIES = ("drop", "mean", "median", "mode", "forward_fill", "backward_fill", "constant")
 
@@ -202,16 +203,19 @@ def remove_duplicates(
     """Keep the first, the last or (``keep=False``) none of the rows that agree on ``subset``.
 
     ``order_by`` says which row is first; whole-row duplicates need none. A group of any size is
-    safe: only one row per group and map task reaches the shuffle.
+    safe: only one row per group and map task reaches the shuffle. With ``keep=False`` rows meet by
+    sketches, and only rows whose sketch repeats are grouped by their values.
     """
     names = as_list(subset) or df.columns
     require_columns(df, names)
     keys = [col(c) for c in names]
     if keep is False:
-        kept = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-            F.count("*").alias("_n"), F.first(F.struct(*map(col, df.columns))).alias("_row")
-        )
-        return kept.where("_n = 1").select("_row.*")
+        sketched = with_sketch(df, keys)
+        repeated = repeated_sketches(sketched)
+        # Rows of equal sketches that differ after all are kept too.
+        groups = sketched.join(repeated, SKETCH, "left_semi").groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+        kept = groups.agg(F.count("*").alias("_n"), F.first(F.struct(*map(col, df.columns))).alias("_row"))
+        return sketched.join(repeated, SKETCH, "left_anti").select(*map(col, df.columns)).unionByName(kept.where("_n = 1").select("_row.*"))
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first', 'last' or False.")
     if set(names) == set(df.columns):

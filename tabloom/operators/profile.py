@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabloom.functions.columns import as_list, col, number, numeric_columns, rows_of, string_columns
 from tabloom.functions.moments import pairwise_sums
 from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.sketch import SKETCH, repeated_sketches, with_sketch
 from tabloom.functions.stats import safe_corr, sample_kurtosis, sample_skewness, zero_to_null
 from tabloom.session import durable
 
@@ -65,8 +66,14 @@ def top_missing(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row; NULLs are equal to each other."""
-    groups = df.groupBy(*map(col, df.columns)).agg(F.count("*").alias("n"))
+    """Rows equal to an earlier row; NULLs are equal to each other.
+
+    Rows meet by sketches; only those whose sketch repeats are compared as a whole. While the repeated sketches
+    are few the adaptive planner broadcasts them, and rows that occur once are not shuffled.
+    """
+    sketched = with_sketch(df, [col(c) for c in df.columns])
+    suspects = sketched.join(repeated_sketches(sketched), SKETCH, "left_semi")
+    groups = suspects.groupBy(*map(col, df.columns)).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 

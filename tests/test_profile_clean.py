@@ -2,9 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from columns import column
-from tabloom.functions import moments
+from tabloom.functions import moments, sketch
 from tabloom.operators import clean, encode, profile
 
 
@@ -248,3 +249,18 @@ def test_dedup_cuts_groups_before_the_shuffle(repeated):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("Partial")
     assert "WindowGroupLimit" in plan and plan.index("Exchange") < partial
+
+
+def test_equal_sketches_are_compared_whole(frame, monkeypatch):
+    """With sketches that say little, rows that only look repeated are still told apart."""
+    rows = [(1, None, 0.0, "x"), (1, None, -0.0, "x"), (None, 1, float("nan"), "x"), (None, 1, float("nan"), "x"), (2, 2, 1.0, None), (2, 2, 1.0, "None"), (3, 3, 1.0, "y")]
+    df = frame("a int, b int, c double, d string", rows)
+    expected = (profile.duplicate_count(df).first()[0], sorted(map(repr, clean.remove_duplicates(df, keep=False).collect())))
+    assert expected[0] == 2 and len(expected[1]) == 3
+
+    def same(table, columns):
+        return table.withColumns({name: F.lit(0).cast("long") for name in sketch.SKETCH})
+
+    monkeypatch.setattr(profile, "with_sketch", same)
+    monkeypatch.setattr(clean, "with_sketch", same)
+    assert (profile.duplicate_count(df).first()[0], sorted(map(repr, clean.remove_duplicates(df, keep=False).collect()))) == expected
