@@ -2,6 +2,8 @@
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from tabloom.queries import Registry, table
 from tabloom.session import checkpoint_folder
 from tabloom.sources.readers import ingest, load_dataset
@@ -24,6 +26,32 @@ def csv_source(spark, folder):
     return load_dataset(spark, path, schema=", ".join(f"{c} {kinds[c]}" for c in COLUMNS.split(", ")))
 
 
+_WRITTEN = """o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'F' END AS letter, concat(cast(o_orderkey % 10 AS varchar(2)), 'd') AS code,
+    concat('12:', lpad(cast(o_orderkey % 60 AS varchar(2)), 2, '0')) AS clock"""
+
+
+@registry.add(
+    "csv_inference",
+    f"""SELECT {_WRITTEN}, o_custkey::INTEGER AS padded, o_orderkey % 3 = 0 AS truth, o_totalprice AS price,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'none' ELSE (o_orderkey % 7)::VARCHAR END AS mixed FROM orders""",
+)
+def csv_inference(spark, folder):
+    """Types found in the texts: letters, codes and clock times stay text, padded numbers are numbers."""
+    path = _folder(spark, "orders") + ".csv"
+    written = table(spark, folder, "orders").selectExpr(
+        "o_orderkey",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'F' END AS letter",
+        "concat(cast(o_orderkey % 10 AS string), 'd') AS code",
+        "concat('12:', lpad(cast(o_orderkey % 60 AS string), 2, '0')) AS clock",
+        "lpad(cast(o_custkey AS string), 9, '0') AS padded",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'True' ELSE 'False' END AS truth",
+        "o_totalprice AS price",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'none' ELSE cast(o_orderkey % 7 AS string) END AS mixed",
+    )
+    written.write.option("header", True).csv(path)
+    return load_dataset(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
 @registry.add("parquet_source", f"SELECT {COLUMNS} FROM customer")
 def parquet_source(spark, folder):
     return load_dataset(spark, f"{folder}/customer.parquet").selectExpr(*COLUMNS.split(", "))

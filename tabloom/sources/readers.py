@@ -37,16 +37,21 @@ def load_dataset(
     partition_column: str | None = None,
     partitions: int | None = None,
     format: str | None = None,
+    misfits: str = "raise",
     **options: Any,
 ) -> DataFrame:
     """Read CSV, Parquet, the result of a SQL query, or without a path a query over registered tables.
 
     NaN, and in CSV the texts of ``MISSING``, become NULL. CSV types are found in one pass over the file
     unless ``schema`` is given. ``format`` ("csv" or "parquet") is for files and folders without a suffix.
-    CSV values with line breaks need ``multiLine=True``; such a file is read by one task.
+    Numbers, true and false, dates, and timestamps with a date are recognised as they are usually written; codes such
+    as ``T``, ``10d`` or ``12:30`` stay text. Under a ``schema`` a CSV value of another type fails the read, or is NULL
+    with ``misfits="null"``. CSV values with line breaks need ``multiLine=True``; such a file is read by one task.
 
     A SQL source is read by one task unless ``partition_column`` (numeric, date or timestamp) is named.
     """
+    if misfits not in ("raise", "null"):
+        raise ValueError("misfits must be 'raise' or 'null'.")
     if path is None or is_sql_source(path):
         if not sql_query:
             raise ValueError("sql_query is required for a SQL connection string or when there is no path.")
@@ -68,18 +73,39 @@ def load_dataset(
     texts = reader.options(**{k: v for k, v in defaults.items() if k not in options}).csv(path)
     texts = texts.select(*[F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in texts.columns])
     kinds = {f.name: f.dataType.simpleString() for f in wanted} if wanted else _kinds(texts)
-    return nan_to_null(texts.select(*[col(c).try_cast(k).alias(c) for c, k in kinds.items()]))
+    # Inferred types fit every value.
+    return nan_to_null(texts.select(*[_cast(c, k, misfits if wanted else "null") for c, k in kinds.items()]))
+
+
+# How values of each type are written; casts alone would also take "T", "yes", "10d" or "12:30".
+_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
+WRITTEN = {
+    "int": r"^[+-]?\d+$",
+    "bigint": r"^[+-]?\d+$",
+    "double": r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$",
+    "boolean": r"^(?i:true|false)$",
+    "date": rf"^{_DAY}$",
+    "timestamp": rf"^{_DAY}[T ]\d{{1,2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?(Z|[+-]\d{{2}}:?\d{{2}})?$",
+}
 
 
 def _fits(value: Column, kind: str) -> Column:
-    """Whether a text is written as a value of the type."""
-    fits = F.trim(value).try_cast(kind).isNotNull()
-    return fits & F.trim(value).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") if kind == "date" else fits
+    """Whether a text is written as a value of the type and is in its range."""
+    return F.trim(value).rlike(WRITTEN[kind]) & F.trim(value).try_cast(kind).isNotNull()
+
+
+def _cast(name: str, kind: str, misfits: str) -> Column:
+    """A text column as the type; a value that doesn't fit is NULL or stops the job that reads it."""
+    value = col(name).try_cast(kind)
+    if misfits == "raise":
+        message = F.concat(F.lit(f"Column '{name}' is {kind} by the schema, but holds: "), col(name))
+        value = F.when(col(name).isNotNull() & value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+    return value.alias(name)
 
 
 def _kinds(texts: DataFrame) -> dict[str, str]:
     """The narrowest type that all values of a column fit; text for columns without values. One pass."""
-    candidates = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    candidates = tuple(WRITTEN)
     fit = [
         F.struct(F.count(col(c)).alias("n"), *[F.count_if(_fits(col(c), k)).alias(k) for k in candidates]).alias(f"c{i}")
         for i, c in enumerate(texts.columns)

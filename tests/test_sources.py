@@ -35,6 +35,26 @@ def test_csv_missing_tokens_and_types(spark, tmp_path):
     assert [r["x"] for r in typed] == ["2.5", None, "1e3"]
 
 
+def test_csv_codes_stay_text(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text("letter,word,code,clock,hex,pad,half,signed,truth,day,at\nT,yes,10d,12:30,0x1F,007,.5,+1,TRUE,2024-1-3,2024-01-03T10:00:00Z\nF,no,12f,23:59,1F,010,-2.,-3,false,2024-12-31,2024-01-03 10:00:01.5\n")
+    kinds = dict(load_dataset(spark, str(path)).dtypes)
+    assert {c for c, k in kinds.items() if k == "string"} == {"letter", "word", "code", "clock", "hex"}
+    assert (kinds["pad"], kinds["half"], kinds["signed"], kinds["truth"], kinds["day"], kinds["at"]) == ("int", "double", "int", "boolean", "date", "timestamp")
+
+
+def test_csv_misfits_under_a_schema(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text("a,b\n1,x\noops,y\n,z\n")
+    with pytest.raises(Exception, match="oops"):
+        load_dataset(spark, str(path), schema="a int, b string").collect()
+    rows = load_dataset(spark, str(path), schema="a int, b string", misfits="null").orderBy("b").collect()
+    assert [r["a"] for r in rows] == [1, None, None]
+    assert load_dataset(spark, str(path), schema="a int, b string").select("b").count() == 3
+    with pytest.raises(ValueError, match="misfits"):
+        load_dataset(spark, str(path), misfits="drop")
+
+
 def test_csv_line_breaks(spark, tmp_path):
     path = tmp_path / "data.csv"
     path.write_text('a,b\n1,"two\nlines"\n2,one\n')
