@@ -141,7 +141,14 @@ def tokens(page: str, weights: Weights | None = None) -> list[Token]:
 def _tokens(page: str, marks: dict[str, int]) -> Iterator[Token]:
     """Read a page from left to right; one token per tag and per run of text between tags. Counts article and main elements."""
     path: list[tuple[str, tuple[str, ...], tuple[Suspect, ...]]] = []  # name, features, suspects
+    opened: Counter = Counter()  # the names on the path
     depth = 0  # of article elements
+
+    def closed() -> str:
+        gone = path.pop()[0]
+        opened[gone] -= 1
+        return gone
+
     at = 0
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -154,23 +161,23 @@ def _tokens(page: str, marks: dict[str, int]) -> Iterator[Token]:
             continue
         name = name.lower()
         if close:
-            if any(name == n for n, _, _ in path):
+            if opened[name]:
                 while path:
-                    gone = path.pop()[0]
+                    gone = closed()
                     depth -= gone == "article"
                     if gone == name:
                         break
             yield Token(None, "/" + name, path[-1][1] if path else (), path[-1][2] if path else (), depth > 0)
             continue
         while path and name not in INLINE and path[-1][0] in _CLOSED_BY.get(name, ()):
-            path.pop()
-        if name not in INLINE and any(n == "p" for n, _, _ in path) and name in {"p", "div", "article", "section", "footer", "ul", "ol", "table", "h1", "h2", "h3", "aside", "nav", "form"}:
+            closed()
+        if name not in INLINE and opened["p"] and name in {"p", "div", "article", "section", "footer", "ul", "ol", "table", "h1", "h2", "h3", "aside", "nav", "form"}:
             # A block ends an open paragraph and the inline elements that were left open in it.
-            while (gone := path.pop()[0]) != "p":
+            while (gone := closed()) != "p":
                 depth -= gone == "article"
         named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(rest)).lower()
         suspects = path[-1][2] if path else ()
-        if (suspect := _suspect(name, rest, depth, {m: sum(n == m for n, _, _ in path) for m in marks})) is not None:
+        if (suspect := _suspect(name, rest, depth, {m: opened[m] for m in marks})) is not None:
             suspects += (suspect,)
         if name in marks:
             marks[name] += 1
@@ -181,6 +188,7 @@ def _tokens(page: str, marks: dict[str, int]) -> Iterator[Token]:
         if name in VOID or rest.endswith("/"):
             continue
         path.append((name, features[-24:], suspects))
+        opened[name] += 1
         depth += name == "article"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)

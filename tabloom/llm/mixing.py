@@ -19,8 +19,7 @@ SEED = 20_240
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and the control characters 9 to 13."""
-    # One letter for each word: every run becomes "w" and the spaces go.
-    return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, "[^\\x20\\x09-\\x0D]+", "w"), "[\\x20\\x09-\\x0D]+", "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -36,7 +35,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(upto), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # The weights from a source on, as a running sum in the opposite order: a frame that ends at the last row is added anew for every row.
+    onward = Window.orderBy((F.col("stop") / F.col("weight")).desc(), F.col("source").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(upto), F.lit(0.0))) / F.sum("weight").over(onward)
     # The level is the first that its own source, and so all later ones, can take in full.
     levels = per.withColumn("level", F.when(level * F.col("weight") <= F.col("stop"), level))
     found = F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -89,3 +89,13 @@ def test_comments_longer_than_the_article(weights):
 
 def test_raw_text_of_xmp(weights):
     assert html_text.extract(page(f"{BODY}<xmp>a <b>bold</b> &amp; word</xmp><p>{passage(76, 30)}</p>"), weights) == f"{TEXT}\na <b>bold</b> &amp; word\n{passage(76, 30)}"
+
+
+def test_unclosed_tags_take_linear_time():
+    """100,000 tags that nothing closes, as deep as they are many."""
+    import time
+
+    for page in ("<div>" * 100_000 + "words", "<p>" + "<span>word <b>x " * 50_000):
+        started = time.perf_counter()
+        assert len(html_text.tokens(page)) > 100_000
+        assert time.perf_counter() - started < 20

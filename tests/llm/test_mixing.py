@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import mixing
 
@@ -56,3 +57,10 @@ def test_taken_words_come_near_the_targets(spark):
     taken = {r.source: r.t for r in mixing.repetition(docs).selectExpr("source", "size * copies as t").groupBy("source").sum("t").withColumnRenamed("sum(t)", "t").collect()}
     for r in rows:
         assert taken[r.source] == pytest.approx(r[1], rel=0.05)
+
+
+def test_many_sources_take_linear_time(spark):
+    """Every row its own source: the targets still sum to the total."""
+    sizes = spark.range(200_000).select(F.col("id").cast("string").alias("source"), (F.col("id") % 97).alias("size"))
+    row = mixing.targets(sizes).agg(F.sum("target"), F.sum("source_size"), F.count("*")).first()
+    assert row[0] == pytest.approx(row[1]) and row[2] == 200_000
