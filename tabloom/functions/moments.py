@@ -5,26 +5,74 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.functions.columns import number
+from tabloom.functions.columns import col, number
 
 EXPRESSION_COLUMNS = 16
 """Up to here the sums are one aggregation expression each; beyond, blocks are multiplied in tasks."""
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Mean of the present values of every column."""
     if not columns:
         return {}
-    row = df.agg(*[F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    if len(columns) <= EXPRESSION_COLUMNS:
+        row = df.agg(*[F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        return {c: row[i] for i, c in enumerate(columns)}
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = 0.0
+        for batch in batches:
+            for x in _slices(batch):
+                totals = totals + np.stack([np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)], axis=1)
+        if not np.isscalar(totals):
+            yield from _slabs({0: totals})
+
+    found = _added(df.select(*map(col, columns)).mapInArrow(partial, _SLAB), 2)
+    sums, counts = found[0].T if found else np.zeros((2, len(columns)))
+    return {c: float(t / n) if n else None for c, t, n in zip(columns, sums, counts)}
 
 
 COLUMN_BLOCK = 128
 """Columns whose pairs with as many others are summed together."""
 _SLICE_CELLS = 1 << 20
+_SLAB = "f int, a int, sums binary"
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The numbers of a batch as matrices of bounded size, NULL as NaN."""
+    rows = max(1, _SLICE_CELLS // max(batch.num_columns, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.slice(at, rows).columns])
+
+
+def _slabs(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows ``_SLAB`` of keyed matrices, cut into ``COLUMN_BLOCK`` lines."""
+    for f, found in totals.items():
+        for a in range(0, len(found), COLUMN_BLOCK):
+            cells = [pa.array([f], pa.int32()), pa.array([a], pa.int32()), pa.array([found[a : a + COLUMN_BLOCK].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["f", "a", "sums"])
+
+
+def _added(slabs: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """The sum of the tasks' matrices per key. Equal slabs are added where they meet; the driver gets one of each."""
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in parts:
+            for f, a, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                totals[f, a] = totals.get((f, a), 0.0) + np.frombuffer(sums, "<f8")
+        for (f, a), found in totals.items():
+            cells = [pa.array([f], pa.int32()), pa.array([a], pa.int32()), pa.array([found.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["f", "a", "sums"])
+
+    rows = slabs.repartition("f", "a").mapInArrow(add, _SLAB).collect()
+    keyed: dict[int, dict[int, np.ndarray]] = {}
+    for row in rows:
+        keyed.setdefault(row["f"], {})[row["a"]] = np.frombuffer(row["sums"], "<f8").reshape(-1, width)
+    return {f: np.concatenate([parts[a] for a in sorted(parts)]) for f, parts in keyed.items()}
 
 
 def pairwise_sums(df: DataFrame, columns: Sequence[str], centre: Sequence[float]) -> DataFrame:
@@ -84,10 +132,10 @@ def gram_by_fold(
     """
     p = len(columns)
     shift = [float(c) for c in centre]
-    filled = [F.coalesce(number(c) - F.lit(shift[k]), F.lit(0.0)) for k, c in enumerate(columns)]
-    table = df.select(F.col(fold).cast("int").alias("_fold"), *[f.alias(f"c{k}") for k, f in enumerate(filled)])
     size = p + 1
     if p <= EXPRESSION_COLUMNS:
+        filled = [F.coalesce(number(c) - F.lit(shift[k]), F.lit(0.0)) for k, c in enumerate(columns)]
+        table = df.select(F.col(fold).cast("int").alias("_fold"), *[f.alias(f"c{k}") for k, f in enumerate(filled)])
         terms = [F.lit(1.0), *[F.col(f"c{k}") for k in range(p)]]
         cells = [(a, b) for a in range(size) for b in range(a, size)]
         rows = table.groupBy("_fold").agg(*[F.sum(terms[a] * terms[b]).alias(f"g{a}_{b}") for a, b in cells]).collect()
@@ -99,20 +147,16 @@ def gram_by_fold(
             grams[row["_fold"]] = g
         return grams
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for f, part in batch.groupby("_fold"):
-                x = part.drop(columns="_fold").to_numpy(dtype="float64")
-                x = np.column_stack([np.ones(len(x)), x])
-                totals[f] = totals.get(f, 0.0) + x.T @ x
-        a, b = np.triu_indices(size)
-        for f, g in totals.items():
-            yield pd.DataFrame({"f": f, "a": a, "b": b, "g": g[a, b]})
-
-    parts = table.mapInPandas(partial, "f int, a int, b int, g double")
-    grams = {}
-    for row in parts.groupBy("f", "a", "b").agg(F.sum("g").alias("g")).collect():
-        g = grams.setdefault(row["f"], np.zeros((size, size)))
-        g[row["a"], row["b"]] = g[row["b"], row["a"]] = row["g"]
-    return grams
+            for x in _slices(batch):
+                folds = x[:, 0].copy()
+                x = np.nan_to_num(x - [0.0, *shift], nan=0.0, posinf=np.inf, neginf=-np.inf)
+                x[:, 0] = 1.0
+                for f in np.unique(folds):
+                    part = x[folds == f]
+                    totals[int(f)] = totals.get(int(f), 0.0) + part.T @ part
+        yield from _slabs(totals)
+
+    return _added(df.select(F.col(fold).cast("int"), *map(col, columns)).mapInArrow(partial, _SLAB), size)

@@ -17,6 +17,7 @@ from tabloom.functions.columns import as_list, col, number, numeric_columns, req
 from tabloom.functions.moments import gram_by_fold, means
 from tabloom.functions.ordering import running_totals
 from tabloom.functions.stats import safe_corr, zero_to_null
+from tabloom.functions.sweep import Sweep
 from tabloom.operators.features import bin_edges
 from tabloom.operators.mutual_info import neighbour_mutual_info
 from tabloom.operators.prepare import assign_folds, fill_with, fit_means
@@ -233,34 +234,30 @@ def statistical_selection(
 
 
 class _CrossValidated:
-    """Cross-validated R² of any subset of columns from per-fold Gram matrices of one pass."""
+    """Cross-validated R² after every column in or out, by sweeps of per-fold Gram matrices of one pass."""
 
     def __init__(self, df: DataFrame, target: str, names: Sequence[str], cv: int, key, order_by) -> None:
         columns = [*names, target]
         centre = means(df, columns)
         folded = assign_folds(df.select(*map(col, dict.fromkeys([*columns, *as_list(key), *as_list(order_by)]))), cv, key, order_by, name="_fold")
         self.names = list(names)
-        self.folds = gram_by_fold(folded, columns, "_fold", [centre[c] or 0.0 for c in columns])
-        self.total = sum(self.folds.values())
+        folds = gram_by_fold(folded, columns, "_fold", [centre[c] or 0.0 for c in columns])
+        total = sum(folds.values())
+        self.sweeps = [Sweep(total - fold, fold) for fold in folds.values()]
+        self.spreads = [fold[-1, -1] - fold[0, -1] ** 2 / fold[0, 0] for fold in folds.values()]
 
-    def r2(self, chosen: Sequence[str]) -> float:
-        at = [0, *[self.names.index(c) + 1 for c in chosen]]
-        scores = []
-        for fold in self.folds.values():
-            beta = _solve(self.total - fold, at)
-            inner = fold[np.ix_(at, at)]
-            residual = fold[-1, -1] - 2 * beta @ fold[at, -1] + beta @ inner @ beta
-            spread = fold[-1, -1] - fold[0, -1] ** 2 / fold[0, 0]
-            scores.append(1 - residual / spread if spread > 0 else (1.0 if residual <= 0 else 0.0))
-        return round(float(np.mean(scores)), 6)
+    def flip(self, name: str) -> None:
+        """Bring a column in, or take it out."""
+        for sweep in self.sweeps:
+            sweep.flip(self.names.index(name) + 1)
 
-
-def _solve(gram: np.ndarray, at: list[int]) -> np.ndarray:
-    """Least squares from a Gram matrix whose last column is the target; scaled, singular sets allowed."""
-    inner = gram[np.ix_(at, at)]
-    scale = np.sqrt(np.diag(inner))
-    scale[scale == 0] = 1.0
-    return np.linalg.pinv(inner / np.outer(scale, scale), rcond=1e-12) @ (gram[at, -1] / scale) / scale
+    def scores(self) -> dict[str, float]:
+        """R² after flipping each column, in the order of the columns."""
+        found = np.zeros(len(self.names))
+        for sweep, spread in zip(self.sweeps, self.spreads):
+            errors = sweep.errors()[1:-1]
+            found += 1 - errors / spread if spread > 0 else np.where(errors <= 0, 1.0, 0.0)
+        return dict(zip(self.names, (found / max(len(self.sweeps), 1)).round(6).tolist()))
 
 
 def stepwise_scores(
@@ -274,7 +271,9 @@ def stepwise_scores(
 ) -> DataFrame:
     """Rows ``(feature, r2)``: cross-validated R² of the chosen columns with each further one."""
     model = _CrossValidated(df, target, columns, cv, key, order_by)
-    rows = [(c, model.r2([*chosen, c])) for c in columns if c not in chosen]
+    for c in chosen:
+        model.flip(c)
+    rows = [(c, r2) for c, r2 in model.scores().items() if c not in chosen]
     return df.sparkSession.createDataFrame(rows, "feature string, r2 double")
 
 
@@ -297,11 +296,13 @@ def forward_selection(
     history: list[dict] = []
     best = -np.inf
     while remaining and len(chosen) < max_features:
-        step = {c: model.r2([*chosen, c]) for c in remaining}
+        scores = model.scores()
+        step = {c: scores[c] for c in remaining}
         winner = max(step, key=step.get)
         if step[winner] <= best:
             break
         best = step[winner]
+        model.flip(winner)
         chosen.append(winner)
         remaining.remove(winner)
         history.append({"added": winner, "r2": best})
@@ -320,10 +321,15 @@ def backward_elimination(
     """Remove the column whose absence leaves the best cross-validated R², down to ``max_features``."""
     remaining = _candidates(df, target, [*as_list(exclude), *as_list(key), *as_list(order_by)])
     model = _CrossValidated(df, target, remaining, cv, key, order_by)
+    # From the last to the first: of columns that explain each other the first goes first.
+    for c in reversed(remaining):
+        model.flip(c)
     history: list[dict] = []
     while len(remaining) > max(max_features, 1):
-        step = {c: model.r2([k for k in remaining if k != c]) for c in remaining}
+        scores = model.scores()
+        step = {c: scores[c] for c in remaining}
         worst = max(step, key=step.get)
+        model.flip(worst)
         remaining.remove(worst)
         history.append({"removed": worst, "r2_without": step[worst]})
     return Selection("backward_elimination", remaining, [h["removed"] for h in history], history=history)
@@ -338,7 +344,8 @@ def recursive_elimination(
 ) -> Selection:
     """Drop the weakest column again and again; ``scores`` holds the ranking, 1 for kept columns.
 
-    Without an estimator the weight is the squared least-squares coefficient, from one Gram matrix.
+    Without an estimator the weight is the squared least-squares coefficient, from one Gram matrix; a column that those
+    before it explain weighs nothing.
     A Spark ML estimator is refitted per step and must give ``coefficients`` or ``featureImportances``.
     """
     names = _candidates(df, target, exclude)
@@ -347,8 +354,12 @@ def recursive_elimination(
         centre = means(df, [*names, target])
         whole = gram_by_fold(df.withColumn("_fold", F.lit(0)), [*names, target], "_fold", [centre[c] or 0.0 for c in [*names, target]])[0]
 
+        sweep = Sweep(whole, np.zeros_like(whole))
+        for i in range(len(names)):
+            sweep.flip(i + 1)
+
         def weights(columns: list[str]) -> np.ndarray:
-            return _solve(whole, [0, *[names.index(c) + 1 for c in columns]])[1:] ** 2
+            return sweep.weights()[[names.index(c) for c in columns]] ** 2
     else:
         filled = fill_with(df.select(*map(col, [*names, target])), fit_means(df, [*names, target])).persist()
 
@@ -366,6 +377,8 @@ def recursive_elimination(
             weakest = remaining[int(np.argmin(weights(remaining)))]
             remaining.remove(weakest)
             removed.append(weakest)
+            if estimator is None:
+                sweep.flip(names.index(weakest) + 1)
     finally:
         if estimator is not None:
             filled.unpersist()

@@ -1,10 +1,14 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from columns import column
 from tabloom.functions import moments
+from tabloom.functions.sweep import Sweep
 from tabloom.operators import prepare, selection
 from tabloom.operators.scaler import Scaler, log_scaling, normalize, robust_scaling, standardize
 
@@ -87,7 +91,64 @@ def test_stepwise_equals_direct_fits(regression, monkeypatch, limit):
     model = selection._CrossValidated(regression, "target", names, 3, None, "row_id")
     for chosen in (["age"], ["income", "noise"], ["age", "income", "constant"], names):
         at = [names.index(c) for c in chosen]
-        assert model.r2(chosen) == pytest.approx(_plain_r2(table[:, at], table[:, -1], 3), abs=2e-6)
+        for c in chosen[:-1]:
+            model.flip(c)
+        assert model.scores()[chosen[-1]] == pytest.approx(_plain_r2(table[:, at], table[:, -1], 3), abs=2e-6)
+        for c in chosen[:-1]:
+            model.flip(c)
+
+
+def test_wide_means_equal_narrow_ones(spark, monkeypatch):
+    df = spark.sql("""SELECT * FROM VALUES (1, 2.5D, CAST(1.25 AS DECIMAL(9, 2)), CAST(NULL AS DOUBLE)), (2, NULL, NULL, NULL),
+        (4, double('NaN'), 2.50, NULL) AS t(a, b, c, d)""")
+    narrow = moments.means(df, df.columns)
+    monkeypatch.setattr(moments, "EXPRESSION_COLUMNS", 0)
+    assert moments.means(df, df.columns) == pytest.approx(narrow) and narrow["b"] == 2.5 and narrow["d"] is None
+    assert moments.means(df.limit(0), df.columns) == dict.fromkeys(df.columns)
+
+
+def _gram(x, y):
+    table = np.column_stack([np.ones(len(y)), x, y])
+    return table.T @ table
+
+
+def _held_error(x, y, held, at):
+    """Squared error on held rows of a least-squares fit on the others."""
+    a, b = (np.column_stack([np.ones(k.sum()), x[k][:, at]]) for k in (~held, held))
+    rest = y[held] - b @ np.linalg.lstsq(a, y[~held], rcond=None)[0]
+    return rest @ rest
+
+
+def test_sweeps_equal_direct_fits_through_any_order():
+    """Columns go in and out at random, among them a copy, a sum of others and a constant."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)) * 10.0 ** np.arange(-3, 5)
+    x = np.column_stack([x, x[:, 1], x[:, 2] + x[:, 3], np.full(300, 7.0)])
+    y = x[:, 2] * 30 + x[:, 6] / 1e4 + rng.normal(size=300)
+    held = np.arange(300) % 3 == 0
+    sweep = Sweep(_gram(x[~held], y[~held]), _gram(x[held], y[held]))
+    inside = set()
+    for k in rng.integers(0, x.shape[1], 200):
+        inside ^= {int(k)}
+        sweep.flip(int(k) + 1)
+        found = sweep.errors()
+        assert found[-1] == pytest.approx(_held_error(x, y, held, sorted(inside)), rel=1e-6)
+        for j in range(x.shape[1]):
+            assert found[j + 1] == pytest.approx(_held_error(x, y, held, sorted(inside ^ {j})), rel=1e-6)
+
+
+def test_selection_of_five_hundred_columns(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 500))
+    y = 5 * x[:, 17] + 3 * x[:, 300] + 2 * x[:, 499] + 0.1 * rng.normal(size=1500)
+    columns = [f"x{i}" for i in range(500)]
+    pd.DataFrame(np.column_stack([x, y]), columns=[*columns, "y"]).assign(id=range(1500)).to_parquet(tmp_path / "wide.parquet")
+    df = spark.read.parquet(str(tmp_path / "wide.parquet"))
+    began = time.monotonic()
+    assert selection.forward_selection(df, "y", 3, key="id").selected == ["x17", "x300", "x499"]
+    assert selection.backward_elimination(df, "y", 3, key="id").selected == ["x17", "x300", "x499"]
+    assert sorted(selection.recursive_elimination(df, "y", 3, exclude=["id"]).selected) == ["x17", "x300", "x499"]
+    assert time.monotonic() - began < 60
 
 
 def test_forward_and_backward(regression):
