@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.queries import Registry, table
 from tabloom.session import checkpoint_folder
-from tabloom.sources.readers import ingest, load_dataset
+from tabloom.sources.readers import MISSING, ingest, load_dataset
 
 registry = Registry()
 
@@ -52,6 +52,20 @@ def csv_inference(spark, folder):
     return load_dataset(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
 
 
+@registry.add(
+    "csv_line_breaks",
+    f"SELECT doc_id, CASE WHEN text NOT IN ({', '.join(repr(m) for m in MISSING)}) THEN text END AS text, lang FROM documents",
+)
+def csv_line_breaks(spark, folder):
+    """Whole texts with quotes and line breaks, written as CSV and read in parallel."""
+    path = _folder(spark, "documents") + ".csv"
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    written = documents.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    written.csv(path)
+    kinds = dict(documents.dtypes)
+    return load_dataset(spark, path, schema=", ".join(f"{c} {k}" for c, k in kinds.items()), multiLine=True)
+
+
 @registry.add("parquet_source", f"SELECT {COLUMNS} FROM customer")
 def parquet_source(spark, folder):
     return load_dataset(spark, f"{folder}/customer.parquet").selectExpr(*COLUMNS.split(", "))

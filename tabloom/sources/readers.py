@@ -8,6 +8,7 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions.columns import col, nan_to_null
+from tabloom.sources.records import quoted_records
 
 CSV, PARQUET = (".csv",), (".parquet", ".pq")
 # Texts that stand for a missing value in CSV files.
@@ -46,7 +47,8 @@ def load_dataset(
     unless ``schema`` is given. ``format`` ("csv" or "parquet") is for files and folders without a suffix.
     Numbers, true and false, dates, and timestamps with a date are recognised as they are usually written; codes such
     as ``T``, ``10d`` or ``12:30`` stay text. Under a ``schema`` a CSV value of another type fails the read, or is NULL
-    with ``misfits="null"``. CSV values with line breaks need ``multiLine=True``; such a file is read by one task.
+    with ``misfits="null"``. CSV values with line breaks need ``multiLine=True``; such files are read in parallel if no
+    options but ``header``, ``sep``, ``quote`` and an ``escape`` equal to the quote are given, else by one task a file.
 
     A SQL source is read by one task unless ``partition_column`` (numeric, date or timestamp) is named.
     """
@@ -70,13 +72,37 @@ def load_dataset(
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted]))
     defaults = {"header": True, "inferSchema": False, "quote": '"', "escape": '"'}
-    texts = reader.options(**{k: v for k, v in defaults.items() if k not in options}).csv(path)
+    options = defaults | options
+    texts = reader.options(**options).csv(path)
+    if _in_parallel(spark, path, options):
+        texts = _parse_records(spark, path, texts.columns, options)
     texts = texts.select(*[F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in texts.columns])
     kinds = {f.name: f.dataType.simpleString() for f in wanted} if wanted else _kinds(texts)
     # Inferred types fit every value.
     return nan_to_null(texts.select(*[_cast(c, k, misfits if wanted else "null") for c, k in kinds.items()]))
 
 
+def _is_true(option: Any) -> bool:
+    return str(option).lower() == "true"
+
+
+def _in_parallel(spark: SparkSession, path: str, options: dict) -> bool:
+    """Whether records with line breaks can be told apart without reading a file from its beginning."""
+    known = {"header", "inferSchema", "quote", "escape", "sep", "delimiter", "multiLine"}
+    plain = len(options["quote"]) == 1 and options["escape"] == options["quote"] and len(options.get("sep", options.get("delimiter", ","))) == 1
+    return _is_true(options.get("multiLine", False)) and set(options) <= known and plain and spark.read.text(path).columns == ["value"]
+
+
+def _parse_records(spark: SparkSession, path: str, names: list[str], options: dict) -> DataFrame:
+    sep = options.get("sep", options.get("delimiter", ","))
+    records = quoted_records(spark, path, sep, options["quote"], _is_true(options["header"]))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    # With multiLine the parser leaves line breaks inside of quotes as they are.
+    parser = {"sep": sep, "quote": options["quote"], "escape": options["escape"], "lineSep": "\n", "multiLine": "true"}
+    parsed = records.select(F.from_csv("text", schema, parser).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 # How values of each type are written; casts alone would also take "T", "yes", "10d" or "12:30".
 _DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 WRITTEN = {
