@@ -1,8 +1,11 @@
 """Catalogue and run-log queries on tables derived from customers and orders."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabloom.operators.compare import matrix_total
+from tabloom.session import checkpoint_folder
 from tabloom.sources import catalogue, tracking
 from tabloom.queries import Registry, table
 from tabloom.queries.engineering import rounded
@@ -131,3 +134,68 @@ def matrix_total_(spark, folder):
         F.array(F.array(*cells[:2]), F.array(*cells[2:])).alias("m")
     )
     return matrices.select("model", matrix_total(F.col("m")).alias("n_test"))
+
+
+def _store(spark, kind):
+    """A store under a fresh folder of the shared space."""
+    return kind(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+@registry.add(
+    "stored_runs",
+    f"""WITH {TRAINING_RUNS} SELECT id AS run_id, model_type, feature_set_id, status, round(coalesce(accuracy, f1), 6) AS primary_value
+        FROM training_runs WHERE project_id = (SELECT min(o_custkey) FROM orders)""",
+)
+def stored_runs(spark, folder):
+    """All runs written to a catalogue, and those of one project read from it."""
+    store = _store(spark, catalogue.Catalogue)
+    runs_ = training_runs(spark, folder)
+    missing = {"confusion_matrix": "array<array<long>>", "details": "string"}
+    store.append("training_runs", runs_.withColumns({c: F.lit(None).cast(k) for c, k in missing.items()}))
+    project = runs_.agg(F.min("project_id")).first()[0]
+    return rounded(store.runs(project), 6, "primary_value").select("run_id", "model_type", "feature_set_id", "status", "primary_value")
+
+
+@registry.add(
+    "experiment_summary",
+    f"""WITH {TRAINING_RUNS}, t AS (SELECT feature_set_id, count(*) AS total_runs FROM training_runs GROUP BY 1)
+        SELECT 'project_1_orders' AS experiment, t.total_runs, r.id::VARCHAR AS best_run, round(r.accuracy, 6) AS best_accuracy
+        FROM training_runs r JOIN t USING (feature_set_id) WHERE feature_set_id = 3 ORDER BY r.accuracy DESC NULLS LAST, r.id::VARCHAR LIMIT 1""",
+)
+def experiment_summary(spark, folder):
+    """All runs written to a run log, an experiment for every feature set, and the summary of one."""
+    log = _store(spark, tracking.RunLog)
+    experiment = log.get_or_create_experiment(1, "Orders")
+    of_set = F.when(F.col("feature_set_id") == 3, experiment).otherwise(F.col("feature_set_id").cast("string"))
+    tags = F.create_map(F.lit("model_type"), F.col("model_type"))
+    log.append(
+        "logged_runs",
+        training_runs(spark, folder).select(
+            F.col("id").cast("string").alias("run_id"),
+            of_set.alias("experiment_id"),
+            F.col("model_type").alias("run_name"),
+            F.lit("FINISHED").alias("status"),
+            F.col("created_at").cast("timestamp_ntz").alias("start_time"),
+            tags.alias("tags"),
+            F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("params"),
+            "metrics",
+            F.lit(None).cast("string").alias("artifact"),
+        ),
+    )
+    found = log.summary(experiment)
+    best = found["best_run"]
+    row = (found["experiment"]["name"], found["total_runs"], best["run_id"], round(best["metrics"]["accuracy"], 6))
+    return spark.createDataFrame([row], "experiment string, total_runs long, best_run string, best_accuracy double")
+
+
+@registry.add(
+    "feature_history",
+    "SELECT p_size::BIGINT AS feature_set_id, p_retailprice AS importance_score FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)",
+)
+def feature_history(spark, folder):
+    """Importances of features (brands) in feature sets (sizes), stored and read by feature."""
+    store = _store(spark, catalogue.Catalogue)
+    parts = table(spark, folder, "part")
+    entries = [F.col("p_size").cast("long").alias("feature_set_id"), F.col("p_brand").alias("feature_name"), F.col("p_retailprice").alias("importance_score")]
+    store.append("feature_history", parts.select(F.col("p_partkey").alias("id"), *entries))
+    return store.feature_history(parts.agg(F.min("p_brand")).first()[0]).select("feature_set_id", "importance_score")

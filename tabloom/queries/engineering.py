@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import encode, features
 from tabloom.operators.scaler import Scaler, log_scaling, robust_scaling
-from tabloom.plans.spec import build_feature_set
+from tabloom.plans.spec import build_feature_set, preview
 from tabloom.queries import Registry, table
 from tabloom.queries.profiling import HOLED, holed_events
 
@@ -391,6 +391,33 @@ def scaler_standard(spark, folder):
     return _scaler(spark, folder, "standard")
 
 
+@registry.add(
+    "scaler_fit_transform",
+    "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 6) AS o_totalprice FROM orders",
+)
+def scaler_fit_transform(spark, folder):
+    scaled = Scaler("standard").fit_transform(table(spark, folder, "orders"), ["o_totalprice"])
+    return rounded(scaled, 6, "o_totalprice").select("o_orderkey", "o_totalprice")
+
+
+@registry.add(
+    "feature_preview",
+    """SELECT o_orderkey, o_totalprice, round(ln(o_totalprice + 1), 6) AS price_log,
+        lag(o_totalprice) OVER (ORDER BY o_orderkey) AS previous FROM orders ORDER BY o_orderkey LIMIT 5""",
+)
+def feature_preview(spark, folder):
+    """The first five rows of a feature set."""
+    spec = {
+        "features": [
+            {"name": "price_log", "source": "log", "base": "o_totalprice"},
+            {"name": "previous", "source": "lag", "base": "o_totalprice", "lag": 1},
+        ]
+    }
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    original, engineered, rows = preview(orders, spec, order_by="o_orderkey")
+    return rounded(rows, 6, "price_log").select(*original, *engineered)
+
+
 @registry.add("scaler_minmax", _scaler_sql("(o_totalprice - a) / (b - a)", "min(o_totalprice) AS a, max(o_totalprice) AS b"))
 def scaler_minmax(spark, folder):
     return _scaler(spark, folder, "minmax")

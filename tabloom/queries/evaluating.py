@@ -426,5 +426,70 @@ def wilson_interval(spark, folder):
     f"""WITH {RUNS} SELECT run_id, abs(accuracy - f1) > 0.01 AS practical FROM runs""",
 )
 def practical_significance(spark, folder):
-    gap = F.abs(compare.metric_value("accuracy") - compare.metric_value("f1"))
-    return runs(spark, folder).select("run_id", (gap > 0.01).alias("practical"))
+    practical = compare.practically_significant(compare.metric_value("accuracy"), compare.metric_value("f1"))
+    return runs(spark, folder).select("run_id", practical.alias("practical"))
+
+
+# Tail probabilities in SQL: the error function by its series of positive terms, Student's density by Simpson's rule.
+def _chi2_tail(statistic: str) -> str:
+    terms = f"list_sum(list_transform(range(0, 300), lambda n: exp((2 * n + 1) * ln(sqrt(({statistic}) / 2)) - ({statistic}) / 2 - lgamma(n + 1.5e0))))"
+    return f"CASE WHEN ({statistic}) = 0 THEN 1e0 WHEN ({statistic}) > 80 THEN 0e0 ELSE 1 - {terms} END"
+
+
+def _student_tail(statistic: str, freedom: str) -> str:
+    weight = "CASE WHEN n IN (0, 4000) THEN 1 WHEN n % 2 = 1 THEN 4 ELSE 2 END"
+    density = f"exp(-({freedom} + 1) / 2 * ln(1 + (abs({statistic}) * n / 4000e0) ** 2 / {freedom}))"
+    factor = f"exp(lgamma(({freedom} + 1) / 2) - lgamma({freedom} / 2)) / sqrt({freedom} * pi())"
+    return f"1 - 2 * {factor} * abs({statistic}) / 12000e0 * list_sum(list_transform(range(0, 4001), lambda n: {weight} * {density}))"
+
+
+@registry.add(
+    "mcnemar_p_values",
+    f"""WITH {GUESSED}, b AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'P' WHEN o_orderkey % 4 = 0 THEN y_true ELSE y_pred END AS p FROM guessed),
+        n AS (SELECT o_orderpriority, count(*) FILTER (y_true <> y_pred AND y_true = p) AS n01,
+                     count(*) FILTER (y_true = y_pred AND y_true <> p) AS n10 FROM b GROUP BY 1),
+        s AS (SELECT *, (abs(n01 - n10) - 1) ** 2 / (n01 + n10)::DOUBLE AS s FROM n)
+        SELECT o_orderpriority, round(s, 6) AS statistic, round({_chi2_tail("s")}, 6) AS p_value, {_chi2_tail("s")} < 0.05 AS significant FROM s""",
+)
+def mcnemar_p_values(spark, folder):
+    """Two sets of predictions compared per order priority."""
+    key, known = F.col("o_orderkey"), F.col("y_true") == F.col("y_pred")
+    other = F.when(key % 5 == 0, "P").when(key % 4 == 0, F.col("y_true")).otherwise(F.col("y_pred"))
+    counts = guessed(spark, folder).withColumn("p", other).groupBy("o_orderpriority").agg(
+        F.count_if(~known & (F.col("y_true") == F.col("p"))).alias("n01"), F.count_if(known & (F.col("y_true") != F.col("p"))).alias("n10")
+    )
+    tested = counts.withColumns(compare.mcnemar_columns(F.col("n01"), F.col("n10")))
+    return rounded(tested, 6, "statistic", "p_value").select("o_orderpriority", "statistic", "p_value", "significant")
+
+
+@registry.add(
+    "welch_p_value",
+    f"""WITH {SEGMENT_PREDICTIONS}, f AS (SELECT model, fold, avg((y_true = y_pred)::INTEGER) AS v FROM sp
+             WHERE model IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2),
+        s AS (SELECT model, count(*) AS n, avg(v) AS m, var_samp(v) / count(*) AS e FROM f GROUP BY 1),
+        t AS (SELECT (a.m - b.m) / sqrt(a.e + b.e) AS t, (a.e + b.e) ** 2 / (a.e ** 2 / (a.n - 1) + b.e ** 2 / (b.n - 1)) AS v
+              FROM s a, s b WHERE a.model = 'BUILDING' AND b.model = 'MACHINERY')
+        SELECT round({_student_tail("t", "v")}, 6) AS p_value, {_student_tail("t", "v")} < 0.05 AS significant FROM t""",
+)
+def welch_p_value(spark, folder):
+    folds = segment_predictions(spark, folder).groupBy("model", "fold").agg(
+        F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("v")
+    )
+    tested = compare.welch_test(folds, "model", "v", "BUILDING", "MACHINERY")
+    return rounded(tested, 6, "p_value").select("p_value", "significant")
+
+
+@registry.add(
+    "compare_runs",
+    f"""WITH {RUNS}, r AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, run_id) AS place FROM runs),
+        g AS (SELECT max(accuracy) FILTER (place = 1) - max(accuracy) FILTER (place = 2) AS gap, count(*) AS n FROM r)
+        SELECT run_id, model_type, round(accuracy, 6) AS metric_value, n AS total_runs, round(gap, 4) AS margin_over_second,
+               gap > 0.01 AS practically_significant FROM r, g WHERE place = 1""",
+)
+def compare_runs(spark, folder):
+    """The summary of a comparison of all runs."""
+    found = compare.compare_runs(runs(spark, folder).withColumn("confusion_matrix", F.lit(None).cast("array<array<long>>")))
+    best = found["winner"]
+    row = (best["run_id"], best["model_type"], round(best["metric_value"], 6), found["total_runs"], best["margin_over_second"], found["practically_significant"])
+    schema = "run_id long, model_type string, metric_value double, total_runs long, margin_over_second double, practically_significant boolean"
+    return spark.createDataFrame([row], schema)

@@ -130,3 +130,14 @@ def distribution_stats(spark, folder):
     lines = profile.distribution_stats(table(spark, folder, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
     stats = lines.unionByName(profile.distribution_stats(table(spark, folder, "events"), ["value"]))
     return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "skewness", "kurtosis")})
+
+
+@registry.add(
+    "column_kinds",
+    """WITH k AS (SELECT CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'Numeric'
+            WHEN column_type LIKE 'TIMESTAMP%' THEN 'Datetime' ELSE 'Categorical' END AS kind FROM (DESCRIBE SELECT * FROM lineitem))
+        SELECT kind, (SELECT count(*) FROM k WHERE k.kind = n.kind)::INTEGER AS n_columns
+        FROM (VALUES ('Numeric'), ('Datetime'), ('Categorical')) n(kind)""",
+)
+def column_kinds(spark, folder):
+    return profile.kind_counts(table(spark, folder, "lineitem"))

@@ -71,6 +71,37 @@ def pearson_scores_text(spark, folder):
     return selection.pearson_scores(labelled_documents(spark, folder), "quality", TEXT_FEATURES)
 
 
+_CORRELATIONS = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS feature, round(abs(corr({c}, l_extendedprice)), 6) AS score, round(var_samp({c}), 6) AS spread FROM lineitem"
+    for i, c in enumerate(LINE_FEATURES)
+)
+
+
+@registry.add(
+    "importance_scores",
+    f"SELECT row_number() OVER (ORDER BY score DESC, place) AS position, feature, score FROM ({_CORRELATIONS})",
+)
+def importance_scores(spark, folder):
+    """All scores, best first, nothing dropped."""
+    lines = table(spark, folder, "lineitem").select(*LINE_FEATURES, "l_extendedprice")
+    found = selection.feature_importance(lines, "l_extendedprice")
+    return spark.createDataFrame([(i + 1, c, s) for i, (c, s) in enumerate(found.items())], "position long, feature string, score double")
+
+
+@registry.add(
+    "selection_by_name",
+    f"""SELECT 'correlation' AS method, row_number() OVER (ORDER BY score DESC, place) AS position, feature FROM ({_CORRELATIONS}) WHERE score >= 0.05
+        UNION ALL SELECT 'variance_threshold', row_number() OVER (ORDER BY place), feature FROM ({_CORRELATIONS}) WHERE spread >= 0.05""",
+)
+def selection_by_name(spark, folder):
+    lines = table(spark, folder, "lineitem").select(*LINE_FEATURES, "l_extendedprice")
+    rows = []
+    for method in ("correlation", "variance_threshold"):
+        found = selection.select_features(lines, "l_extendedprice", method, exclude=["l_extendedprice"])
+        rows += [(method, i + 1, c) for i, c in enumerate(found.selected)]
+    return spark.createDataFrame(rows, "method string, position long, feature string")
+
+
 def _rank(column: str) -> str:
     return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2e0"
 

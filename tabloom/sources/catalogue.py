@@ -48,7 +48,7 @@ class Catalogue(TableStore):
         }
 
     def add_feature_history(self, feature_set_id: int, importances: dict[str, float]) -> None:
-        first = self.next_id("feature_history")
+        first = self.next_id("feature_history", len(importances))
         self.append(
             "feature_history",
             [(first + i, feature_set_id, f, float(v)) for i, (f, v) in enumerate(importances.items())],

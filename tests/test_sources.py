@@ -1,5 +1,6 @@
 import csv
 import math
+from concurrent.futures import ThreadPoolExecutor
 from random import Random
 
 import pytest
@@ -210,6 +211,16 @@ def test_catalogue_round_trip(spark, tmp_path):
     assert catalogue.feature_history("x").first()["importance_score"] == 0.75
 
 
+def test_writers_at_the_same_time_get_different_ids(spark, tmp_path):
+    catalogue = Catalogue(spark, str(tmp_path))
+    with ThreadPoolExecutor(6) as pool:
+        ids = list(pool.map(lambda i: catalogue.create_project(f"p{i}")["id"], range(6)))
+        firsts = list(pool.map(lambda i: catalogue.next_id("feature_history", 3), range(4)))
+    assert len(set(ids)) == 6 and catalogue.projects().count() == 6
+    taken = [first + i for first in firsts for i in range(3)]
+    assert len(set(taken)) == 12
+
+
 class _Result:
     model_type, task, model_path = "svm", "classification", None
     hyperparams = {"C": 1.0, "layers": (1, 2)}
