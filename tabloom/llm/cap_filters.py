@@ -22,7 +22,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.llm import links
 from tabloom.session import durable
@@ -143,8 +143,14 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """One row per vector: key, n_links, component_id (least key that links reach, itself included), kept."""
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), F.col(label).cast("long").alias("label"))
+    """One row per vector: key, n_links, component_id (least key that links reach, itself included), kept.
+
+    Labels of any type are compared as they are: whole numbers as such, all others by their text.
+    """
+    kind = "long" if isinstance(vectors.schema[label].dataType, T.IntegralType) else "string"
+    # Adding 0 makes the two zeros of a float one.
+    same = F.col(label) + F.lit(0.0) if isinstance(vectors.schema[label].dataType, T.FractionalType) else F.col(label)
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), same.cast(kind).alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.where(F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite).dropDuplicates(["key"])
     usable = durable(usable.withColumn("dims", F.size("vector")))
@@ -159,16 +165,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                keys, labels, dims = (part.column(i).to_numpy() for i in (0, 1, 2))
+                keys, dims, labels = part.column(0).to_numpy(), part.column(2).to_numpy(), part.column(1)
                 for at, unit in _units(part.column(3), dims):
                     if (code := codes.get(unit.shape[1])) is None:
                         code = codes[unit.shape[1]] = ProductCode(unit.shape[1], n_rows)
                     row, filters = code.decode(code.turned(unit))
                     own = at[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(labels[own]), pa.array(dims[own]), pa.array(filters, pa.int64())], ["key", "label", "dims", "filter"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), labels.take(pa.array(own)), pa.array(dims[own]), pa.array(filters, pa.int64())], ["key", "label", "dims", "filter"])
 
     named = one.select(F.col("class_id").alias("key"), "label", "dims", "vector", "weight")
-    passed = named.select("key", "label", "dims", "vector").mapInArrow(decoded, "key long, label long, dims int, filter long")
+    passed = named.select("key", "label", "dims", "vector").mapInArrow(decoded, f"key long, label {kind}, dims int, filter long")
     met = links.paired_blocks(passed, ["label", "dims", "filter"], "key", F.ceil(F.count(F.lit(1)) / FILTER_BLOCK))
     met = met.join(named.select("key", "vector"), "key")
     edges = links.together(met, ["label", "dims", "filter"]).mapInArrow(_filter_edges, "u long, v long")

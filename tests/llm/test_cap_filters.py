@@ -51,6 +51,18 @@ def test_links_equal_all_pairs(spark):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
 
 
+@pytest.mark.parametrize(
+    ("kind", "labels"),
+    [("double", [1.2, 1.9, 0.0, -0.0, None]), ("string", ["1", "01", "a", "a ", None]), ("boolean", [True, False, None, True, False])],
+)
+def test_labels_are_compared_as_they_are(spark, kind, labels):
+    rng = np.random.default_rng(9)
+    center = rng.standard_normal(24)
+    rows = [(i, (center + 0.05 * rng.standard_normal(24)).astype(np.float32).tolist(), labels[i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    assert got(df) == brute(rows)
+
+
 def test_blocks_of_large_groups_meet(spark, monkeypatch):
     rng = np.random.default_rng(5)
     center = rng.standard_normal(16)
