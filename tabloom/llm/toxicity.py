@@ -33,10 +33,10 @@ MEMBERS = 3
 STEPS = 150
 #: Standard deviations by which a feature must be commoner in toxic texts than in unlabelled ones.
 SURPRISE = 6.0
-#: Least share of toxic texts that hold a feature.
-LEAST_SHARE = 0.02
+#: Least number of different toxic texts that hold a feature.
+LEAST_TEXTS = 5
 #: Strength of the ridge against weights, shared out over the toxic texts.
-RIDGE = 0.7
+RIDGE = 0.3
 SEED = 11
 
 
@@ -110,10 +110,12 @@ def _fit_one(positive: Rows, unlabelled: Rows, n: int, prior: float, steps: int)
     in_positive = np.bincount(positive.ids, minlength=n)
     share_p = in_positive / len(positive)
     share_u = np.bincount(unlabelled.ids, minlength=n) / max(1, len(unlabelled))
-    lift = np.log((share_p + 1e-3) / (share_u + 1e-3))
+    # Half a text more on either side: what a share of so few texts can tell.
+    few = 0.5 / min(len(positive), max(1, len(unlabelled)))
+    lift = np.log((share_p + few) / (share_u + few))
     # Only features that toxic texts hold more often than chance explains; the rest is noise in such samples.
     expected = share_u * len(positive)
-    lift[(in_positive < max(3, LEAST_SHARE * len(positive))) | (in_positive - expected < SURPRISE * np.sqrt(expected + 1))] = 0
+    lift[(in_positive < LEAST_TEXTS) | (in_positive - expected < SURPRISE * np.sqrt(expected + 1))] = 0
     out, chosen = np.zeros(n), np.flatnonzero(lift)
     positive, unlabelled, lift, n = positive.only(chosen, n), unlabelled.only(chosen, n), lift[chosen], len(chosen)
     weights, intercept = np.zeros(n), float(np.log(prior / (1 - prior)))

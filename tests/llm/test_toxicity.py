@@ -34,6 +34,30 @@ def test_held_out_accuracy(corpus):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def packed(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+
+
+def test_a_kind_of_one_in_a_hundred_toxic_texts_is_learnt():
+    """Samples of the usual size; a tenth of all texts is toxic, one in a hundred of those by words of their own."""
+    rng = random.Random(8)
+    kinds = {"common": ["vilest", "grimble", "scowler", "mudge"], "rare": ["qorvath", "zimbrel", "uxtano"]}
+
+    def text(kind):
+        words = passage(rng.randrange(10**9), rng.randint(20, 60)).split()
+        for _ in range(3 if kind else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(kinds[kind]))
+        return " ".join(words)
+
+    toxic = [text("common" if i % 100 else "rare") for i in range(3000)]
+    some = [text(None if i % 10 else "common" if i % 1000 else "rare") for i in range(5000)]
+    model = toxicity.fit(*(toxicity.Rows(*toxicity.features(*packed(texts))) for texts in (toxic, some)), 0.1)
+    for kind in ("common", None, "rare"):
+        found = model.score(*packed([text(kind) for _ in range(200)])) >= 0.5
+        assert np.mean(found == (kind is not None)) > 0.95, kind
+
+
 def test_edge_documents(corpus, edge_docs, no_docs):
     docs, labels = corpus
     model = toxicity.train(docs, labels)
