@@ -124,11 +124,18 @@ def fill_from_neighbours(
 ) -> DataFrame:
     """Replace NULLs by the nearest earlier (``forward``) or later non-null value of the group."""
     order, groups = as_list(order_by), as_list(partition_by)
-    pick = F.last if forward else F.first
-    reach = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
+
+    def walked(name: str) -> Column:
+        # A frame to the end of the group is computed anew for every row, so backward fills walk down from the last row.
+        return F.col(name) if forward else F.col(name).desc()
+
     if small_groups(df, groups, group_rows):
-        window = Window.partitionBy(*map(col, groups)).orderBy(*map(col, order)).rowsBetween(*reach)
-        return df.withColumns({c: pick(col(c), ignorenulls=True).over(window) for c in columns})
+        window = Window.partitionBy(*map(col, groups))
+        # Rows that the order doesn't tell apart keep their places when they are walked backwards.
+        rows = df if forward else df.withColumn(POSITION, F.row_number().over(window.orderBy(*map(col, order))))
+        reach = window.orderBy(*(map(col, order) if forward else [walked(POSITION)])).rowsBetween(Window.unboundedPreceding, 0)
+        filled = {c: F.last(col(c), ignorenulls=True).over(reach) for c in columns}
+        return rows.withColumns(filled).select(*map(col, df.columns))
     numbered = number_rows(df, [*groups, *order])
     size = numbered.block_rows()
     rows = numbered.rows.withColumn(BLOCK, F.floor(F.col(POSITION) / size))
@@ -143,21 +150,20 @@ def fill_from_neighbours(
             for i, c in enumerate(columns)
         ]
     )
-    others = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
     # One row per block, at most MOST_BLOCKS rows: small enough for one task.
-    across = Window.orderBy(BLOCK).rowsBetween(*others)
+    across = Window.orderBy(walked(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = handed.select(
         BLOCK,
-        *[pick(f"_carry{i}", ignorenulls=True).over(across).alias(f"_carry{i}") for i in range(len(columns))],
+        *[F.last(f"_carry{i}", ignorenulls=True).over(across).alias(f"_carry{i}") for i in range(len(columns))],
     )
-    window = Window.partitionBy(BLOCK, *map(col, groups)).orderBy(POSITION).rowsBetween(*reach)
+    window = Window.partitionBy(BLOCK, *map(col, groups)).orderBy(walked(POSITION)).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}
     for i, c in enumerate(columns):
         carry = F.col(f"_carry{i}")
         same = F.lit(True)
         for j, g in enumerate(groups):
             same = same & carry[f"g{j}"].eqNullSafe(col(g))
-        filled[c] = F.coalesce(pick(col(c), ignorenulls=True).over(window), F.when(same, carry["v"]))
+        filled[c] = F.coalesce(F.last(col(c), ignorenulls=True).over(window), F.when(same, carry["v"]))
     # The table has a row per block but may have many columns: whether to broadcast it is the planner's choice.
     return (
         rows.join(carried, BLOCK, "left")

@@ -110,3 +110,15 @@ def test_group_quantiles(skewed):
     assert a.keys() == b.keys()
     for k, pair in a.items():
         assert b[k] == pytest.approx(pair, abs=1e-12)
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+@pytest.mark.parametrize("group_rows", [0, 10**6])
+def test_backward_fill_walks_each_group_once(skewed, key, group_rows, capsys):
+    """A frame that ends with the group costs the square of its rows."""
+    filled = fill_from_neighbours(skewed, ["v"], "i", key, forward=False, group_rows=group_rows)
+    filled.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    whole = Window.partitionBy(*([key] if key else [])).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    expected = skewed.withColumn("v", F.first("v", ignorenulls=True).over(whole))
+    assert sorted(map(str, filled.collect())) == sorted(map(str, expected.collect()))
