@@ -183,3 +183,44 @@ def test_packed_blocks(spark):
     assert few.tolist() == [0.0, 1.0, 2.0, 3.0] and 10 <= len(many) <= 15
     none = matrix.packed(df.limit(0), columns(), F.col("y"))
     assert none.rows == 0 and matrix.bin_edges(none, 16, 100, 1)[0].tolist() == []
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_a_shallow_forest_has_large_leaves(spark, classes):
+    """One split of more rows than a task grows: exact threshold, and leaves that no task holds."""
+    df = table(spark, n=600, classes=classes)
+    rules = forest.Rules(trees=1, max_depth=1, drawn=3, classes=classes, bootstrap=False)
+    whole = forest.fit(df, columns(), F.col("y"), rules)
+    parts = forest.fit(df.select(*(F.col(f).alias(f) for f in ("key", *FEATURES, "y"))), columns(), F.col("y"), rules, node_bytes=50 * 28)
+    assert len(parts.tops[0].left) == 3 and parts.subtrees.count() == 2
+    assert np.allclose(predictions(whole, df), predictions(parts, df))
+    assert np.allclose(predictions(whole, df), predictions(parts, df, broadcast_bytes=0))
+    if not classes:
+        few = df.select("key", "f1", "y")
+        one = forest.Rules(trees=1, max_depth=1, drawn=1, bootstrap=False)
+        a, b = (forest.fit(few, [F.col("f1")], F.col("y"), one, node_bytes=n).whole_trees()[0] for n in (1 << 20, 50 * 20))
+        assert a.threshold[0] == b.threshold[0] and np.allclose(a.value[1:], b.value[1:])
+
+
+def test_rows_that_nothing_separates_are_one_leaf(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0, 3.0, float(i % 5)) for i in range(300)], "key long, f0 double, f1 double, f2 double, y double")
+    model = forest.fit(df, columns(), F.col("y"), forest.Rules(trees=2, drawn=2, bootstrap=False), node_bytes=50 * 28)
+    assert model.subtrees.count() == 2 and np.allclose(predictions(model, df), 2.0)
+
+
+def test_values_outside_the_sample_are_cut_too(spark):
+    df = spark.createDataFrame([(float(i == 1234), float(i % 3), 0.0, 0.0) for i in range(3000)], "f0 double, f1 double, f2 double, y double")
+    blocks = matrix.packed(df, columns(), F.col("y"), "<f4", block_bytes=1200)
+    edges = matrix.bin_edges(blocks, 16, 20, 1)
+    assert [e.tolist() for e in edges] == [[0.0], [0.0, 1.0], []]
+    assert matrix.least_of_bins(blocks, edges, 3)[1].tolist() == [0.0, 1.0, 2.0]
+
+
+def test_scoring_by_join_with_one_and_with_many_copies_of_a_subtree(spark, monkeypatch):
+    df = table(spark, n=300)
+    model = forest.fit(df, columns(), F.col("y"), forest.Rules(trees=3, drawn=1), node_bytes=80 * 28)
+    expected = predictions(model, df)
+    for rows, chunk in ((forest.SCORED_ROWS, forest.CHUNK_BYTES), (20, 1)):
+        monkeypatch.setattr(forest, "SCORED_ROWS", rows)
+        monkeypatch.setattr(forest, "CHUNK_BYTES", chunk)
+        assert np.allclose(predictions(model, df, broadcast_bytes=0), expected)
