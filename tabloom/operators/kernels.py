@@ -34,6 +34,8 @@ FIRST_WIDTH, LAST_WIDTH = 1.0, 1e-4
 STEPS, TOLERANCE = 30, 1e-9
 #: Eigenvalues below this share of the largest are noise.
 LEAST_EIGENVALUE = 1e-10
+#: Rows whose kernel values are held at a time.
+SLICE_ROWS = 4_096
 
 
 def kernel(kind: str, x: np.ndarray, z: np.ndarray, gamma: float, degree: int = 3, offset: float = 0.0) -> np.ndarray:
@@ -69,10 +71,14 @@ class KernelMap:
         kept = values > LEAST_EIGENVALUE * max(values.max(), 1e-300)
         return cls(kind, gamma, degree, offset, rows.tolist(), (vectors[:, kept] / np.sqrt(values[kept])).tolist())
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The kernel of rows with the landmarks; the rows for the linear one."""
         if self.kernel == "linear":
             return x
-        return kernel(self.kernel, x, np.array(self.landmarks), self.gamma, self.degree, self.offset) @ np.array(self.weights)
+        return kernel(self.kernel, x, np.array(self.landmarks), self.gamma, self.degree, self.offset)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x if self.kernel == "linear" else self.values(x) @ np.array(self.weights)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Replace the vector column ``features``."""
@@ -80,11 +86,17 @@ class KernelMap:
             return df
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def mapped(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype="object")
-            return pd.Series(list(shared.value(np.stack(x.to_numpy()))))
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def mapped(x: pa.Array) -> pa.Array:
+            # One array for the batch, and kernel values of a slice of it at a time.
+            rows, found = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 0)), None
+            for i in range(0, len(x), SLICE_ROWS):
+                part = shared.value(rows[i : i + SLICE_ROWS])
+                found = np.empty((len(x), part.shape[1])) if found is None else found
+                found[i : i + SLICE_ROWS] = part
+            width = 0 if found is None else found.shape[1]
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width, pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(np.zeros(0) if found is None else found.reshape(-1)))
 
         return df.withColumn("features", array_to_vector(mapped(vector_to_array("features"))))
 
@@ -104,19 +116,29 @@ class Rules:
     epsilon: float = 0.1
 
 
-def objective(theta: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rules: Rules, width: float) -> np.ndarray:
-    """Flat sums over rows: loss, gradient and second derivatives, with kinks rounded off over ``width``."""
+def objective(theta: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.ndarray | None, rules: Rules, width: float) -> np.ndarray:
+    """Flat sums over rows: loss, gradient and second derivatives, with kinks rounded off over ``width``.
+
+    Blocks are kernel values (rows x landmarks); features are those times ``weights``, or the values themselves
+    without. Only rows on a kink have second derivatives and need their features.
+    """
     d = len(theta)
     total = np.zeros(1 + d + d * d)
-    for phi, y in blocks:
-        one = np.column_stack([phi, np.ones(len(phi))])
-        error = one @ theta - y
+    by_value = theta[:-1] if weights is None else weights @ theta[:-1]
+    slopes = np.zeros(len(by_value))
+    for values, y in blocks:
+        error = values @ by_value + theta[-1] - y
         beyond = np.abs(error) - rules.epsilon
         curved, straight = (beyond > 0) & (beyond <= width), beyond > width
         total[0] += (beyond[curved] ** 2).sum() / (2 * width) + (beyond[straight] - width / 2).sum()
         slope = np.where(curved, beyond / width, straight.astype(float)) * np.sign(error)
-        total[1 : 1 + d] += one.T @ slope
-        total[1 + d :] += (one[curved].T @ one[curved] / width).ravel()
+        slopes += values.T @ slope
+        total[d] += slope.sum()
+        if curved.any():
+            phi = values[curved] if weights is None else values[curved] @ weights
+            one = np.column_stack([phi, np.ones(len(phi))])
+            total[1 + d :] += (one.T @ one / width).ravel()
+    total[1:d] = slopes if weights is None else weights.T @ slopes
     return total
 
 
@@ -206,18 +228,25 @@ def fit(df: DataFrame, features: Sequence[Column], target: Column, rules: Rules,
     mean, square = matrix.summed(blocks, moments, 2) / max(blocks.rows, 1)
     spread = float(np.sqrt(max(square - mean**2, 0.0))) or 1.0
     p = blocks.features
-    if blocks.rows * 8 * (p + d + 1) <= local_bytes:
+    width = len(kernel_map.landmarks) or d
+    weights = np.array(kernel_map.weights) if kernel_map.kernel != "linear" else None
+    if blocks.rows * 8 * (p + width + 1) <= local_bytes:
 
         def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(kernel_map(b.x), b.y) for b in sorted(matrix.read(batches, p, "<f8"), key=lambda b: (b.part, b.seq))]
-            theta = solve(lambda theta, width: objective(theta, iter(held), rules, width), d, float(mean), spread, rules)
+            held = [(kernel_map.values(b.x), b.y) for b in sorted(matrix.read(batches, p, "<f8"), key=lambda b: (b.part, b.seq))]
+            theta = solve(lambda theta, width: objective(theta, iter(held), weights, rules, width), d, float(mean), spread, rules)
             yield pa.RecordBatch.from_arrays([pa.array([theta.tobytes()], pa.binary())], ["theta"])
 
         row = blocks.table.repartition(1).mapInArrow(here, "theta binary").first()
         return Regressor(kernel_map, np.frombuffer(row["theta"], "<f8"))
-    shared = df.sparkSession.sparkContext.broadcast(kernel_map)
+    shared = df.sparkSession.sparkContext.broadcast((kernel_map, weights))
+
+    def sliced(found: Iterator[matrix.Block]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in found:
+            for i in range(0, len(b.y), SLICE_ROWS):
+                yield shared.value[0].values(b.x[i : i + SLICE_ROWS]), b.y[i : i + SLICE_ROWS]
 
     def sums(theta: np.ndarray, width: float) -> np.ndarray:
-        return matrix.summed(blocks, lambda found: objective(theta, ((shared.value(b.x), b.y) for b in found), rules, width), 1 + d + d * d)
+        return matrix.summed(blocks, lambda found: objective(theta, sliced(found), shared.value[1], rules, width), 1 + d + d * d)
 
     return Regressor(kernel_map, solve(sums, d, float(mean), spread, rules))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabloom.operators import kernels as K, models
@@ -100,3 +101,24 @@ def test_family_regresses_with_kernels(spark, tmp_path):
     loaded = models.load_model(result.model.save(str(tmp_path / "m")))
     values = [[r.prediction for r in m.transform(df).orderBy("key").collect()] for m in (loaded, result.model)]
     assert values[0] == pytest.approx(values[1])
+
+
+def test_sums_in_kernel_values_are_those_in_features():
+    """Only rows on a kink need their features; loss, gradient and second derivatives are the same."""
+    random = np.random.default_rng(8)
+    x, y, theta = random.normal(size=(200, 3)), random.normal(size=200), random.normal(size=21)
+    map_ = K.KernelMap.of("rbf", 0.3, x[:20])
+    values, weights = map_.values(x), np.array(map_.weights)
+    for width in (1.0, 1e-3):
+        found = K.objective(theta, iter([(values[:90], y[:90]), (values[90:], y[90:])]), weights, K.Rules(), width)
+        expected = K.objective(theta, iter([(map_(x), y)]), None, K.Rules(), width)
+        assert np.allclose(found, expected, rtol=1e-6, atol=1e-6 * np.abs(expected).max())
+
+
+def test_mapped_features_are_made_in_slices(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(50, 3))
+    map_ = K.KernelMap.of("rbf", 0.3, x[:20])
+    monkeypatch.setattr(K, "SLICE_ROWS", 7)
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x.tolist())], ["key", "features"]).coalesce(1)
+    rows = map_.apply(df).orderBy("key").collect()
+    assert np.allclose([r["features"].toArray() for r in rows], map_(x))
