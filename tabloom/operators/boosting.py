@@ -6,9 +6,9 @@ is one pass: every task adds g and h of its rows per (node, feature, bin), the s
 the best split reaches the driver. With G and H the sums over a side, a split gains
 ``G_left²/(H_left + l2) + G_right²/(H_right + l2) - G²/(H + l2)``, and a leaf weighs ``-eta G/(H + l2)``.
 
-Columns are drawn per tree, rows per round by draws seeded by block, so repeated tasks agree. Margins are written
-with the blocks every ``WRITE_ROUNDS`` rounds; the trees since then are added on the fly. Rows that take up to
-``LOCAL_BYTES`` are boosted inside one task by the same code, which saves a job per level.
+Columns are drawn per tree, rows per round by draws seeded by block, so repeated tasks agree. Spark keeps the blocks
+with the margins of the round, so a tree is added to them once; they are checkpointed every ``WRITE_ROUNDS`` rounds.
+Rows that take up to ``LOCAL_BYTES`` are boosted inside one task by the same code, which saves a job per level.
 
 The model is at most rounds x classes x 2^(depth + 1) nodes, whatever the rows, and is broadcast for scoring.
 """
@@ -16,23 +16,26 @@ The model is at most rounds x classes x 2^(depth + 1) nodes, whatever the rows,
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions import matrix
 from tabloom.operators.forest import Tree
-from tabloom.session import durable
 
 BINS = 256
 #: Rows of the sample that the cuts of features with more different values come from.
 BIN_ROWS = 200_000
 LOCAL_BYTES = 64 << 20
-WRITE_ROUNDS = 10
+WRITE_ROUNDS = 25
+#: Bytes of blocks in a task of a pass, where the cores don't ask for smaller ones.
+TASK_BYTES = 64 << 20
 #: Least gain of a split.
 LEAST_GAIN = 1e-6
 
@@ -79,9 +82,25 @@ def shares(margin: np.ndarray, classes: int) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+class _Walk:
+    """A tree on bins as the arrays of a step down; a leaf leads to itself."""
+
+    def __init__(self, tree: Tree) -> None:
+        inner = tree.feature >= 0
+        self.feature = np.where(inner, tree.feature, 0).astype(np.intp)
+        self.cut = np.where(inner, tree.threshold, BINS - 1).astype(np.uint8)
+        self.left = np.where(inner, tree.left, np.arange(len(inner))).astype(np.intp)
+        self.value = tree.value
+        self.height, level = 0, np.flatnonzero(inner[:1])
+        while len(level):
+            level = np.concatenate([tree.left[level], tree.left[level] + 1])
+            level = level[inner[level]]
+            self.height += 1
+
+
 @dataclass
 class _Rows:
-    """A block of binned rows with their margins."""
+    """A block of binned rows (column after column) with their margins."""
 
     part: int
     seq: int
@@ -91,8 +110,17 @@ class _Rows:
     round: int = -1
     g: np.ndarray = field(default_factory=lambda: np.zeros(0))
     h: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Per output the node that each row has come down to in the round's tree.
+    #: Per output the node that each row has come down to in the round's tree, and how many steps that took.
     at: list[np.ndarray] = field(default_factory=list)
+    steps: list[int] = field(default_factory=list)
+
+    def __reduce__(self) -> tuple:
+        return _Rows, (self.part, self.seq, self.bins, self.y, self.margin)
+
+    def begin(self, number: int, outputs: int) -> None:
+        self.round = number
+        self.at = [np.zeros(len(self.y), np.intp) for _ in range(outputs)]
+        self.steps = [0] * outputs
 
     def derive(self, number: int, rules: Rules) -> None:
         """Gradients of a round; rows that it leaves out have none."""
@@ -102,20 +130,23 @@ class _Rows:
         if rules.subsample < 1:
             out = np.random.default_rng([rules.seed, 1, number, self.part, self.seq]).random(len(self.y)) >= rules.subsample
             self.g[out], self.h[out] = 0.0, 0.0
-        self.round = number
-        self.at = [np.zeros(len(self.y), np.int64) for _ in range(rules.outputs)]
+        self.begin(number, rules.outputs)
 
-    def descend(self, k: int, tree: Tree) -> np.ndarray:
+    def descend(self, k: int, walk: _Walk) -> np.ndarray:
         """Move rows on to the open nodes of a tree that has grown."""
-        at = self.at[k]
-        rows = np.arange(len(at))
-        while True:
-            node = at[rows]
-            inner = tree.feature[node] >= 0
-            if not inner.any():
-                return at
-            rows, node = rows[inner], node[inner]
-            at[rows] = tree.left[node] + (self.bins[rows, tree.feature[node]] > tree.threshold[node])
+        bins, row = self.bins.T.reshape(-1), np.arange(len(self.y))
+        # Where a node's column begins.
+        column = walk.feature * len(self.y)
+        for _ in range(self.steps[k], walk.height):
+            at = self.at[k]
+            value = bins.take(column.take(at) + row)
+            self.at[k] = walk.left.take(at) + (value > walk.cut.take(at))
+        self.steps[k] = walk.height
+        return self.at[k]
+
+    def add(self, walks: list[_Walk]) -> None:
+        for k, walk in enumerate(walks):
+            self.margin[:, k] += walk.value[self.descend(k, walk)]
 
 
 @dataclass
@@ -132,20 +163,20 @@ class _Growing:
         return Tree(np.array(self.feature, np.int32), np.array(self.threshold), np.array(self.left, np.int64), np.array(self.value))
 
 
-def histograms(rows: _Rows, trees: list[Tree], opened: list[list[int]], columns: np.ndarray, total: list[np.ndarray]) -> None:
+def histograms(rows: _Rows, walks: list[_Walk], opened: list[list[int]], columns: np.ndarray, total: list[np.ndarray]) -> None:
     """Add a block's g and h to ``total``: per output (open node, drawn column, bin, g and h)."""
-    for k, (tree, nodes) in enumerate(zip(trees, opened)):
+    for k, (walk, nodes) in enumerate(zip(walks, opened)):
         if not nodes:
             continue
-        place = np.full(len(tree.left), -1)
-        place[nodes] = np.arange(len(nodes))
-        where = place[rows.descend(k, tree)]
-        used = np.flatnonzero((where >= 0) & (rows.h[:, k] > 0))
-        here, g, h = where[used], rows.g[used, k], rows.h[used, k]
+        # Rows at closed nodes come last and are left out.
+        place = np.full(len(walk.left), len(nodes) * BINS)
+        place[nodes] = np.arange(len(nodes)) * BINS
+        here, size = place.take(rows.descend(k, walk)), (len(nodes) + 1) * BINS
+        sides = [np.ascontiguousarray(side[:, k]) for side in (rows.g, rows.h)]
         for c, f in enumerate(columns[k]):
-            cell = here * BINS + rows.bins[used, f]
-            total[k][:, c, :, 0] += np.bincount(cell, g, len(nodes) * BINS).reshape(-1, BINS)
-            total[k][:, c, :, 1] += np.bincount(cell, h, len(nodes) * BINS).reshape(-1, BINS)
+            cell = here + rows.bins[:, f]
+            for i, side in enumerate(sides):
+                total[k][:, c, :, i] += np.bincount(cell, side, size)[:-BINS].reshape(-1, BINS)
 
 
 def best_split(histogram: np.ndarray, rules: Rules) -> tuple[float, int, int, float, float, float, float]:
@@ -175,87 +206,86 @@ class _Here:
         self.rows, self.rules = rows, rules
 
     def best(self, number: int, trees: list[Tree], opened: list[list[int]], columns: np.ndarray) -> dict:
-        total = [np.zeros((len(nodes), columns.shape[1], BINS, 2)) for nodes in opened]
+        total, walks = [np.zeros((len(nodes), columns.shape[1], BINS, 2)) for nodes in opened], [_Walk(tree) for tree in trees]
         for rows in self.rows:
             rows.derive(number, self.rules)
-            histograms(rows, trees, opened, columns, total)
+            histograms(rows, walks, opened, columns, total)
         return {(k, node): best_split(total[k][i], self.rules) for k, nodes in enumerate(opened) for i, node in enumerate(nodes)}
 
     def add(self, number: int, trees: list[Tree]) -> None:
+        walks = [_Walk(tree) for tree in trees]
         for rows in self.rows:
-            for k, tree in enumerate(trees):
-                rows.margin[:, k] += tree.value[rows.descend(k, tree)]
+            rows.add(walks)
 
 
 _BINNED = "part int, seq int, n int, x binary, y binary, margin binary"
 
 
 class _Spread:
-    """Passes over a written table of blocks."""
+    """Passes over blocks that Spark keeps, in memory as far as they fit; each pass is one job."""
 
-    def __init__(self, table: DataFrame, features: int, rules: Rules) -> None:
-        self.table, self.features, self.rules = table, features, rules
-        #: Trees whose values the written margins lack.
-        self.recent: list[list[Tree]] = []
-
-    def _rows(self):
-        recent, features, outputs = self.table.sparkSession.sparkContext.broadcast(list(self.recent)), self.features, self.rules.outputs
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
-            for found in read(batches, features, outputs):
-                for trees in recent.value:
-                    for k, tree in enumerate(trees):
-                        tree.add(found.bins, found.margin[:, k : k + 1])
-                yield found
-
-        return rows
+    def __init__(self, rows: RDD, rules: Rules) -> None:
+        self.rows, self.rules = rows.persist(StorageLevel.MEMORY_AND_DISK), rules
+        #: The blocks of the round before, until those of this one are made.
+        self.before: RDD | None = None
 
     def best(self, number: int, trees: list[Tree], opened: list[list[int]], columns: np.ndarray) -> dict:
-        rows_of, rules, width = self._rows(), self.rules, columns.shape[1]
+        rules, width, walks = self.rules, columns.shape[1], [_Walk(tree) for tree in trees]
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(blocks: Iterator[_Rows]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
             total = [np.zeros((len(nodes), width, BINS, 2)) for nodes in opened]
-            for rows in rows_of(batches):
+            for rows in blocks:
                 rows.derive(number, rules)
-                histograms(rows, trees, opened, columns, total)
+                histograms(rows, walks, opened, columns, total)
             for k, nodes in enumerate(opened):
                 for i, node in enumerate(nodes):
-                    cells = [pa.array([k], pa.int32()), pa.array([node], pa.int64()), pa.array([total[k][i].tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cells, ["k", "node", "counts"])
-
-        def best(rows: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(c.as_buffer(), "<f8") for c in rows.column("counts")).reshape(width, BINS, 2)
-            return pa.table({"k": rows.column("k")[:1], "node": rows.column("node")[:1], "found": pa.array([list(map(float, best_split(total, rules)))], pa.list_(pa.float64()))})
+                    yield (k, node), total[k][i]
 
-        counted = self.table.mapInArrow(count, "k int, node long, counts binary")
-        rows = counted.groupBy("k", "node").applyInArrow(best, "k int, node long, found array<double>").collect()
-        return {(r["k"], r["node"]): (r["found"][0], int(r["found"][1]), int(r["found"][2]), *r["found"][3:]) for r in rows}
+        tasks = min(sum(map(len, opened)), self.rows.context.defaultParallelism)
+        counted = self.rows.mapPartitions(count).reduceByKey(np.add, tasks)
+        found = dict(counted.mapValues(lambda total: best_split(total, rules)).collect())
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+        return found
 
     def add(self, number: int, trees: list[Tree]) -> None:
-        self.recent.append(trees)
-        if len(self.recent) < WRITE_ROUNDS:
-            return
-        rows_of = self._rows()
+        outputs, walks = self.rules.outputs, [_Walk(tree) for tree in trees]
+
+        def added(blocks: Iterator[_Rows]) -> Iterator[_Rows]:
+            for rows in blocks:
+                rows.begin(number, outputs)
+                rows.add(walks)
+                yield rows
 
-        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in rows_of(batches):
-                yield _batch(rows)
+        self.before, self.rows = self.rows, self.rows.mapPartitions(added).persist(StorageLevel.MEMORY_AND_DISK)
+        if (number + 1) % WRITE_ROUNDS == 0:
+            # Lost blocks are made again from here.
+            self.rows.checkpoint()
 
-        self.table = durable(self.table.mapInArrow(write, _BINNED))
-        self.recent = []
+    def close(self) -> None:
+        for rows in (self.before, self.rows):
+            if rows is not None:
+                rows.unpersist()
 
 
 def _batch(rows: _Rows) -> pa.RecordBatch:
-    cells = [[rows.part], [rows.seq], [len(rows.y)], [rows.bins.tobytes()], [rows.y.tobytes()], [rows.margin.tobytes()]]
+    cells = [[rows.part], [rows.seq], [len(rows.y)], [rows.bins.tobytes("F")], [rows.y.tobytes()], [rows.margin.tobytes()]]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], ["part", "seq", "n", "x", "y", "margin"])
 
 
+def _rows(cells: Sequence, features: int, outputs: int) -> _Rows:
+    """A block from the cells of a row of ``_BINNED``."""
+    part, seq, n, x, y, margin = cells
+    bins = np.frombuffer(x, np.uint8).reshape(features, n).T
+    return _Rows(part, seq, bins, np.frombuffer(y, "<f8"), np.frombuffer(margin, "<f8").reshape(n, outputs).copy())
+
+
 def read(batches: Iterator[pa.RecordBatch], features: int, outputs: int) -> Iterator[_Rows]:
     for batch in batches:
-        for r in batch.to_pylist():
-            bins = np.frombuffer(r["x"], np.uint8).reshape(r["n"], features)
-            yield _Rows(r["part"], r["seq"], bins, np.frombuffer(r["y"], "<f8"), np.frombuffer(r["margin"], "<f8").reshape(r["n"], outputs).copy())
+        for cells in zip(*(column.to_pylist() for column in batch.columns)):
+            yield _rows(cells, features, outputs)
 
 
 def boost(passes: _Here | _Spread, features: int, rules: Rules) -> tuple[list[list[Tree]], np.ndarray, np.ndarray]:
@@ -384,7 +414,13 @@ def fit(df: DataFrame, features: Sequence[Column], target: Column, rules: Rules,
         rounds = [every[i : i + rules.outputs] for i in range(0, len(every), rules.outputs)]
         gains, splits = np.array(row["gains"]), np.array(row["splits"])
     else:
-        rounds, gains, splits = boost(_Spread(durable(table), p, rules), p, rules)
+        cores, outputs = df.sparkSession.sparkContext.defaultParallelism, rules.outputs
+        tasks = cores * math.ceil(blocks.rows * (p + 8 + 8 * outputs) / (cores * TASK_BYTES))
+        passes = _Spread(table.repartition(tasks).rdd.map(lambda cells: _rows(cells, p, outputs)), rules)
+        try:
+            rounds, gains, splits = boost(passes, p, rules)
+        finally:
+            passes.close()
     for trees in rounds:
         for tree in trees:
             # From the number of a cut to its value.

@@ -123,6 +123,33 @@ def test_boosting_in_a_task_and_over_the_cluster(spark, classes):
     assert (found.argmax(axis=1) == y).mean() > 0.95 if classes else np.corrcoef(found[:, 0], y)[0, 1] > 0.95
 
 
+@pytest.mark.parametrize("classes", [0, 4])
+def test_a_level_of_boosted_trees_is_one_job(spark, classes):
+    """And the trees of earlier rounds are not added again: the blocks of a round are kept, not written."""
+    df, context = table(spark, n=400, classes=classes), spark.sparkContext
+
+    def jobs(rounds, group):
+        context.setJobGroup(group, group)
+        boosting.fit(df, columns(), F.col("y"), boosting.Rules(rounds=rounds, max_depth=3, eta=0.3, classes=classes), local_bytes=0)
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        assert jobs(12, f"long{classes}") - jobs(1, f"short{classes}") <= 11 * 3
+    finally:
+        context.setJobGroup("", "")
+    assert not [rdd for rdd in context._jsc.getPersistentRDDs().values()]
+
+
+def test_rows_descend_as_in_whole_trees():
+    random = np.random.default_rng(8)
+    bins = np.asfortranarray(random.integers(0, 256, (500, 3)), np.uint8)
+    tree, _ = forest.grow(bins.astype("f4"), random.normal(size=500), np.ones(500), forest.Rules(drawn=2, max_depth=5), [1])
+    tree.threshold = np.floor(tree.threshold)
+    rows = boosting._Rows(0, 0, bins, np.zeros(500), np.zeros((500, 1)))
+    rows.begin(0, 1)
+    assert np.array_equal(rows.descend(0, boosting._Walk(tree)), tree.leaves(bins))
+
+
 @pytest.mark.parametrize("classes", [0, 2, 3])
 def test_gradients_and_curvatures(classes):
     random = np.random.default_rng(7)
