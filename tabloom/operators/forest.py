@@ -34,6 +34,8 @@ from tabloom.session import durable
 
 #: Bytes of rows that a task grows at once.
 NODE_BYTES = 32 << 20
+#: Bytes of rows, unpacked, that a task is sent for all its nodes.
+ROUTED_BYTES = 256 << 20
 #: Rows are numbered in this many bits while they are sorted.
 ROW_BITS = 21
 #: Bins of a feature in the histograms of the tops, and rows of the sample whose quantiles are the bins.
@@ -43,8 +45,11 @@ BIN_ROWS = 200_000
 HISTOGRAM_BYTES = 64 << 20
 #: Forests up to this size are broadcast for scoring.
 BROADCAST_BYTES = 64 << 20
-#: Rows that one copy of a subtree scores, and bytes of the parts that are summed at once.
-SCORED_ROWS = 2_000_000
+#: Bytes of the subtrees that score rows together, rows (and bytes of rows and their sums) that one copy of them scores,
+#: and bytes of the parts that are summed at once.
+GROUP_BYTES = 64 << 20
+SCORED_ROWS = 16_000_000
+SCORED_BYTES = 256 << 20
 CHUNK_BYTES = 64 << 20
 
 
@@ -297,7 +302,7 @@ class _Top:
     threshold: list[float] = field(default_factory=lambda: [0.0])
     left: list[int] = field(default_factory=lambda: [0])
     depth: list[int] = field(default_factory=lambda: [0])
-    #: Nodes with too many rows for a task that are leaves, with their weight and the sums that make their values.
+    #: Nodes of one class or with too many rows for a task that are leaves, with their weight and the sums that make their values.
     closed: dict[int, np.ndarray] = field(default_factory=dict)
 
     def tree(self) -> Tree:
@@ -344,8 +349,17 @@ def _best_bins(histogram: np.ndarray, rules: Rules) -> tuple[int, int, int, floa
     return int(which), int(bin), after, float(gain[which, bin]), lower[which, bin], upper[which, bin]
 
 
-def _grow_tops(blocks: matrix.Blocks, rules: Rules, node_rows: int) -> tuple[list[_Top], np.ndarray]:
-    """Split nodes by histograms until every open node has at most ``node_rows`` rows; others are closed as leaves."""
+def _pure(sums: Sequence[float], classes: int) -> bool:
+    """Whether rows are of one class, from their weight and the weights of the classes (two: of the second one)."""
+    weight, *kinds = sums
+    return classes > 0 and max(*kinds, weight - sum(kinds)) == weight
+
+
+def _grow_tops(blocks: matrix.Blocks, rules: Rules, node_rows: int, classes: int) -> tuple[list[_Top], np.ndarray]:
+    """Split nodes by histograms until every open node has at most ``node_rows`` rows; others are closed as leaves.
+
+    Nodes of one class are closed too: their rows need not be sent. ``classes`` counts two classes as two.
+    """
     spark, p, dtype = blocks.table.sparkSession, blocks.features, blocks.dtype
     tops, gains = [_Top() for _ in range(rules.trees)], np.zeros((rules.trees, p))
     # A row is in a bootstrap sample with probability 1 - 1/e.
@@ -423,6 +437,9 @@ def _grow_tops(blocks: matrix.Blocks, rules: Rules, node_rows: int) -> tuple[lis
             middle = (cut + above) / 2
             children = top.split(key[1], f, middle if middle < above else cut)
             for child, sums in zip(children, (row["lower"], row["upper"])):
+                if _pure(sums[1:], classes):
+                    top.closed[child] = np.array(sums[1:])
+                    continue
                 if sums[0] <= node_rows:
                     continue
                 if rules.max_depth is None or top.depth[child] < rules.max_depth:
@@ -520,74 +537,101 @@ class Forest:
         return df.withColumn(output, scored(features))
 
     def _by_join(self, df: DataFrame, features: str, output: str) -> DataFrame:
-        """Rows are numbered, packed per (tree, node) they are routed to, scored beside that subtree, and summed.
+        """Rows are numbered, packed per group of subtrees they are routed to, scored beside the group, and summed.
 
-        A subtree is sent once, and once more for every ``SCORED_ROWS`` further rows that are routed to it. Rows of
-        neighbouring numbers are a chunk; the parts of its rows meet in one task as packed numbers.
+        Neighbouring subtrees of up to ``GROUP_BYTES`` are a group, which a row is sent to once, however many trees of
+        the group it passes. A group is sent once, and once more for every ``SCORED_ROWS`` or ``SCORED_BYTES`` of
+        further rows. Rows of neighbouring numbers are a chunk; the parts of its rows meet in one task as packed numbers.
         """
         spark, outputs, trees, p = df.sparkSession, self.outputs, self.rules.trees, self.features
         bits = min(13, max(4, (CHUNK_BYTES // (8 * outputs * trees)).bit_length() - 1))
         numbered = durable(df.withColumn("_row", F.monotonically_increasing_id()))
-        shared = spark.sparkContext.broadcast(self.tops)
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes = self.subtrees.select("tree", "node", F.length("model").alias("bytes")).orderBy("tree", "node").collect()
+        # Per tree the group of each of its leaves in the top.
+        group_of, size, groups = [np.full(len(top.left), -1) for top in self.tops], 0, 1
+        for r in sizes:
+            if size and size + r["bytes"] > GROUP_BYTES:
+                size, groups = 0, groups + 1
+            size += r["bytes"]
+            group_of[r["tree"]][r["node"]] = groups - 1
+        shared = spark.sparkContext.broadcast((self.tops, group_of))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Row numbers, features, and per group which rows pass it."""
             for batch in batches:
                 if batch.num_rows:
                     ids = batch.column(0).to_numpy()
-                    yield ids, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype("<f4")
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype("<f4")
+                    passed, every = np.zeros((groups, len(ids)), bool), np.arange(len(ids))
+                    for top, group in zip(*shared.value):
+                        passed[group[top.leaves(x)], every] = True
+                    yield ids, x, passed
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [np.zeros(len(top.left), np.int64) for top in shared.value]
-            for _, x in read(batches):
-                for top, rows in zip(shared.value, total):
-                    rows += np.bincount(top.leaves(x), minlength=len(rows))
-            for t, rows in enumerate(total):
-                nodes = np.flatnonzero(rows)
-                cells = [pa.array(np.full(len(nodes), t, np.int32)), pa.array(nodes), pa.array(rows[nodes])]
-                yield pa.RecordBatch.from_arrays(cells, ["tree", "node", "n"])
+            total = np.zeros(groups, np.int64)
+            for _, _, passed in read(batches):
+                total += passed.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups)), pa.array(total)], ["grp", "n"])
+
+        pairs = numbered.select("_row", features)
+        counted = pairs.mapInArrow(count, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n")).collect()
+        salts = np.ones(groups, np.int64)
+        for r in counted:
+            salts[r["grp"]] = max(1, math.ceil(r["n"] / SCORED_ROWS), math.ceil(r["n"] * (4 * p + 8 * outputs) / SCORED_BYTES))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, x in read(batches):
+            for ids, x, passed in read(batches):
                 values, chunks = matrix.coded(x), ids >> bits
-                for t, top in enumerate(shared.value):
+                for g in np.flatnonzero(passed.any(axis=1)):
+                    rows = np.flatnonzero(passed[g])
+                    picks = np.split(rows, np.flatnonzero(np.diff(chunks[rows])) + 1)
+                    of = [int(chunks[k[0]]) for k in picks]
+                    cells = [[int(g)] * len(picks), [c % int(salts[g]) for c in of], of]
+                    cells += [[matrix.squeezed(matrix.planes((ids[k] & (1 << bits) - 1).astype("<u2"))) for k in picks], [matrix.cell(values, k) for k in picks]]
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, types)], ["grp", "salt", "chunk", "at", "x"])
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            ats = [int.from_bytes(at.as_buffer()[:8].to_pybytes(), "little") // 2 for at in left.column("at")]
+            totals = [np.zeros((n, outputs)) for n in ats]
+            models: dict[int, dict[int, int]] = {}
+            for i, (t, node) in enumerate(zip(right.column("tree").to_pylist(), right.column("node").to_pylist())):
+                models.setdefault(t, {})[node] = i
+            for t in sorted(models) if totals else ():
+                # The subtrees of one tree at a time are unpacked.
+                top, parts = shared.value[0][t], {}
+                for x, total in zip(left.column("x"), totals):
+                    x = matrix.from_cell(x.as_py(), len(total), p, "<f4")
                     leaf = top.leaves(x)
-                    order = np.lexsort((leaf, chunks))
-                    new = (np.diff(leaf[order]) != 0) | (np.diff(chunks[order]) != 0)
-                    picks = np.split(order, np.flatnonzero(new) + 1)
-                    cells = [[t] * len(picks), [int(leaf[k[0]]) for k in picks], [int(chunks[k[0]]) for k in picks]]
-                    cells += [[(ids[k] & (1 << bits) - 1).astype("<u2").tobytes() for k in picks], [matrix.cell(values, k) for k in picks]]
-                    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, types)], ["tree", "node", "chunk", "at", "x"])
-
-        def score(key: Any, left: pa.Table, right: pa.Table) -> pa.Table:
-            model = Tree.load(right.column("model")[0].as_py()) if left.num_rows else None
-            parts = []
-            for at, x in zip(left.column("at"), left.column("x")):
-                x = matrix.from_cell(x.as_py(), len(at.as_buffer()) // 2, p, "<f4")
-                part = np.zeros((len(x), outputs))
-                model.add(x, part)
-                parts.append(matrix.squeezed(matrix.planes(part.reshape(-1))))
-            return pa.table({"chunk": left.column("chunk"), "tree": left.column("tree"), "at": left.column("at"), "part": pa.array(parts, pa.binary())})
+                    for node in map(int, np.unique(leaf)):
+                        if node not in models[t]:
+                            continue
+                        if node not in parts:
+                            parts[node] = Tree.load(right.column("model")[models[t][node]].as_py())
+                        rows = np.flatnonzero(leaf == node)
+                        part = np.zeros((len(rows), outputs))
+                        parts[node].add(x[rows], part)
+                        total[rows] += part
+            packed = [matrix.squeezed(matrix.planes(total.reshape(-1))) for total in totals]
+            return pa.table({"chunk": left.column("chunk"), "grp": left.column("grp"), "at": left.column("at"), "part": pa.array(packed, pa.binary())})
 
         def add(rows: pa.Table) -> pa.Table:
             chunk, total, seen = rows.column("chunk")[0].as_py(), np.zeros((1 << bits, outputs)), np.zeros(1 << bits, bool)
-            rows = rows.sort_by("tree")
+            rows = rows.sort_by("grp")
             for at, part in zip(rows.column("at"), rows.column("part")):
-                at = np.frombuffer(at.as_buffer(), "<u2")
+                at = matrix.from_planes(matrix.unsqueezed(at.as_py()), "<u2")
                 total[at] += matrix.from_planes(matrix.unsqueezed(part.as_py()), "<f8").reshape(-1, outputs)
                 seen[at] = True
             at = np.flatnonzero(seen)
             return pa.table({"_row": pa.array(chunk << bits | at, pa.int64()), output: pa.array(list(total[at] / trees), pa.list_(pa.float64()))})
 
-        pairs = numbered.select("_row", features)
-        salts = pairs.mapInArrow(count, "tree int, node long, n long").groupBy("tree", "node").agg(F.ceil(F.sum("n") / SCORED_ROWS).alias("salts"))
-        salts = durable(salts)
-        routed = pairs.mapInArrow(route, "tree int, node long, chunk long, at binary, x binary").join(F.broadcast(salts), ["tree", "node"])
-        routed = routed.withColumn("salt", F.pmod(F.xxhash64("chunk"), "salts")).drop("salts")
-        models = self.subtrees.join(F.broadcast(salts), ["tree", "node"])
+        routed = pairs.mapInArrow(route, "grp long, salt long, chunk long, at binary, x binary")
+        places = [(r["tree"], r["node"], int(g), int(salts[g])) for r in sizes for g in (group_of[r["tree"]][r["node"]],)]
+        places = spark.createDataFrame(places, "tree int, node long, grp long, salts long")
+        models = self.subtrees.join(F.broadcast(places), ["tree", "node"])
         models = models.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-        by = ["tree", "node", "salt"]
-        parts = routed.groupBy(*by).cogroup(models.groupBy(*by)).applyInArrow(score, "chunk long, tree int, at binary, part binary")
+        by = ["grp", "salt"]
+        parts = routed.groupBy(*by).cogroup(models.groupBy(*by)).applyInArrow(score, "chunk long, grp long, at binary, part binary")
         sums = parts.groupBy("chunk").applyInArrow(add, f"_row long, `{output}` array<double>")
         return numbered.join(sums, "_row").drop("_row")
 
@@ -603,7 +647,7 @@ def fit(df: DataFrame, features: Sequence[Column], target: Column, rules: Rules,
     blocks = matrix.packed(df, features, target, "<f4")
     p, dtype = blocks.features, blocks.dtype
     node_rows = min(1 << ROW_BITS, max(2, node_bytes // (4 * p + 16)))
-    tops, gains = _grow_tops(blocks, inner, node_rows)
+    tops, gains = _grow_tops(blocks, inner, node_rows, rules.classes)
     trees = [top.tree() for top in tops]
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast([(tree, np.array(top.depth), set(top.closed)) for tree, top in zip(trees, tops)])
@@ -634,7 +678,10 @@ def fit(df: DataFrame, features: Sequence[Column], target: Column, rules: Rules,
         raw = model.dump()
         return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int64()), "model": pa.array([raw], pa.binary()), "bytes": [len(raw)], "gain": pa.array([gain.tolist()], pa.list_(pa.float64()))})
 
-    tasks = min(4 * spark.sparkContext.defaultParallelism, sum(int((t.feature < 0).sum()) for t in trees))
+    share = 1 - math.exp(-1) if inner.bootstrap else 1
+    # A task sorts what it is sent: more tasks where that is much.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(blocks.rows * inner.trees * share * (4 * p + 16) / ROUTED_BYTES))
+    tasks = min(tasks, sum(int((t.feature < 0).sum()) for t in trees))
     routed = blocks.table.mapInArrow(route, "tree int, node long, part int, seq int, x binary, y binary, w binary").repartition(max(tasks, 1), "tree", "node")
     schema = "tree int, node long, model binary, bytes long, gain array<double>"
     grown = routed.groupBy("tree", "node").applyInArrow(finish, schema)

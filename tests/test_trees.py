@@ -111,6 +111,29 @@ def test_forest_by_broadcast_and_by_join(spark, classes, tmp_path):
     assert model.importances.sum() == pytest.approx(1.0)
 
 
+def test_scoring_by_groups_of_subtrees(spark, monkeypatch):
+    """One group of all trees, then groups that cut trees, of which several copies share the rows."""
+    df = table(spark, classes=3)
+    model = forest.fit(df, columns(), F.col("y"), forest.Rules(trees=7, drawn=1, classes=3), node_bytes=150 * 28)
+    whole = predictions(model, df, broadcast_bytes=0)
+    monkeypatch.setattr(forest, "GROUP_BYTES", model.bytes // 10)
+    monkeypatch.setattr(forest, "SCORED_BYTES", 2_000)
+    monkeypatch.setattr(forest, "CHUNK_BYTES", 1)
+    assert np.allclose(predictions(model, df, broadcast_bytes=0), whole)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_nodes_of_one_class_are_closed_in_the_tops(spark, classes):
+    """Their rows were sent to tasks, though nothing grows there."""
+    random = np.random.default_rng(9)
+    rows = [(i, float(a), float(b), float(c), float(min(a // 3, classes - 1))) for i, (a, b, c) in enumerate(random.integers(0, 9, (900, 3)))]
+    df = spark.createDataFrame(rows, "key long, f0 double, f1 double, f2 double, y double").repartition(3, "key")
+    model = forest.fit(df, columns(), F.col("y"), forest.Rules(trees=2, drawn=3, classes=classes, bootstrap=False), node_bytes=100 * 28)
+    assert max(len(top.left) for top in model.tops) == 2 * classes - 1
+    found = predictions(model, df)
+    assert (found.argmax(axis=1) == [r[4] for r in rows]).all() and (found.max(axis=1) == 1).all()
+
+
 @pytest.mark.parametrize("classes", [0, 2, 4])
 def test_boosting_in_a_task_and_over_the_cluster(spark, classes):
     df = table(spark, n=400, classes=classes)
