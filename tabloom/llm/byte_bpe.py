@@ -1,7 +1,9 @@
-"""Byte-level BPE by two tiers: a minimal perfect hash for whole pre-tokens, a heap over linked bytes for the rest.
+"""Byte-level BPE by two tiers: a minimal perfect hash for whole pre-tokens, merges for the rest.
+
+A merge step is taken in all of a block's other pre-tokens at once, one row of a matrix each; long ones have a heap.
 
 Null texts are empty; an empty text has no ids. Special tokens are ordinary text. Vocabulary files are a
-parameter, read on the driver; their tables are broadcast (one vocabulary, about 2 MB).
+parameter, read on the driver; their tables are broadcast (one vocabulary, about 6 MB).
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,11 @@ from pyspark.sql import DataFrame
 
 from tabloom.llm import blocks as B
 
-#: Missed pre-tokens whose ids a task remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 200_000
+#: Bytes up to which a missed pre-token is a row of a matrix. The work of a row grows with the square of its bytes.
+ROW_BYTES = 64
+#: Cells of a matrix of missed pre-tokens.
+MATRIX_CELLS = 1 << 18
+_NO_RANK, _FREE = np.iinfo(np.int32).max, np.uint64((1 << 64) - 1)
 
 
 class PerfectHash:
@@ -60,6 +65,42 @@ class PerfectHash:
         return out
 
 
+class PairTable:
+    """Ranks of two neighbouring ids as one token: a table with free places, the next one if one is taken."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        self.bits = (2 * len(ranks) + 1).bit_length()
+        self.key, self.rank = np.full(1 << self.bits, _FREE), np.full(1 << self.bits, _NO_RANK, np.int32)
+        keys, values = np.fromiter(ranks, np.uint64, len(ranks)), np.fromiter(ranks.values(), np.int32, len(ranks))
+        at = self._place(keys)
+        while len(keys):
+            free = self.key[at] == _FREE
+            self.key[at[free]] = keys[free]
+            stays = self.key[at] == keys
+            self.rank[at[stays]] = values[stays]
+            keys, values, at = keys[~stays], values[~stays], self._next(at[~stays])
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & len(self.key) - 1
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._place(keys)
+        found = self.key[at]
+        out = np.where(found == keys, self.rank[at], _NO_RANK)
+        open_ = np.flatnonzero((found != keys) & (found != _FREE))
+        while len(open_):
+            at[open_] = self._next(at[open_])
+            found = self.key[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.rank[at[open_[hit]]]
+            open_ = open_[~hit & (found != _FREE)]
+        return out
+
+
 class Vocabulary:
     """Ranks of byte strings with both tiers and the way back."""
 
@@ -79,6 +120,15 @@ class Vocabulary:
         self.pool = pool
         self.start, self.length = np.zeros(int(ids.max()) + 1, np.int64), np.zeros(int(ids.max()) + 1, np.int64)
         self.start[ids], self.length[ids] = ends - lengths, lengths
+        # Ranks of neighbours by their two ids; parts have ids from the start if every byte is a token.
+        one = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.by_rows = min(one) >= 0 and len(set(ranks.values())) == len(ranks) and int(ids.max()) < _NO_RANK
+        if self.by_rows:
+            self.byte_id = np.array(one, np.int32)
+            pairs = {
+                ranks[t[:cut]] << 32 | ranks[t[cut:]]: rank for t, rank in ranks.items() for cut in range(1, len(t)) if t[:cut] in ranks and t[cut:] in ranks
+            }
+            self.pairs = PairTable(pairs)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """First tier: the id of each span that is a token, else -1. The bytes of a find are compared."""
@@ -94,8 +144,63 @@ class Vocabulary:
         ids[hit[B.sums(differ, bounds) > 0]] = -1
         return ids
 
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Second tier: the ids of all given spans, and where those of each span start and how many they are."""
+        lengths = ends - starts
+        begin, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        flat, done = [], 0
+
+        def finish(spans: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal done
+            sizes[spans], begin[spans] = counts, done + np.cumsum(counts) - counts
+            flat.append(ids)
+            done += len(ids)
+
+        order = np.argsort(lengths, kind="stable")
+        at, short = np.searchsorted(lengths[order], [0, ROW_BYTES if self.by_rows else 0], "right").tolist()
+        while at < short:
+            # Rows of one matrix have nearly the same length.
+            width = -(-int(lengths[order[at]]) // 4) * 4
+            last = min(int(np.searchsorted(lengths[order[:short]], width, "right")), at + MATRIX_CELLS // width)
+            self._merge_rows(data, starts, lengths, order[at:last], width, finish)
+            at = last
+        for i in order[short:].tolist():
+            ids = self.merge(data[starts[i] : ends[i]].tobytes())
+            finish(np.array([i]), np.array([len(ids)]), np.array(ids, np.int64))
+        return np.concatenate([np.zeros(0, np.int64), *flat]), begin, sizes
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spans: np.ndarray, width: int, finish: Callable) -> None:
+        """Merge the lowest-ranked neighbours of each span, leftmost among equals, until none is left in any of them."""
+        place = np.arange(width)
+        filled = place < lengths[spans, None]
+        parts = np.where(filled, self.byte_id[data[np.minimum(starts[spans, None] + place, len(data) - 1)]], -1)
+        # The rank of a part with the next one.
+        ranks = np.full(parts.shape, _NO_RANK, np.int32)
+        pair = np.nonzero(filled[:, 1:])
+        ranks[pair] = self.pairs(parts[pair], parts[pair[0], pair[1] + 1])
+        while len(spans):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(spans)), at]
+            if (over := best == _NO_RANK).any():
+                rest = parts[over]
+                finish(spans[over], (rest >= 0).sum(axis=1), rest[rest >= 0].astype(np.int64))
+                spans, parts, ranks, at, best = (a[~over] for a in (spans, parts, ranks, at, best))
+            row = np.arange(len(spans))
+            # The right part goes, those behind it move up: a column less for all.
+            behind = np.arange(parts.shape[1] - 1) > at[:, None]
+            parts = np.where(behind, parts[:, 1:], parts[:, :-1])
+            ranks = np.where(behind, ranks[:, 1:], ranks[:, :-1])
+            parts[row, at] = best
+            ranks[row, at] = _NO_RANK
+            if (more := np.flatnonzero(at > 0)).size:
+                left = at[more] - 1
+                ranks[more, left] = self.pairs(parts[more, left], best[more])
+            more = np.flatnonzero(at + 1 < parts.shape[1])
+            more = more[parts[more, at[more] + 1] >= 0]
+            ranks[more, at[more]] = self.pairs(best[more], parts[more, at[more] + 1])
+
     def merge(self, token: bytes) -> list[int]:
-        """Second tier: merge the lowest-ranked neighbours first, leftmost among equals.
+        """Second tier for long ones: merge the lowest-ranked neighbours first, leftmost among equals.
 
         Places are linked to their right and left neighbours; the heap holds possible merges, and an entry
         is void when either of its parts has changed since.
@@ -137,7 +242,6 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.find = vocabulary, regex.compile(vocabulary.pattern).findall
-        self.known: dict[bytes, list[int]] = {}
 
     def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pre-tokens with the block's end, and the first of each document."""
@@ -164,17 +268,7 @@ class Encoder:
         ids = self.vocabulary.lookup(data, starts, ends, keys)
         missed = np.flatnonzero(ids < 0)
         _, one, which = np.unique(keys[missed], return_index=True, return_inverse=True)
-        raw, pool = data.tobytes(), []
-        for s, e in zip(starts[missed[one]].tolist(), ends[missed[one]].tolist()):
-            token = raw[s:e]
-            if (merged := self.known.get(token)) is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                merged = self.known[token] = self.vocabulary.merge(token)
-            pool.append(merged)
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool))
-        pool_starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for merged in pool for i in merged), np.int64, int(sizes.sum()))
+        flat, pool_starts, sizes = self.vocabulary.merge_all(data, starts[missed[one]], ends[missed[one]])
         # One pool: the found ids, then those of the missed pre-tokens.
         lengths, begin = np.ones(len(ids), np.int64), np.arange(len(ids))
         lengths[missed], begin[missed] = sizes[which], len(ids) + pool_starts[which]

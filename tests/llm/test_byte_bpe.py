@@ -73,3 +73,26 @@ def test_hash_is_minimal_and_perfect(vocabulary):
     ends = np.cumsum([len(t) for t in tokens])
     starts = np.concatenate([[0], ends[:-1]])
     assert vocabulary.lookup(data, starts, ends, B.SpanHash(data)(starts, ends)).tolist() == [vocabulary.ranks[t] for t in tokens]
+
+
+def test_merges_of_a_block_are_taken_together(vocabulary, encoding, monkeypatch):
+    """Missed pre-tokens of all lengths: short ones are never merged one by one, and all get the library's ids."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß中") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["q" * n for n in range(1, 130)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + [""]
+    alone = []
+    merge = vocabulary.merge
+    monkeypatch.setattr(vocabulary, "merge", lambda token: alone.append(token) or merge(token))
+    monkeypatch.setattr(byte_bpe, "MATRIX_CELLS", 1000)
+    raw = [t.encode() for t in texts]
+    ids, first = byte_bpe.Encoder(vocabulary).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, a, b in zip(texts, first, first[1:]):
+        assert ids[a:b].tolist() == encoding.encode_ordinary(text)
+    assert alone and min(map(len, alone)) > 64
+
+
+def test_vocabulary_without_all_bytes():
+    """Parts that are no tokens can't be looked up by ids; such spans are merged one by one."""
+    small = byte_bpe.Vocabulary({b"ab": 0, b"c": 1, b"abc": 2, b"d": 3}, r"\S+|\s+")
+    data = np.frombuffer(b"abcdabd", np.uint8)
+    assert byte_bpe.Encoder(small).encode(data, np.array([0, 7]))[0].tolist() == [2, 3, 0, 3]
