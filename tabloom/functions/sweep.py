@@ -30,6 +30,8 @@ class Sweep:
         self.inside = np.zeros(len(gram), dtype=bool)
         self.idle = np.zeros(len(gram), dtype=bool)
         self.limit = LEAST_PIVOT * np.maximum(np.diag(self.state), 1.0)
+        self.start = self.state.copy(), self.held.copy()
+        self.turns = 0
         self.flip(0)
 
     def _turn(self, k: int) -> None:
@@ -45,6 +47,16 @@ class Sweep:
         self.state[k] = self.state[:, k] = row / abs(pivot)
         self.state[k, k] = -1.0 / pivot
         self.inside[k] = not self.inside[k]
+        self.turns += 1
+
+    def _renew(self) -> None:
+        """Bring the same columns in anew: rounding adds up from turn to turn, most of all by small pivots."""
+        inside = np.flatnonzero(self.inside)
+        self.state, self.held = (m.copy() for m in self.start)
+        self.inside[:] = False
+        for k in inside:
+            self._turn(k)
+        self.turns = 0
 
     def flip(self, k: int) -> None:
         if self.idle[k]:
@@ -59,6 +71,9 @@ class Sweep:
             self._turn(k)
         else:
             self.idle[k] = True
+        # As many turns as columns pay for bringing all of them in anew.
+        if self.turns > len(self.state):
+            self._renew()
 
     def errors(self) -> np.ndarray:
         """Squared error on the held rows after flipping each column; of the target's own place that of no flip."""

@@ -137,6 +137,22 @@ def test_sweeps_equal_direct_fits_through_any_order():
             assert found[j + 1] == pytest.approx(_held_error(x, y, held, sorted(inside ^ {j})), rel=1e-6)
 
 
+def test_sweeps_stay_exact_over_many_flips():
+    """Rounding of small pivots doesn't add up, whatever the order of the flips."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(120, 5)) * 10.0 ** np.arange(-2, 3)
+        x = np.column_stack([x, x[:, 1], x[:, 2] + x[:, 3], np.full(120, 7.0)])
+        y = x[:, 2] * 30 + rng.normal(size=120)
+        held = np.arange(120) % 3 == 0
+        sweep = Sweep(_gram(x[~held], y[~held]), _gram(x[held], y[held]))
+        inside = set()
+        for k in rng.integers(0, x.shape[1], 600):
+            inside ^= {int(k)}
+            sweep.flip(int(k) + 1)
+            assert sweep.errors()[-1] == pytest.approx(_held_error(x, y, held, sorted(inside)), rel=1e-8)
+
+
 def test_selection_of_five_hundred_columns(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 500))
