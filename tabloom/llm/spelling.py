@@ -10,6 +10,8 @@
    without one of its other code points, so that a group has at most as many words as there are letters; rows grow
    with the members' lengths, not with their square. Words of over ``LONGEST_CUT`` code points, which no such
    group of natural words holds, are compared in pairs.
+   Tables of words are merged, never broadcast: Spark takes their size from compressed files, before words are cut
+   into chunks, so a table of many times a broadcast's limit passes for a small one.
 4. ``forms``: counts and best neighbours are aggregates of the pairs; roots come by pointer doubling, whose rounds
    grow with the logarithm of the longest chain (each step at least doubles the count, so chains are short).
 
@@ -39,6 +41,8 @@ LOSS = 97
 #: A chunk whose words make more pairs is cut by one more key.
 GROUP_PAIRS = 1 << 12
 LONGEST_CUT = 64
+#: Up to so many keys of such chunks, of at most half that many code points each, are broadcast.
+BROADCAST_KEYS = 1 << 16
 #: Distinct words that a task gathers before it passes them on.
 GATHERED = 1 << 17
 GATHERED_BYTES = 32 << 20
@@ -167,7 +171,7 @@ def _joined(rows: DataFrame, by: list[str]) -> DataFrame:
     """Chunks with the grams of their key: (place, a, n_a, b, n_b), a not longer than b."""
     left = rows.where("longer = 0").select(*by, F.col("word").alias("a"), F.col("n").alias("n_a"))
     right = rows.select(*by, "longer", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    return left.join(right, by).where("longer = 1 OR a < b").select("place", "a", "n_a", "b", "n_b")
+    return left.join(right.hint("merge"), by).where("longer = 1 OR a < b").select("place", "a", "n_a", "b", "n_b")
 
 
 def _holes(rows: DataFrame) -> DataFrame:
@@ -193,13 +197,14 @@ def near_pairs(words: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     rows = _chunk_rows(words)
     sizes = rows.groupBy(*by).agg(F.sum(1 - F.col("longer")).alias("chunks"), F.count(F.lit(1)).alias("grams"))
     hot = durable(sizes.where((F.col("chunks") * F.col("grams") > group_pairs) & (F.col("size") <= LONGEST_CUT)).select(*by))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot.hint("merge")
     plain = _joined(rows.join(hot, by, "left_anti"), by)
     holes = _holes(rows.join(hot, by, "left_semi"))
     # A whole shorter word meets longer words only.
     cut = _joined(holes.where("hole >= 0"), ["size", "place", "hole", "rest"])
     whole = holes.where("hole < 0 AND longer = 0").select("size", "place", "rest", F.col("word").alias("a"), F.col("n").alias("n_a"))
     lost = holes.where("hole < 0 AND longer = 1").select("size", "place", "rest", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    cut = cut.unionByName(whole.join(lost, ["size", "place", "rest"]).select("place", "a", "n_a", "b", "n_b"))
+    cut = cut.unionByName(whole.join(lost.hint("merge"), ["size", "place", "rest"]).select("place", "a", "n_a", "b", "n_b"))
     half = _half(F.char_length("a"))
     found_before = (F.col("place") == 1) & (F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half))
     near = plain.unionByName(cut).where(~found_before & (F.levenshtein("a", "b", 1) == 1))
@@ -219,12 +224,12 @@ def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     roots = durable(best.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = durable(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        step = durable(roots.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         moved = step.agg(F.max("moved")).first()[0]
         roots = step.select("word", "root")
         if not moved:
             break
-    joined = words.join(best, "word", "left").join(roots, "word", "left")
+    joined = words.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return joined.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tabloom.llm import spelling as S
+from tabloom.session import durable
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
@@ -89,3 +90,17 @@ def test_empty_tables_and_other_columns(spark, no_docs):
     assert result(no_docs) == []
     docs = spark.createDataFrame([("k", "steady " * 9, 1, "x")], "doc_id string, text string, word int, n string")
     assert result(docs) == brute([("k", "steady " * 9)])
+
+
+@pytest.mark.parametrize("keys", [1 << 16, 0])
+def test_words_are_merged_and_never_broadcast(spark, docs, monkeypatch, keys):
+    """Tables that Spark takes for small ones were broadcast after words had been cut into chunks."""
+    monkeypatch.setattr(S, "BROADCAST_KEYS", keys, raising=False)
+    words = durable(S.word_counts(docs))
+    pairs = S.near_pairs(words, 20)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (pairs, S.forms(words, pairs))]
+    for plan in plans:
+        assert plan.count("SortMergeJoin") >= 2
+        joins = re.findall("BroadcastHashJoin (.*)", plan)
+        assert all(re.search("LeftAnti|LeftSemi", j) for j in joins) and bool(joins) == (keys > 0 and plan is plans[0])
+    assert result(docs, group_pairs=20) == brute([tuple(r) for r in docs.collect()])
