@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import matrix
 from tabloom.operators import boosting, forest, network
+from tabloom.session import durable, folded
 
 FEATURES = [f"f{i}" for i in range(3)]
 
@@ -122,6 +125,41 @@ def test_scoring_by_groups_of_subtrees(spark, monkeypatch):
     assert np.allclose(predictions(model, df, broadcast_bytes=0), whole)
 
 
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {b for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_lots_of_trees_shuffle_one_after_the_other(spark, classes, monkeypatch):
+    """The rows of all trees, and then all subtrees, were shuffled at once, and their files stayed."""
+    df = table(spark, classes=classes)
+    rules = forest.Rules(trees=5, drawn=2, classes=classes)
+    monkeypatch.setattr(forest, "GROUP_BYTES", 3_000)
+    whole = forest.fit(df, columns(), F.col("y"), rules, node_bytes=150 * 28)
+    expected = predictions(whole, df, broadcast_bytes=0)
+    monkeypatch.setattr(forest, "SHUFFLED_BYTES", 1)
+    made, sent = [], []
+    monkeypatch.setattr(forest, "durable", lambda t: made.append(t.columns) or durable(t))
+    monkeypatch.setattr(forest, "folded", lambda steps, s: folded((sent.append(1) or f for f in steps), s))
+    before = shuffle_files(spark)
+    cut = forest.fit(df, columns(), F.col("y"), rules, node_bytes=150 * 28)
+    assert made.count(["tree", "node", "model", "bytes", "gain"]) == 5
+    ends = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert np.allclose(whole.importances, cut.importances, rtol=1e-12) and whole.bytes == cut.bytes
+    assert np.array_equal(predictions(cut, df, broadcast_bytes=0), expected) and len(sent) > 2
+    assert np.allclose(predictions(cut, df), expected)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_neighbours_fill_lots():
+    assert forest._lots([3, 3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert forest._lots([5], 1) == [(0, 1)] and forest._lots([1] * 4, 9) == [(0, 4)]
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_nodes_of_one_class_are_closed_in_the_tops(spark, classes):
     """Their rows were sent to tasks, though nothing grows there."""
